@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, secrets, sharding, urlfilter
+from . import licences, minhash, mixing, pieces, repetition, secrets, sharding, urlfilter
 
 #: Fixed values: (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -23,6 +23,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.measure(_read(spark, sf_dir, "documents")).drop("longest_repeat", "n_maximal")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"), URL_RULES, F.col("host").rlike(LISTED_HOSTS))
 
@@ -31,6 +39,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,7 +52,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op5_url_filter, op6_secrets, op9_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op2_sharding, op3_licences, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op9_mixing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
