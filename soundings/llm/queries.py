@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, minhash, mixing, pieces, repetition, secrets, sharding, urlfilter
+from . import licences, minhash, mixing, pieces, repetition, rules, secrets, sharding, urlfilter
 
 #: Fixed values: (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -43,6 +43,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,7 +56,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_licences, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op9_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op2_sharding, op3_licences, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op8_quality, op9_mixing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
