@@ -25,18 +25,19 @@ def statistics(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
     gone = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / n
-    words = F.filter(F.split(t, WHITE), lambda w: w != "")
-    k = F.greatest(F.size(words), F.lit(1)).cast("double")
+    words = F.split(F.btrim(t, F.lit(" \t\n\x0b\x0c\r")), WHITE)  # blank text: one empty word
+    letters = F.length(F.array_join(words, ""))
+    k = F.size(words).cast("double")
     lines = F.split(t, "\n")
     m = F.size(lines).cast("double")
     return F.struct(
         F.length(t).cast("double").alias("chars"),
-        F.size(words).cast("double").alias("words"),
-        (F.length(F.regexp_replace(t, WHITE, "")) / k).alias("word_chars"),
+        F.when(letters > 0, k).otherwise(F.lit(0.0)).alias("words"),
+        (letters / k).alias("word_chars"),
         gone(r"[#*$%&|<>!]+").alias("symbols"),
         gone("[A-Z]+").alias("capitals"),
         gone("[0-9]+").alias("digits"),
-        F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / k).otherwise(F.lit(0.0)).alias("distinct"),
+        F.when(letters > 0, F.size(F.array_distinct(words)) / k).otherwise(F.lit(0.0)).alias("distinct"),
         gone(r"(?<!\S)(\S++)(?:\s++\1(?!\S))+").alias("again"),
         (m / n).alias("lines"),
         (F.lit(1.0) - F.size(F.array_distinct(lines)) / m).alias("same_lines"),
@@ -167,8 +168,9 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """docs with quality_stats. Generated from an array of one, so that the optimiser computes the statistics once instead of once for each rule."""
-    return docs.select("*", F.explode(F.array(statistics(docs["text"]))).alias("quality_stats"))
+    """docs with quality_stats. They pass through a generator, so that the optimiser does not compute them again for each rule."""
+    once = docs.withColumn("quality_once", statistics(docs["text"]))
+    return once.select(*docs.columns, F.explode(F.array("quality_once")).alias("quality_stats"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
