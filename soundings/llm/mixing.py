@@ -96,7 +96,7 @@ def schedule(goals: DataFrame, n_slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 4096, seed: str = "mix") -> DataFrame:
-    """One row per input row: doc_id, source_size, size, target, taken, n_slots, first_slot.
+    """One row per input row: doc_id, skey (the source as a key), source_size, size, target, taken, n_slots, first_slot.
 
     taken: words of the document in the mix, repeats counted; first_slot: where the mix first
     reads it. block_words sets the grain of the schedule (at most 3.4e9 slots).
@@ -150,5 +150,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
         .agg(F.sum("n").alias("taken"), F.count("*").alias("n_slots"), F.min("slot").alias("first_slot"))
     )
     return laid.join(got, ["skey", "i"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "first_slot"
+        "doc_id", "skey", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "first_slot"
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 4096, seed: str = "mix") -> DataFrame:
+    """docs, each row as often as the mix takes the whole of it, to the nearest whole number; rows without words once.
+
+    Rows with equal doc_id, source and size share what the mix takes of them evenly.
+    """
+    took = mix(docs, weights, most, block_words, seed).where("size > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("skey").alias("mix_source"), F.col("size").alias("mix_size"))
+    copies = took.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("mix_copies")).where("mix_copies > 0")
+    keyed = docs.withColumns({"mix_k": _key(docs["source"].cast("string")), "mix_n": n_words(docs["text"])})
+    same = keyed["doc_id"].eqNullSafe(F.col("mix_id")) & (keyed["mix_k"] == F.col("mix_source")) & (keyed["mix_n"] == F.col("mix_size"))
+    found = keyed.join(copies, same, "left").withColumn("mix_copies", F.when(F.col("mix_n") == 0, 1).otherwise(F.coalesce("mix_copies", F.lit(0)))).where("mix_copies > 0")
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")

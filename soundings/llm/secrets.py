@@ -134,8 +134,11 @@ def report(docs: DataFrame, reach: int = 200) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span of the text replaced by mark (overlapping spans by one); other texts stay as they are."""
+def redact(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]", count: str = "n_chars") -> DataFrame:
+    """docs with every reported span of the text replaced by mark (overlapping spans by one); other texts stay as they are.
+
+    A column named by `count`, if there is one, gets the new length of the texts that change.
+    """
     found = scan(docs, reach)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -145,4 +148,8 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]") -> DataFra
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("sec_all", state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("sec_all") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    some = F.size("sec_all") > 0
+    out = found.withColumn("text", F.when(some, clean).otherwise(F.col("text")))
+    if count in docs.columns:
+        out = out.withColumn(count, F.when(some, F.length("text").cast(docs.schema[count].dataType)).otherwise(F.col(count)))
+    return out.select(*docs.columns)
