@@ -1,15 +1,644 @@
-"""Registered queries of the sonar operators and their DuckDB equivalents."""
+"""Registered queries of the sonar operators and, beside each, its DuckDB equivalent.
+
+The test tables stand in for survey data: an event is a ping (user: recording, event type:
+beam, value: depth), an embedding is a sample vector, a line item an intensity pixel or a
+patch of substrate.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.windows import as_of, fill_linear, rolling_median, unwrap
+from ..operators import depth, egn, filters, mosaic, reach, samples, substrate, tracks, waterfall
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+P = """WITH p AS (SELECT user_id AS rec_id, event_type AS beam, event_id AS record_num, event_id AS index,
+ epoch_us(ts) / 1e6 AS time_s, value AS dep_m, value * 0.9e0 AS inst_dep_m, (value * 7.3e0) % 360e0 AS instr_heading, value / 25e0 AS speed_ms,
+ -90e0 + (event_id % 1000) * 0.001e0 AS lon, 30e0 + value * 0.0001e0 AS lat, (event_id % 1000) * 1.5e0 AS e, value * 2e0 AS n,
+ CAST(100 + event_id % 50 AS INTEGER) AS ping_cnt, 0.05e0 AS pixM, event_id * 0.5e0 AS trk_dist FROM events)
+"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def pings(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    v = F.col("value")
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("rec_id"), F.col("event_type").alias("beam"), i.alias("record_num"), i.alias("index"),
+        (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', CAST(ts AS TIMESTAMP_NTZ))") / 1e6).alias("time_s"),
+        v.alias("dep_m"), (v * 0.9).alias("inst_dep_m"), (v * 7.3 % 360.0).alias("instr_heading"), (v / 25.0).alias("speed_ms"),
+        ((i % 1000) * 0.001 + F.lit(-90.0)).alias("lon"), (v * 0.0001 + F.lit(30.0)).alias("lat"), ((i % 1000) * 1.5).alias("e"), (v * 2.0).alias("n"),
+        (i % 50 + 100).cast("int").alias("ping_cnt"), F.lit(0.05).alias("pixM"), (i * 0.5).alias("trk_dist"),
+    )
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.expr("vec_id div 50").alias("chunk_id"), (F.col("label") + 2).alias("bed"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"))
+
+
+V = """WITH v AS (SELECT vec_id, vec_id // 50 AS chunk_id, label + 2 AS bed, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS r FROM embeddings)
+"""
+
+
+def pixels(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
+        (F.col("l_partkey") % 100).alias("gx"), (F.col("l_suppkey") % 100).alias("gy"), F.col("l_quantity").alias("v"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+    )
+
+
+X = """WITH x AS (SELECT l_partkey % 100 AS gx, l_suppkey % 100 AS gy, l_quantity AS v, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
+"""
+REC = ("rec_id",)
+
+
+def r(c: str, n: int = 4) -> F.Column:
+    return F.round(c, n).alias(c)
+
+
+# ---- filters
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    p = pings(spark, sf)
+    log = p.where("beam IN ('error', 'signup')").select("rec_id", "record_num", "time_s", (F.col("beam") == "signup").alias("keep"))
+    df = as_of(p, log, "time_s", "time_s", "keep", "state", REC, "record_num")
+    df = filters.coordinate_outliers(df.withColumn("filter", F.coalesce("state", F.lit(False))), keys=REC).where("filter")
+    df = df.withColumn("index", (F.col("record_num") / 200).cast("long"))
+    df = df.withColumn("index", F.row_number().over(Window.partitionBy("rec_id").orderBy("record_num")) + F.col("index"))
+    df = tracks.transects(df, 5, keys=REC)
+    return df.groupBy("rec_id", "transect", "chunk_id").agg(F.count("*").alias("n"), F.round(F.avg("dep_m"), 4).alias("mean_depth"), F.round(F.percentile("dep_m", F.lit(0.5)), 4).alias("median_depth"))
+
+
+ASOF = """, ev AS (SELECT rec_id, time_s, beam = 'signup' AS keep FROM p WHERE beam IN ('error', 'signup')),
+ s AS (SELECT p.*, ev.keep FROM p ASOF LEFT JOIN ev ON p.rec_id = ev.rec_id AND p.time_s >= ev.time_s)
+"""
+_queries["survey_chunks"] = flagship
+_sql["survey_chunks"] = P + ASOF + """, k AS (SELECT * FROM s WHERE coalesce(keep, false)),
+ q AS (SELECT rec_id, quantile_cont(lon, 0.25) a, quantile_cont(lon, 0.75) b, quantile_cont(lat, 0.25) c, quantile_cont(lat, 0.75) d FROM p GROUP BY 1),
+ f AS (SELECT k.*, row_number() OVER (PARTITION BY k.rec_id ORDER BY record_num) + record_num // 200 AS ix FROM k JOIN q USING (rec_id)
+  WHERE NOT (lon < a - 3 * (b - a) OR lon > b + 3 * (b - a) OR lat < c - 3 * (d - c) OR lat > d + 3 * (d - c))),
+ j AS (SELECT *, CASE WHEN ix - lag(ix) OVER (PARTITION BY rec_id ORDER BY ix) <> 1 THEN 1 ELSE 0 END AS jump FROM f),
+ t AS (SELECT *, CAST(sum(jump) OVER (PARTITION BY rec_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS INTEGER) AS transect FROM j),
+ c AS (SELECT *, (row_number() OVER (PARTITION BY rec_id, transect ORDER BY ix) - 1) // 5 AS pos FROM t),
+ g AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY rec_id ORDER BY transect, pos) - 1 AS INTEGER) AS chunk_id FROM c)
+SELECT rec_id, transect, chunk_id, count(*) AS n, round(avg(dep_m), 4) AS mean_depth, round(quantile_cont(dep_m, 0.5), 4) AS median_depth FROM g GROUP BY 1, 2, 3"""
+
+
+@query(P + ASOF + "SELECT rec_id, record_num, coalesce(keep, false) AS filter_dq FROM s")
+def dq_asof_keep(spark, sf):
+    p = pings(spark, sf)
+    log = p.where("beam IN ('error', 'signup')").select("rec_id", "record_num", "time_s", (F.col("beam") == "signup").alias("keep"))
+    return as_of(p, log, "time_s", "time_s", "keep", "state", REC, "record_num").select("rec_id", "record_num", F.coalesce("state", F.lit(False)).alias("filter_dq"))
+
+
+@query(P + """, q AS (SELECT rec_id, quantile_cont(lon, 0.25) a, quantile_cont(lon, 0.75) b, quantile_cont(lat, 0.25) c, quantile_cont(lat, 0.75) d FROM p GROUP BY 1)
+SELECT rec_id, record_num, NOT (lon < a - 1.5 * (b - a) OR lon > b + 1.5 * (b - a) OR lat < c - 1.5 * (d - c) OR lat > d + 1.5 * (d - c)) AS filter FROM p JOIN q USING (rec_id)""")
+def coord_iqr(spark, sf):
+    return filters.coordinate_outliers(pings(spark, sf), 1.5, REC).select("rec_id", "record_num", "filter")
+
+
+@query(P + "SELECT record_num, NOT (speed_ms < 0.5 OR speed_ms > 4) AS filter FROM p")
+def speed_filter(spark, sf):
+    return filters.speed(pings(spark, sf), 0.5, 4).select("record_num", "filter")
+
+
+@query(P + """, iv AS (SELECT least(a, b) a, greatest(a, b) b FROM (SELECT min(o_orderkey) * 40.0e0 + 1000 AS a, min(o_orderkey) * 40.0e0 + 5000 + (o_custkey % 7) * 1000 AS b FROM orders WHERE o_orderkey % 10 = 3 GROUP BY o_custkey % 7, o_orderkey // 500)),
+ m AS (SELECT min(time_s) AS z FROM p)
+SELECT record_num, EXISTS (SELECT 1 FROM iv WHERE time_s BETWEEN a + z AND b + z) AS filter_time FROM p, m""")
+def time_interval_semi(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderkey % 10 = 3").groupBy((F.col("o_custkey") % 7).alias("k"), F.expr("o_orderkey div 500").alias("h")).agg(F.min("o_orderkey").alias("m"))
+    iv = o.select((F.col("m") * 40.0 + 1000).alias("end_seconds"), (F.col("m") * 40.0 + 5000 + F.col("k") * 1000).alias("start_seconds"))
+    return filters.time_intervals(pings(spark, sf), iv).select("record_num", "filter_time")
+
+
+@query(P + """, m AS (SELECT *, max(trk_dist) OVER (PARTITION BY rec_id) AS far, count(instr_heading) OVER (PARTITION BY rec_id) AS k FROM p),
+ b AS (SELECT *, CASE WHEN far <= 500 THEN 0 ELSE least(floor(trk_dist / 500), greatest(ceil(far / 500) - 1, 0)) END AS bin FROM m),
+ d AS (SELECT *, instr_heading - lag(instr_heading) OVER (PARTITION BY rec_id, bin ORDER BY record_num) AS step FROM b),
+ f AS (SELECT *, CASE WHEN step IS NULL OR abs(step) < 180 THEN 0e0 ELSE (CASE WHEN (((step + 180) % 360e0) + 360e0) % 360e0 - 180 = -180 AND step > 0 THEN 180e0 ELSE (((step + 180) % 360e0) + 360e0) % 360e0 - 180 END) - step END AS fix FROM d),
+ u AS (SELECT *, instr_heading + sum(fix) OVER (PARTITION BY rec_id, bin ORDER BY record_num ROWS UNBOUNDED PRECEDING) AS u FROM f),
+ w AS (SELECT *, max(u) OVER (PARTITION BY rec_id, bin) - min(u) OVER (PARTITION BY rec_id, bin) AS span, count(u) OVER (PARTITION BY rec_id, bin) AS nb,
+  trk_dist - lag(trk_dist) OVER o AS back, lead(trk_dist) OVER o - trk_dist AS ahead FROM u WINDOW o AS (PARTITION BY rec_id ORDER BY record_num))
+SELECT record_num, (k < 2 OR (span < 400 AND nb > 1)) AND NOT coalesce(back > 500, false) AND NOT coalesce(ahead > 500, false) AS filter FROM w""")
+def heading_window_dev(spark, sf):
+    return filters.heading(pings(spark, sf), 400, 500, REC).select("record_num", "filter")
+
+
+@query(P + """, j AS (SELECT *, CASE WHEN ix - lag(ix) OVER (PARTITION BY rec_id ORDER BY ix) <> 1 THEN 1 ELSE 0 END AS jump FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY record_num) + record_num // 1000 AS ix FROM p)),
+ t AS (SELECT *, CAST(sum(jump) OVER (PARTITION BY rec_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS INTEGER) AS transect FROM j),
+ c AS (SELECT *, (row_number() OVER (PARTITION BY rec_id, transect ORDER BY ix) - 1) // 4 AS pos FROM t)
+SELECT rec_id, record_num, transect, CAST(dense_rank() OVER (PARTITION BY rec_id ORDER BY transect, pos) - 1 AS INTEGER) AS chunk_id FROM c""")
+def transect_chunk(spark, sf):
+    return tracks.transects(_gaps(pings(spark, sf)), 4, keys=REC).select("rec_id", "record_num", "transect", "chunk_id")
+
+
+def _gaps(p: DataFrame) -> DataFrame:
+    return p.withColumn("index", F.row_number().over(Window.partitionBy("rec_id").orderBy("record_num")) + F.expr("record_num div 1000"))
+
+
+@query(P + """, j AS (SELECT *, CASE WHEN ix - lag(ix) OVER (PARTITION BY rec_id ORDER BY ix) <> 1 THEN 1 ELSE 0 END AS jump FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY record_num) + record_num // 1000 AS ix FROM p)),
+ t AS (SELECT *, sum(jump) OVER (PARTITION BY rec_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS run FROM j)
+SELECT rec_id, record_num, count(*) OVER (PARTITION BY rec_id, run) >= 7 AS filter FROM t""")
+def short_transect_drop(spark, sf):
+    return filters.short_transects(_gaps(pings(spark, sf)), 7, keys=REC).select("rec_id", "record_num", "filter")
+
+
+@query(P + """, c AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY record_num) - 1 AS i, count(*) OVER (PARTITION BY rec_id) AS cnt FROM p)
+SELECT rec_id, record_num, CAST(least(i // 10, greatest((cnt - 1) // 10 - CASE WHEN cnt % 10 > 0 AND cnt % 10 <= 5 THEN 1 ELSE 0 END, 0)) AS INTEGER) AS chunk_id FROM c""")
+def chunk_tail_merge(spark, sf):
+    return tracks.chunks(pings(spark, sf), 10, REC).select("rec_id", "record_num", "chunk_id")
+
+
+@query(P + """, a AS (SELECT *, record_num // 100 AS chunk_id, record_num % 7 > 0 AS ok FROM p), b AS (SELECT *, ok AND dep_m > 20 AS good FROM a),
+ c AS (SELECT *, CASE WHEN bool_or(good) OVER (PARTITION BY rec_id, chunk_id) THEN good ELSE ok END AS keep FROM b)
+SELECT rec_id, record_num FROM (SELECT *, bool_or(keep) OVER (PARTITION BY rec_id, chunk_id) AS some FROM c) WHERE keep OR NOT some""")
+def sane_chunk_rows(spark, sf):
+    p = pings(spark, sf).withColumns({"chunk_id": F.expr("record_num div 100"), "ping_cnt": (F.col("record_num") % 7).cast("int"), "pixM": F.when(F.col("dep_m") > 20, 0.05).otherwise(0.0)})
+    return filters.sane_chunk(p, ("rec_id", "chunk_id")).select("rec_id", "record_num")
+
+
+@query("""WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events)
+SELECT event_id, CASE WHEN k < 30 THEN 'low' WHEN k < 70 THEN 'mid' ELSE 'high' END AS band, k * 2 AS twice FROM k""")
+def json_fields(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("double")
+    return table(spark, sf, "events").select("event_id", F.when(k < 30, "low").when(k < 70, "mid").otherwise("high").alias("band"), (k * 2).alias("twice"))
+
+
+@query(P + "SELECT record_num, (e - 750e0) * (e - 750e0) < 250000e0 AND e > 300 AND e < 1200 AND n > 20 AND n < 150 AS filter FROM p")
+def area_of_interest(spark, sf):
+    p = filters.area(pings(spark, sf), [[(300, 20), (1200, 20), (1200, 150), (300, 150)]])
+    return p.select("record_num", (F.col("filter") & ((F.col("e") - 750) * (F.col("e") - 750) < 250000)).alias("filter"))
+
+
+# ---- tracks and depth
+
+
+@query(P + "SELECT rec_id, record_num, round(quantile_cont(dep_m, 0.5) OVER (PARTITION BY rec_id ORDER BY record_num ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING), 4) AS med FROM p")
+def rolling_median_31(spark, sf):
+    w = Window.partitionBy("rec_id").orderBy("record_num")
+    return pings(spark, sf).select("rec_id", "record_num", F.round(rolling_median(F.col("dep_m"), w), 4).alias("med"))
+
+
+@query(P + """, a AS (SELECT *, quantile_cont(dep_m, 0.5) OVER (PARTITION BY rec_id ORDER BY record_num ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS med FROM p),
+ b AS (SELECT *, quantile_cont(dep_m - med, 0.5) OVER (PARTITION BY rec_id) AS mid FROM a), c AS (SELECT *, quantile_cont(abs(dep_m - med - mid), 0.5) OVER (PARTITION BY rec_id) AS mad,
+  dep_m - lag(dep_m) OVER w AS d0, dep_m - lead(dep_m) OVER w AS d1 FROM b WINDOW w AS (PARTITION BY rec_id ORDER BY record_num))
+SELECT rec_id, record_num, coalesce(abs(dep_m - med) > greatest(0.5, 6 * mad), false) OR coalesce(abs(d0) > 60 AND abs(d1) > 60 AND sign(d0) = sign(d1), false)
+ OR coalesce(inst_dep_m > 0 AND dep_m > 3 * inst_dep_m, false) AS depth_bad FROM c""")
+def mad_flags(spark, sf):
+    return depth.outliers(pings(spark, sf), keys=REC, jump_m=60).select("rec_id", "record_num", "depth_bad")
+
+
+@query(P + """, v AS (SELECT *, CASE WHEN dep_m > 30 THEN dep_m END AS x, row_number() OVER (PARTITION BY rec_id ORDER BY record_num) AS i FROM p),
+ f AS (SELECT *, last_value(x IGNORE NULLS) OVER a AS v0, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER a AS p0, last_value(x IGNORE NULLS) OVER b AS v1, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b AS p1 FROM v
+  WINDOW a AS (PARTITION BY rec_id ORDER BY record_num ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY rec_id ORDER BY record_num DESC ROWS UNBOUNDED PRECEDING))
+SELECT rec_id, record_num, round(CASE WHEN x IS NOT NULL THEN x WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (i - p0) / (p1 - p0) END, 7) AS filled FROM f""")
+def depth_lerp(spark, sf):
+    return fill_linear(pings(spark, sf), "dep_m", REC, "record_num", "filled", F.col("dep_m") > 30).select("rec_id", "record_num", r("filled", 7))
+
+
+@query(P + """, s AS (SELECT rec_id, record_num // 10 AS rn, max(CASE WHEN beam = 'view' THEN dep_m END) AS port, max(CASE WHEN beam = 'click' THEN dep_m END) AS star FROM p GROUP BY 1, 2),
+ a AS (SELECT *, coalesce(abs(port - star) > 25, false) AS apart FROM s)
+SELECT rec_id, rn AS record_num, apart, round(CASE WHEN apart THEN NULL WHEN port IS NULL THEN star WHEN star IS NULL THEN port ELSE (port + star) / 2 END, 4) AS dep_mean FROM a""")
+def cross_beam_divergence(spark, sf):
+    beam = F.when(F.col("beam") == "view", "ss_port").when(F.col("beam") == "click", "ss_star").otherwise(F.col("beam"))
+    p = pings(spark, sf).withColumns({"beam": beam, "record_num": F.expr("record_num div 10")})
+    return depth.sides_agree(p, 25).select("rec_id", "record_num", "apart", r("dep_mean"))
+
+
+@query(P + """, d AS (SELECT *, instr_heading - lag(instr_heading) OVER (PARTITION BY rec_id ORDER BY record_num) AS step FROM p),
+ f AS (SELECT *, CASE WHEN step IS NULL OR abs(step) < 180 THEN 0e0 ELSE (((step + 180) % 360e0) + 360e0) % 360e0 - 180 - step END AS fix FROM d)
+SELECT rec_id, record_num, round(instr_heading + sum(fix) OVER (PARTITION BY rec_id ORDER BY record_num ROWS UNBOUNDED PRECEDING), 3) AS heading_u FROM f""")
+def heading_unwrap(spark, sf):
+    w = Window.partitionBy("rec_id").orderBy("record_num")
+    return unwrap(pings(spark, sf), "instr_heading", w, "heading_u").select("rec_id", "record_num", r("heading_u", 3))
+
+
+@query(P + """, n AS (SELECT *, lead(lon) OVER w AS x1, lead(lat) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY rec_id ORDER BY record_num)),
+ b AS (SELECT *, (degrees(atan2(sin(radians(x1 - lon)) * cos(radians(y1)), cos(radians(lat)) * sin(radians(y1)) - sin(radians(lat)) * cos(radians(y1)) * cos(radians(x1 - lon)))) + 360) % 360 AS b FROM n)
+SELECT rec_id, record_num, round(coalesce(b, lag(b) OVER (PARTITION BY rec_id ORDER BY record_num)), 4) AS cog FROM b""")
+def bearing_lead(spark, sf):
+    return tracks.bearings(pings(spark, sf), REC).select("rec_id", "record_num", r("cog"))
+
+
+@query(P + """, d AS (SELECT *, dep_m / 6378137e0 AS d, radians(instr_heading) AS t, radians(lat) AS a FROM p), b AS (SELECT *, asin(sin(a) * cos(d) + cos(a) * sin(d) * cos(t)) AS b FROM d)
+SELECT record_num, round(degrees(radians(lon) + atan2(sin(t) * sin(d) * cos(a), cos(d) - sin(a) * sin(b))), 8) AS x, round(degrees(b), 8) AS y FROM b""")
+def destination_point(spark, sf):
+    x, y = geo.destination(F.col("lon"), F.col("lat"), F.col("instr_heading"), F.col("dep_m"))
+    return pings(spark, sf).select("record_num", F.round(x, 8).alias("x"), F.round(y, 8).alias("y"))
+
+
+@query(P + "SELECT record_num, '326' || lpad(CAST(CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 AS VARCHAR), 2, '0') AS epsg FROM p")
+def utm_zone(spark, sf):
+    return pings(spark, sf).select("record_num", geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"))
+
+
+@query(P + """, m AS (SELECT rec_id, record_num // 100 AS chunk_id, ping_cnt, count(*) AS k FROM p GROUP BY 1, 2, 3), o AS (SELECT rec_id, chunk_id, ping_cnt, row_number() OVER (PARTITION BY rec_id, chunk_id ORDER BY k DESC, ping_cnt) AS i FROM m)
+SELECT rec_id, chunk_id, round(ping_cnt * 0.05e0, 4) AS range_m FROM o WHERE i = 1""")
+def range_mode(spark, sf):
+    p = pings(spark, sf).withColumn("chunk_id", F.expr("record_num div 100"))
+    return p.groupBy("rec_id", "chunk_id").agg(F.round(F.mode("ping_cnt", True) * F.mode("pixM", True), 4).alias("range_m"))
+
+
+@query(P + """, c AS (SELECT *, record_num // 100 AS chunk_id FROM p), w AS (SELECT *, lag(chunk_id) OVER o AS before, lag(dep_m, 2) OVER o AS second FROM c WINDOW o AS (PARTITION BY rec_id ORDER BY record_num))
+SELECT rec_id, record_num, CASE WHEN chunk_id <> before AND second IS NOT NULL THEN second ELSE dep_m END AS dep_m FROM w""")
+def seam_patch(spark, sf):
+    p = pings(spark, sf).withColumn("chunk_id", F.expr("record_num div 100"))
+    return tracks.patch_seams(p, ("dep_m",), REC).select("rec_id", "record_num", "dep_m")
+
+
+@query(P + """, c AS (SELECT rec_id, beam, record_num // 1000 AS cycle, max(record_num) AS record_num FROM p WHERE beam <> 'purchase' OR record_num % 3 = 0 GROUP BY 1, 2, 3), k AS (SELECT DISTINCT rec_id, cycle FROM c)
+SELECT k.rec_id, k.cycle, b.beam, c.record_num FROM k CROSS JOIN (VALUES ('click'), ('view'), ('purchase')) b(beam) LEFT JOIN c ON c.rec_id = k.rec_id AND c.cycle = k.cycle AND c.beam = b.beam""")
+def missing_ping_cross_join(spark, sf):
+    p = pings(spark, sf).where("beam <> 'purchase' OR record_num % 3 = 0").groupBy("rec_id", "beam", F.expr("record_num div 1000").alias("cycle")).agg(F.max("record_num").alias("record_num"))
+    beams = F.explode(F.array(*map(F.lit, ("click", "view", "purchase"))))
+    return p.select("rec_id", "cycle").distinct().select("rec_id", "cycle", beams.alias("beam")).join(p, ["rec_id", "cycle", "beam"], "left").select("rec_id", "cycle", "beam", "record_num")
+
+
+@query(P + "SELECT 'dep_m' AS \"column\", min(dep_m) AS least, max(dep_m) AS most, round(avg(dep_m), 4) AS mean, max(dep_m) > 0 AS valid FROM p UNION ALL SELECT 'speed_ms', min(speed_ms), max(speed_ms), round(avg(speed_ms), 4), max(speed_ms) > 0 FROM p")
+def ping_profile(spark, sf):
+    return tracks.profile(pings(spark, sf), ["dep_m", "speed_ms"]).withColumn("mean", F.round("mean", 4))
+
+
+@query(P + """, n AS (SELECT rec_id, beam, count(*) AS k FROM p GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY k DESC, beam) AS i FROM n) SELECT rec_id, beam FROM o WHERE i = 1""")
+def longest_beam(spark, sf):
+    return tracks.longest_beam(pings(spark, sf))
+
+
+@query(P + "SELECT rec_id, record_num // 100 AS chunk_id FROM p WHERE beam = 'view' INTERSECT SELECT rec_id, record_num // 100 FROM p WHERE beam = 'click'")
+def chunk_id_intersect(spark, sf):
+    p = pings(spark, sf).withColumn("chunk_id", F.expr("record_num div 100"))
+    return p.where("beam = 'view'").select("rec_id", "chunk_id").intersect(p.where("beam = 'click'").select("rec_id", "chunk_id"))
+
+
+@query(P + "SELECT rec_id, beam, arg_max(dep_m, record_num) AS dep_m, max(record_num) AS record_num FROM p GROUP BY 1, 2")
+def latest_by_key(spark, sf):
+    return pings(spark, sf).groupBy("rec_id", "beam").agg(F.max_by("dep_m", "record_num").alias("dep_m"), F.max("record_num").alias("record_num"))
+
+
+# ---- samples
+
+
+@query(V + "SELECT vec_id, round(sum(CASE WHEN r >= bed THEN x ELSE 0 END), 4) AS below, round(sum(CASE WHEN r < bed THEN x ELSE 0 END), 4) AS above FROM v GROUP BY 1")
+def mask_water_column(spark, sf):
+    add = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 4)
+    s = F.col("samples")
+    return vectors(spark, sf).select("vec_id", add(samples.keep_bed(s, F.col("bed"))).alias("below"), add(samples.keep_water(s, F.col("bed"), F.col("bed"))).alias("above"))
+
+
+@query(V + """, g AS (SELECT vec_id, CAST(round_even(sqrt(CAST(r * r - bed * bed AS DOUBLE)), 0) AS INTEGER) AS i, arg_max(x, r) AS v FROM v WHERE r >= bed GROUP BY 1, 2)
+SELECT vec_id, i, round(v, 4) + 0e0 AS v FROM g""")
+def slant_range_regroup(spark, sf):
+    return samples.slant_range(vectors(spark, sf), ("vec_id",)).where("v IS NOT NULL").select("vec_id", "i", (F.round("v", 4) + 0.0).alias("v"))
+
+
+@query(V + """, q AS (SELECT chunk_id, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.995) AS hi FROM v WHERE x > 0 GROUP BY 1)
+SELECT vec_id, CAST(r AS INTEGER) AS r, CAST(trunc(greatest(least(round((x - lo) / (hi - lo) * 255, 6), 255), 0)) AS INTEGER) AS b FROM v JOIN q USING (chunk_id) WHERE vec_id % 1 = 0""")
+def uint8_percentile_scale(spark, sf):
+    v = vectors(spark, sf).select("vec_id", "chunk_id", F.posexplode("samples").alias("r", "x"))
+    q = samples.stretch_bounds(v, "x", ("chunk_id",))
+    return v.join(q, "chunk_id").select("vec_id", "r", F.greatest(F.least(F.round((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255, 6), F.lit(255.0)), F.lit(0.0)).cast("int").alias("b"))
+
+
+@query(V + "SELECT vec_id, CAST(r AS INTEGER) AS r, round(x * pow(10e0, least(greatest(20 * log10((r + 1) * 0.05e0) + 0.02e0 * ((r + 1) * 0.05e0), 0), 60) / 20), 4) AS v FROM v")
+def time_varying_gain(spark, sf):
+    return vectors(spark, sf).select("vec_id", F.posexplode(samples.tvg(F.col("samples"), 20.0, 0.01, 60.0, 0.05)).alias("r", "v")).select("vec_id", "r", r("v"))
+
+
+@query(V + """, m AS (SELECT *, min(CASE WHEN abs(x) > 0 THEN abs(x) END) OVER (PARTITION BY chunk_id) AS least FROM v)
+SELECT vec_id, CAST(r AS INTEGER) AS r, round(20 * log10(greatest(abs(x), least)) - 20 * log10(least), 3) AS db FROM m""")
+def display_decibels(spark, sf):
+    v = vectors(spark, sf).select("vec_id", "chunk_id", F.posexplode("samples").alias("r", "x"))
+    return v.select("vec_id", "r", F.round(samples.decibels(F.abs("x"), Window.partitionBy("chunk_id")), 3).alias("db"))
+
+
+@query(X + """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, v, CAST(round_even(least(floor(v / 50 * 254), 254) / 254 * 255, 0) AS INTEGER) AS g FROM x WHERE v <= 50""")
+def colormap_join(spark, sf):
+    x = pixels(spark, sf).where("v <= 50")
+    return samples.colorize(x, F.col("v") / 50, samples.level_colors(spark)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "v", "g")
+
+
+@query(X + "SELECT gx, gy, l_orderkey, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 9 + 1, 4) AS z FROM x WINDOW w AS (PARTITION BY gy)")
+def min_max_rescale(spark, sf):
+    return samples.rescale(pixels(spark, sf), "v", 1.0, 10.0, ("gy",), "z").select("gx", "gy", "l_orderkey", r("z"))
+
+
+# ---- gain normalisation
+
+E_SQL = X + """, c AS (SELECT l_linenumber AS beam, l_orderkey // 5000 AS chunk_id, l_partkey % 64 AS row, v FROM x),
+ k AS (SELECT c.* FROM c JOIN (SELECT beam, max(chunk_id) AS z FROM c GROUP BY 1) USING (beam) WHERE chunk_id < z),
+ m AS (SELECT beam, chunk_id, row, avg(nullif(v, 0)) AS cm FROM k GROUP BY 1, 2, 3), g AS (SELECT beam, row, avg(cm) AS row_mean FROM m GROUP BY 1, 2)
+"""
+
+
+def _gain_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    return pixels(spark, sf).select(F.col("l_linenumber").alias("beam"), F.expr("l_orderkey div 5000").alias("chunk_id"), (F.col("l_partkey") % 64).alias("row"), "v")
+
+
+def _means(spark: SparkSession, sf: str) -> DataFrame:
+    return egn.global_means(egn.chunk_means(egn.without_last_chunk(_gain_pixels(spark, sf))))
+
+
+@query(E_SQL + "SELECT beam, row, round(row_mean, 6) AS row_mean FROM g")
+def egn_means(spark, sf):
+    return _means(spark, sf).select("beam", "row", r("row_mean", 6))
+
+
+@query(E_SQL + "SELECT c.beam, chunk_id, round(min(v / row_mean), 6) AS lo, round(max(v / row_mean), 6) AS hi FROM c JOIN g ON c.beam = g.beam AND c.row = g.row GROUP BY 1, 2")
+def egn_minmax(spark, sf):
+    return egn.min_max(egn.correct(_gain_pixels(spark, sf), _means(spark, sf))).select("beam", "chunk_id", r("lo", 6), r("hi", 6))
+
+
+@query(X + "SELECT l_linenumber AS beam, CAST(least(floor(v * 5), 254) AS INTEGER) AS bin, count(*) AS n FROM x WHERE v * 5 BETWEEN 0 AND 255 GROUP BY 1, 2")
+def egn_hist(spark, sf):
+    return egn.histogram(pixels(spark, sf).select(F.col("l_linenumber").alias("beam"), (F.col("v") * 5).alias("v")))
+
+
+@query(X + """, h AS (SELECT CAST(least(floor(v * 5), 254) AS INTEGER) AS bin, count(*) AS n FROM x GROUP BY 1), s AS (SELECT bin, n / sum(n) OVER () AS s FROM h WHERE bin > 0),
+ t AS (SELECT bin, sum(s) OVER (ORDER BY bin) AS a, sum(s) OVER (ORDER BY bin DESC) AS b FROM s)
+SELECT coalesce(max(CASE WHEN a < 0.07 THEN bin END), min(bin)) AS lo, coalesce(min(CASE WHEN b < 0.07 THEN bin END), max(bin)) AS hi FROM t""")
+def egn_stretch_clip(spark, sf):
+    return egn.stretch_percent(egn.histogram(pixels(spark, sf).select(F.col("l_linenumber").alias("beam"), (F.col("v") * 5).alias("v"))), 7)
+
+
+@query(X + """SELECT gx, gy, l_orderkey, l_linenumber, round(255 * least(greatest(pow((CASE WHEN v = 0 THEN 0 ELSE (least(greatest(v, 5), 45) - 5) / 40e0 * 255 END) / 255, 0.8e0) * 1.1e0, 0), 1), 4) AS t FROM x""")
+def egn_tone(spark, sf):
+    v = egn.tone(egn.stretch(F.col("v"), F.lit(5.0), F.lit(45.0)), 0.8, 1.1)
+    return pixels(spark, sf).select("gx", "gy", "l_orderkey", "l_linenumber", F.round(v, 4).alias("t"))
+
+
+@query(P + """, c AS (SELECT rec_id, beam, record_num // 100 AS chunk_id, quantile_cont(ping_cnt * pixM, 0.5) AS m FROM p GROUP BY 1, 2, 3) SELECT rec_id, beam, round(quantile_cont(m, 0.5), 6) AS ref_m FROM c GROUP BY 1, 2""")
+def range_reference(spark, sf):
+    p = pings(spark, sf).withColumn("chunk_id", F.expr("record_num div 100"))
+    return egn.range_reference(egn.chunk_range(p)).select("rec_id", "beam", r("ref_m", 6))
+
+
+# ---- mosaics
+
+
+@query(X + "SELECT gx, gy, round(avg(v), 6) AS v, count(*) AS n FROM x GROUP BY 1, 2")
+def raster_mean(spark, sf):
+    return mosaic.raster_mean(pixels(spark, sf)).select("gx", "gy", r("v", 6), "n")
+
+
+TILE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "v")
+for _how, _agg in (("first", "arg_min(v, o)"), ("last", "arg_max(v, o)"), ("max", "max(v)"), ("average", "round(avg(v), 6)"), ("sum", "sum(v)")):
+
+    def _mosaic(spark, sf, how=_how):
+        x = pixels(spark, sf).withColumn("v", F.col("v") - 1)
+        return mosaic.merge(x, how, F.struct(*TILE_ORDER), limits=None).select("gx", "gy", r("v", 6))
+
+    _queries[f"mosaic_{_how}"] = _mosaic
+    _sql[f"mosaic_{_how}"] = X + f", y AS (SELECT gx, gy, v - 1 AS v, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, v) AS o FROM x WHERE v <> 1) SELECT gx, gy, {_agg} AS v FROM y GROUP BY 1, 2"
+
+
+@query(X + ", s AS (SELECT gx, gy, l_linenumber AS layer, sum(v) AS v FROM x GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY gx, gy ORDER BY v DESC, layer) AS i FROM s) SELECT gx, gy, layer AS cls FROM o WHERE i = 1")
+def mosaic_classify(spark, sf):
+    s = pixels(spark, sf).groupBy("gx", "gy", F.col("l_linenumber").alias("layer")).agg(F.sum("v").alias("v"))
+    return mosaic.merge_class(s)
+
+
+@query(X + ", m AS (SELECT gx, gy, avg(v) AS v FROM x GROUP BY 1, 2) SELECT gx >> 2 AS gx, gy >> 2 AS gy, round(avg(v), 9) AS v FROM m GROUP BY 1, 2")
+def raster_pyramid(spark, sf):
+    return mosaic.pyramid(mosaic.raster_mean(pixels(spark, sf)), 2).select("gx", "gy", r("v", 9))
+
+
+@query(X + ", l AS (SELECT DISTINCT gx, gy, l_linenumber % 3 AS cls, l_linenumber % 3 AS priority FROM x) SELECT gx, gy, max(cls) AS cls FROM l GROUP BY 1, 2")
+def priority_overlay(spark, sf):
+    p = (F.col("l_linenumber") % 3).alias("cls")
+    return mosaic.overlay(pixels(spark, sf).select("gx", "gy", p, (F.col("l_linenumber") % 3).alias("priority")))
+
+
+@query(X + """, f AS (SELECT DISTINCT gx, gy FROM x WHERE v > 49), n AS (SELECT gx, gy, gx + dx AS nx, gy + dy AS ny FROM f CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy))
+SELECT DISTINCT n.gx, n.gy FROM n WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.gx = n.nx AND f.gy = n.ny)""")
+def mosaic_boundary(spark, sf):
+    return mosaic.boundary(pixels(spark, sf).where("v > 49"))
+
+
+@query(X + "SELECT CAST(floor((gx + 0.5) * 0.25 / 1.0) AS BIGINT) AS cx, count(*) AS n, sum(v) AS s FROM x GROUP BY 1")
+def pixel_cells(spark, sf):
+    x = mosaic.to_cells(pixels(spark, sf).select(((F.col("gx") + 0.5) * 0.25).alias("x"), F.col("gy").cast("double").alias("y"), "v"), 1.0)
+    return x.groupBy(F.col("gx").alias("cx")).agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+
+
+# ---- substrate
+
+L_SQL = """WITH l AS (SELECT vec_id, CAST(embedding[1:7] AS DOUBLE[]) AS z FROM embeddings), e AS (SELECT vec_id, unnest(z) AS z, generate_subscripts(z, 1) AS k FROM l),
+ m AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS x FROM e), s AS (SELECT vec_id, k, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM m)
+"""
+
+
+def logits(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double")).alias("logits"))
+
+
+@query(L_SQL + ", o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS i FROM s) SELECT vec_id, CAST(k AS INTEGER) AS cls FROM o WHERE i = 1")
+def class_argmax(spark, sf):
+    return substrate.classify(logits(spark, sf)).select("vec_id", "cls")
+
+
+@query(L_SQL + """, o AS (SELECT vec_id, arg_max(k, p) AS base, max(CASE WHEN k = 4 THEN p END) AS p4, max(CASE WHEN k = 3 THEN p END) AS p3 FROM s GROUP BY 1)
+SELECT vec_id, CAST(CASE WHEN p4 >= 0.35 THEN 4 WHEN p3 >= 0.14 AND base = 4 THEN 3 ELSE base END AS INTEGER) AS cls FROM o""")
+def class_threshold(spark, sf):
+    return substrate.classify(logits(spark, sf), "thresh").select("vec_id", "cls")
+
+
+@query(L_SQL + "SELECT vec_id, CAST(k AS INTEGER) AS k, CAST(round_even(p * 10000, 0) AS INTEGER) AS p FROM s")
+def softmax_scaled(spark, sf):
+    p = substrate.scaled(substrate.softmax(F.col("logits")))
+    return logits(spark, sf).select("vec_id", F.posexplode(p).alias("k", "p")).select("vec_id", (F.col("k") + 1).alias("k"), "p")
+
+
+@query("""WITH l AS (SELECT vec_id, unnest(CAST(embedding[1:7] AS DOUBLE[])) AS a, unnest(CAST(embedding[8:14] AS DOUBLE[])) AS b, generate_subscripts(embedding[1:7], 1) AS k FROM embeddings),
+ m AS (SELECT vec_id, k, exp(a - max(a) OVER w) AS a, exp(b - max(b) OVER w) AS b FROM l WINDOW w AS (PARTITION BY vec_id)), s AS (SELECT vec_id, k, a / sum(a) OVER w AS a, b / sum(b) OVER w AS b FROM m WINDOW w AS (PARTITION BY vec_id)),
+ o AS (SELECT vec_id, arg_max(k, b) AS cb, arg_max(k, a + b) AS cm FROM s GROUP BY 1) SELECT vec_id, CAST(CASE WHEN cb IN (2, 5, 6) THEN cb ELSE cm END AS INTEGER) AS cls FROM o""")
+def model_average(spark, sf):
+    e = table(spark, sf, "embeddings")
+    part = lambda a: e.select("vec_id", F.transform(F.slice("embedding", a, 7), lambda x: x.cast("double")).alias("logits"))
+    return substrate.average_models(part(1), part(8), ("vec_id",)).select("vec_id", "cls")
+
+
+@query("""WITH a AS (SELECT p_brand AS river, l_linenumber AS cls, sum(l_quantity) AS area FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), t AS (SELECT river, sum(area) AS total,
+ coalesce(sum(CASE WHEN cls IN (1, 2) THEN area END), 0) AS soft, coalesce(sum(CASE WHEN cls IN (3, 4) THEN area END), 0) AS hard, coalesce(sum(CASE WHEN cls IN (5, 6) THEN area END), 0) AS other FROM a GROUP BY 1)
+SELECT river, total, soft, hard, other, round(soft / total, 6) AS soft_share, round(hard / total, 6) AS hard_share, round(other / total, 6) AS other_share FROM t""")
+def class_area_share(spark, sf):
+    a = _areas(spark, sf).groupBy("river", F.col("l_linenumber").alias("cls")).agg(F.sum("area").alias("area"))
+    return substrate.area_shares(a, ("river",)).select("river", "total", "soft", "hard", "other", r("soft_share", 6), r("hard_share", 6), r("other_share", 6))
+
+
+@query(V + """, m AS (SELECT *, r - row_number() OVER (PARTITION BY vec_id ORDER BY r) AS g FROM v WHERE x < -0.1) SELECT vec_id, count(*) AS spans, CAST(max(n) AS INTEGER) AS longest FROM (SELECT vec_id, g, max(r) - min(r) + 1 AS n FROM m GROUP BY 1, 2) GROUP BY 1""")
+def shadow_spans(spark, sf):
+    v = vectors(spark, sf).select("vec_id", F.posexplode("samples").alias("row", "x")).withColumn("mask", F.col("x") < -0.1)
+    s = substrate.shadow_spans(v, ("vec_id",))
+    return s.select("vec_id", F.size("spans").cast("long").alias("spans"), F.array_max(F.transform("spans", lambda t: t["b"] - t["a"])).alias("longest"))
+
+
+@query(V + """, z AS (SELECT vec_id, r, CASE WHEN x > 0.05 THEN 2 WHEN x < -0.05 THEN 1 ELSE 0 END AS c FROM v)
+SELECT vec_id, CAST(r AS INTEGER) AS row, coalesce(last_value(nullif(c, 0) IGNORE NULLS) OVER (PARTITION BY vec_id ORDER BY r ROWS UNBOUNDED PRECEDING), last_value(nullif(c, 0) IGNORE NULLS) OVER (PARTITION BY vec_id ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 0) AS cls FROM z""")
+def zero_run_fill(spark, sf):
+    v = vectors(spark, sf).select("vec_id", F.posexplode("samples").alias("row", "x")).withColumn("cls", F.when(F.col("x") > 0.05, 2).when(F.col("x") < -0.05, 1).otherwise(0))
+    return substrate.fill_zero_runs(v, ("vec_id",)).select("vec_id", "row", "cls")
+
+
+# ---- reaches
+
+
+def _areas(spark: SparkSession, sf: str) -> DataFrame:
+    li, pa = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    return li.join(pa, li["l_partkey"] == pa["p_partkey"]).select(F.col("p_brand").alias("river"), F.col("p_type").alias("basin"), "l_linenumber", F.col("l_returnflag").alias("substrate"), F.col("l_quantity").alias("area"), "l_orderkey")
+
+
+A = "WITH a AS (SELECT p_brand AS river, p_type AS basin, l_linenumber, l_returnflag AS substrate, l_quantity AS area, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey)\n"
+
+
+@query(P + """, q AS (SELECT rec_id, avg(dep_m) AS a, quantile_cont(dep_m, 0.01) AS q0, quantile_cont(dep_m, 0.25) AS q1, quantile_cont(dep_m, 0.5) AS q2, quantile_cont(dep_m, 0.75) AS q3, quantile_cont(dep_m, 0.99) AS q4 FROM p GROUP BY 1)
+SELECT rec_id, round_even(a, 6) AS dep_m_avg, round_even(q0, 6) AS dep_m_whisklo, round_even(q1, 6) AS dep_m_q1, round_even(q2, 6) AS dep_m_q2, round_even(q3, 6) AS dep_m_q3, round_even(q4, 6) AS dep_m_whiskhi FROM q""")
+def reach_five_numbers(spark, sf):
+    return reach.five_numbers(pings(spark, sf), REC, "dep_m", 6)
+
+
+@query(P + """, s AS (SELECT *, unnest(CASE WHEN trk_dist = floor(trk_dist / 500) * 500 AND trk_dist >= 500 THEN [CAST(floor(trk_dist / 500) AS BIGINT) - 1, CAST(floor(trk_dist / 500) AS BIGINT)] ELSE [CAST(floor(trk_dist / 500) AS BIGINT)] END) AS stamp FROM p)
+SELECT stamp, round(min(dep_m), 4) AS least, round(max(dep_m), 4) AS most, round(avg(dep_m), 4) AS mean, round(stddev_samp(dep_m), 4) AS std, round(var_samp(dep_m), 3) AS var, round(quantile_cont(dep_m, 0.5), 4) AS median, count(*) AS n FROM s GROUP BY 1""")
+def reach_stats(spark, sf):
+    s = reach.stamps(pings(spark, sf), 500, "trk_dist")
+    n = s.groupBy("stamp").agg(F.count("*").alias("n"))
+    return reach.window_stats(s, ("stamp",), "dep_m").join(n, "stamp").select("stamp", r("least"), r("most"), r("mean"), r("std"), r("var", 3), r("median"), "n")
+
+
+@query(P + """, d AS (SELECT *, coalesce(sqrt((e - lag(e) OVER w) * (e - lag(e) OVER w) + (n - lag(n) OVER w) * (n - lag(n) OVER w)), 0) AS s FROM p WINDOW w AS (PARTITION BY rec_id ORDER BY record_num)),
+ t AS (SELECT rec_id, sum(s) AS length, arg_min(e, record_num) AS x0, arg_min(n, record_num) AS y0, arg_max(e, record_num) AS x1, arg_max(n, record_num) AS y1 FROM d GROUP BY 1)
+SELECT rec_id, round(length, 3) AS length, round(sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)), 3) AS line, round(length / nullif(sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)), 0), 3) AS sinuosity FROM t""")
+def sinuosity(spark, sf):
+    return reach.sinuosity(pings(spark, sf), REC, "record_num").select("rec_id", r("length", 3), r("line", 3), r("sinuosity", 3))
+
+
+@query(A + """, w AS (SELECT river, sum(CASE WHEN substrate = 'A' THEN area END) AS a, sum(CASE WHEN substrate = 'N' THEN area END) AS n, sum(CASE WHEN substrate = 'R' THEN area END) AS r FROM a GROUP BY 1)
+SELECT river, 'a' AS substrate, a AS share FROM w UNION ALL SELECT river, 'n', n FROM w UNION ALL SELECT river, 'r', r FROM w""")
+def melt_share(spark, sf):
+    w = _areas(spark, sf).groupBy("river").pivot("substrate", ["A", "N", "R"]).agg(F.sum("area")).toDF("river", "a", "n", "r")
+    return reach.melt(w, ["river"], ["a", "n", "r"])
+
+
+@query(A + "SELECT river, sum(CASE WHEN substrate = 'A' THEN area END) AS A, sum(CASE WHEN substrate = 'N' THEN area END) AS N, sum(CASE WHEN substrate = 'R' THEN area END) AS R FROM a GROUP BY 1")
+def pivot_river(spark, sf):
+    return _areas(spark, sf).groupBy("river").pivot("substrate", ["A", "N", "R"]).agg(F.sum("area"))
+
+
+@query(A + "SELECT basin, river, sum(area) AS total, count(*) AS n, CAST(grouping(basin) * 2 + grouping(river) AS INTEGER) AS level FROM a GROUP BY GROUPING SETS ((basin, river), (basin), ())")
+def basin_grouping_sets(spark, sf):
+    return reach.totals(_areas(spark, sf))
+
+
+@query(A + """SELECT r.river, s.substrate, count(area) AS n, min(area) AS least, max(area) AS most, coalesce(sum(area), 0) AS total FROM (SELECT DISTINCT river FROM a) r CROSS JOIN (SELECT DISTINCT substrate FROM a) s
+ LEFT JOIN (SELECT * FROM a WHERE area > 49) b ON b.river = r.river AND b.substrate = s.substrate GROUP BY 1, 2""")
+def river_substrate_totals(spark, sf):
+    a = _areas(spark, sf)
+    return reach.crossed(a.where("area > 49"), a.select("river").distinct(), a.select("substrate").distinct())
+
+
+@query(A + """, x AS (SELECT river, l_linenumber AS k, sum(area) AS a FROM a WHERE substrate = 'A' GROUP BY 1, 2), y AS (SELECT river, l_linenumber AS k, sum(area) AS b FROM a WHERE substrate = 'R' AND area > 48 GROUP BY 1, 2)
+SELECT coalesce(x.river, y.river) AS river, coalesce(x.k, y.k) AS k, a, b, coalesce(a, 0) - coalesce(b, 0) AS diff FROM x FULL JOIN y ON x.river = y.river AND x.k = y.k""")
+def diff_full_outer(spark, sf):
+    a = _areas(spark, sf).withColumn("k", F.col("l_linenumber"))
+    x = a.where("substrate = 'A'").groupBy("river", "k").agg(F.sum("area").alias("v"))
+    y = a.where("substrate = 'R' AND area > 48").groupBy("river", "k").agg(F.sum("area").alias("v"))
+    return reach.difference(x, y, ("river", "k"), "v")
+
+
+@query(A + """SELECT basin, cut, count(*) AS n, round(sum(area * (area / 50)), 3) AS hard_area FROM a CROSS JOIN (VALUES (0.2e0), (0.4e0), (0.6e0), (0.8e0)) c(cut) WHERE area / 50 > cut GROUP BY 1, 2""")
+def threshold_sweep(spark, sf):
+    a = _areas(spark, sf).withColumn("share", F.col("area") / 50)
+    return reach.threshold_tally(a, "share", "area", ("basin",)).select("basin", "cut", "n", r("hard_area", 3))
+
+
+@query(A + """, q AS (SELECT quantile_cont(area, 0.01) AS lo, quantile_cont(area, 0.99) AS hi FROM a) SELECT river, count(*) AS n, sum(area) AS total FROM a, q WHERE area BETWEEN lo AND hi GROUP BY 1""")
+def percentile_slice(spark, sf):
+    return reach.within_percentiles(_areas(spark, sf), "area").groupBy("river").agg(F.count("*").alias("n"), F.sum("area").alias("total"))
+
+
+@query("""WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.75) AS b FROM part GROUP BY 1)
+SELECT p_partkey FROM part JOIN q USING (p_brand) WHERE p_retailprice > a - 0.1 * (b - a) AND p_retailprice < b + 0.1 * (b - a)""")
+def whisker_slice(spark, sf):
+    return reach.within_whiskers(table(spark, sf, "part"), "p_retailprice", ("p_brand",), 0.1).select("p_partkey")
+
+
+@query(A + """, t AS (SELECT river, sum(area) AS t FROM a GROUP BY 1) SELECT a.river, round(coalesce(sum(CASE WHEN substrate = 'A' THEN area END), 0) / any_value(t), 6) AS "A_prop", count(CASE WHEN substrate = 'A' THEN 1 END) AS "A_patch_count",
+ round(coalesce(sum(CASE WHEN substrate = 'R' THEN area END), 0) / any_value(t), 6) AS "R_prop", count(CASE WHEN substrate = 'R' THEN 1 END) AS "R_patch_count" FROM a JOIN t ON a.river = t.river GROUP BY 1""")
+def substrate_patches(spark, sf):
+    return substrate.class_shares(_areas(spark, sf), ("river",), ["A", "R"]).select("river", r("A_prop", 6), "A_patch_count", r("R_prop", 6), "R_patch_count")
+
+
+@query(P + ", s AS (SELECT rec_id, beam, record_num, row_number() OVER (PARTITION BY rec_id ORDER BY record_num) - 1 AS i FROM p) SELECT rec_id, record_num FROM s WHERE i % 50 = 0")
+def every_fiftieth(spark, sf):
+    return reach.every(pings(spark, sf), REC, "record_num").select("rec_id", "record_num")
+
+
+# ---- layout
+
+
+@query("SELECT url, CAST(nullif(regexp_extract(url, '(\\d+)([.][^./]*)?$', 1), '') AS BIGINT) AS number FROM pages")
+def tile_numbers(spark, sf):
+    return table(spark, sf, "pages").select("url", waterfall.tile_number(F.col("url")).alias("number"))
+
+
+@query(P + ", t AS (SELECT rec_id, record_num // 100 AS chunk_id, count(*) AS width FROM p GROUP BY 1, 2) SELECT rec_id, chunk_id, width, CAST(coalesce(sum(width) OVER (PARTITION BY rec_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM t")
+def strip_offsets(spark, sf):
+    t = pings(spark, sf).groupBy("rec_id", F.expr("record_num div 100").alias("chunk_id")).agg(F.count("*").alias("width"))
+    return waterfall.strip(t, REC)
+
+
+# ---- kernels without a SQL form
+
+
+@query()
+def depth_savgol(spark, sf):
+    return depth.smooth(pings(spark, sf), "dep_m", "dep_s", keys=REC).select("rec_id", "record_num", r("dep_s"))
+
+
+@query()
+def depth_without_jumps(spark, sf):
+    return depth.without_jumps(pings(spark, sf).select("rec_id", "record_num", "dep_m"), floor=40.0, keys=REC)
+
+
+@query()
+def missing_ping_cycles(spark, sf):
+    return tracks.missing_pings(pings(spark, sf).select("rec_id", "beam", "record_num", "dep_m"), ["click", "view", "purchase", "error", "signup"])
+
+
+@query()
+def track_spline(spark, sf):
+    return tracks.smooth(pings(spark, sf).select("rec_id", "record_num", "time_s", "e", "n"), keys=REC)
+
+
+@query()
+def label_sieve(spark, sf):
+    x = pixels(spark, sf).groupBy(F.lit(0).alias("tile"), F.col("gy").alias("row"), F.col("gx").alias("col")).agg((F.max("l_linenumber") % 3 + 1).cast("int").alias("cls"))
+    return substrate.sieve(x, 4, ("tile",))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
