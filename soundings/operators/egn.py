@@ -26,7 +26,7 @@ def correct(pixels: DataFrame, means: DataFrame, keys: tuple[str, ...] = ("beam"
     last = means.groupBy(*keys).agg(F.max("row").alias("_last"))
     df = pixels.join(last, list(keys)).withColumn("_row", F.least(at if at is not None else F.col("row"), F.col("_last")))
     m = means.select(*keys, F.col("row").alias("_row"), "row_mean")
-    return df.join(m, [*keys, "_row"], "left").withColumn("egn", F.col(value) / F.col("row_mean")).drop("_last", "_row")
+    return df.join(m, [*keys, "_row"], "left").withColumn("egn", F.try_divide(F.col(value), F.col("row_mean"))).drop("_last", "_row")
 
 
 def slant_row(row: Column, depth_row: Column) -> Column:
@@ -43,7 +43,8 @@ def fold_min_max(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def rescale(v: Column, lo: Column, hi: Column) -> Column:
-    return F.least(F.greatest((v - lo) / (hi - lo) * 255, F.lit(0.0)), F.lit(255.0))
+    """lo..hi to 0..255, cut off; 0 where lo and hi are equal."""
+    return F.least(F.greatest(F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0)) * 255, F.lit(0.0)), F.lit(255.0))
 
 
 def histogram(pixels: DataFrame, keys: tuple[str, ...] = ("beam",), value: str = "v") -> DataFrame:
@@ -69,7 +70,7 @@ def stretch_percent(hist: DataFrame, percent: float) -> DataFrame:
 
 def stretch(v: Column, lo: Column, hi: Column) -> Column:
     """lo..hi to 0..255, cut off; 0 stays 0."""
-    return F.when(v == 0, F.lit(0.0)).otherwise((F.least(F.greatest(v, lo), hi) - lo) / (hi - lo) * 255)
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.try_divide(F.least(F.greatest(v, lo), hi) - lo, hi - lo) * 255)
 
 
 def tone(v: Column, gamma: float = 1.0, gain: float = 1.0) -> Column:

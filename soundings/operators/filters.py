@@ -88,7 +88,7 @@ def area(pings: DataFrame, rings: list[list[tuple[float, float]]], x: str = "e",
     for ring in rings:
         r = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ring))
         hit, away = geo.in_ring(F.col(x), F.col(y), r), geo.ring_distance(F.col(x), F.col(y), r)
-        inside = inside | (hit | (away < buffer) if buffer > 0 else hit & (away > 0))
+        inside = inside | (hit | (away < buffer) if buffer > 0 else hit & (away > 1e-9))
     return _and(pings, F.coalesce(inside, F.lit(False)), flag)
 
 

@@ -31,7 +31,7 @@ def pixel_grid(points: DataFrame, keys: tuple[str, ...], width: Column, height:
     w = Window.partitionBy(*keys)
     span = lambda c: (F.min(c).over(w), F.max(c).over(w))
     (x0, x1), (y0, y1) = span("x"), span("y")
-    return points.withColumn("px", F.bround((F.col("x") - x0) / (x1 - x0) * (width - 1)).cast("int")).withColumn("py", F.bround((y1 - F.col("y")) / (y1 - y0) * (height - 1)).cast("int"))
+    return points.withColumn("px", F.bround(F.coalesce(F.try_divide(F.col("x") - x0, x1 - x0), F.lit(0.0)) * (width - 1)).cast("int")).withColumn("py", F.bround(F.coalesce(F.try_divide(y1 - F.col("y"), y1 - y0), F.lit(0.0)) * (height - 1)).cast("int"))
 
 
 def to_cells(points: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:

@@ -67,7 +67,7 @@ def perpendicular(x: Column, y: Column, bearing: Column, right: Column, left: Co
 def extend(ax: Column, ay: Column, bx: Column, by: Column, metres: float) -> Column:
     """The point `metres` beyond b on the line from a."""
     n = geo.distance(ax, ay, bx, by)
-    return F.struct((bx + (bx - ax) / n * metres).alias("x"), (by + (by - ay) / n * metres).alias("y"))
+    return F.struct((bx + F.try_divide(bx - ax, n) * metres).alias("x"), (by + F.try_divide(by - ay, n) * metres).alias("y"))
 
 
 def every(tracks: DataFrame, keys: tuple[str, ...], order: str, n: int = 50) -> DataFrame:

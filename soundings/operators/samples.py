@@ -60,7 +60,7 @@ def decibels(v: Column, chunk: Window) -> Column:
 
 def to_byte(v: Column, lo: Column, hi: Column) -> Column:
     """Linear scale of lo..hi to 0..255, cut off and truncated."""
-    return F.greatest(F.least((v - lo) / (hi - lo) * 255, F.lit(255.0)), F.lit(0.0)).cast("int")
+    return F.greatest(F.least(F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0)) * 255, F.lit(255.0)), F.lit(0.0)).cast("int")
 
 
 def narrow(v: Column, low_zero_share: Column) -> Column:
@@ -76,7 +76,7 @@ def stretch_bounds(pixels: DataFrame, value: str, keys: tuple[str, ...] = (), lo
 
 
 def unit(v: Column, lo: Column, hi: Column) -> Column:
-    return F.least(F.greatest((v - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
+    return F.least(F.greatest(F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
 def to_u16(v: Column, most: Column) -> Column:
@@ -92,7 +92,7 @@ def reserve_zero(v: Column, preserve: bool = False) -> Column:
 def rescale(df: DataFrame, value: str, lo: float, hi: float, keys: tuple[str, ...], out: str) -> DataFrame:
     w = Window.partitionBy(*keys)
     a, b = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(out, (hi - lo) * (F.col(value) - a) / (b - a) + lo)
+    return df.withColumn(out, F.try_divide((hi - lo) * (F.col(value) - a), b - a) + lo)
 
 
 def match_median(pixels: DataFrame, value: str, chunk: tuple[str, ...], target: float, out: str) -> DataFrame:

@@ -172,7 +172,7 @@ def chunk_tail_merge(spark, sf):
 
 @query(P + """, a AS (SELECT *, record_num // 100 AS chunk_id, record_num % 7 > 0 AS ok FROM p), b AS (SELECT *, ok AND dep_m > 20 AS good FROM a),
  c AS (SELECT *, CASE WHEN bool_or(good) OVER (PARTITION BY rec_id, chunk_id) THEN good ELSE ok END AS keep FROM b)
-SELECT rec_id, record_num FROM (SELECT *, bool_or(keep) OVER (PARTITION BY rec_id, chunk_id) AS some FROM c) WHERE keep OR NOT some""")
+SELECT rec_id, record_num FROM (SELECT *, bool_or(keep) OVER (PARTITION BY rec_id, chunk_id) AS any_kept FROM c) WHERE keep OR NOT any_kept""")
 def sane_chunk_rows(spark, sf):
     p = pings(spark, sf).withColumns({"chunk_id": F.expr("record_num div 100"), "ping_cnt": (F.col("record_num") % 7).cast("int"), "pixM": F.when(F.col("dep_m") > 20, 0.05).otherwise(0.0)})
     return filters.sane_chunk(p, ("rec_id", "chunk_id")).select("rec_id", "record_num")
