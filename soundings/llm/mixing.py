@@ -161,7 +161,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     """
     took = mix(docs, weights, most, block_words, seed).where("size > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("skey").alias("mix_source"), F.col("size").alias("mix_size"))
     copies = took.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("mix_copies")).where("mix_copies > 0")
-    keyed = docs.withColumns({"mix_k": _key(docs["source"].cast("string")), "mix_n": n_words(docs["text"])})
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", _key(docs["source"].cast("string")).alias("mix_k"), n_words(docs["text"]).alias("mix_n"))
     same = keyed["doc_id"].eqNullSafe(F.col("mix_id")) & (keyed["mix_k"] == F.col("mix_source")) & (keyed["mix_n"] == F.col("mix_size"))
     found = keyed.join(copies, same, "left").withColumn("mix_copies", F.when(F.col("mix_n") == 0, 1).otherwise(F.coalesce("mix_copies", F.lit(0)))).where("mix_copies > 0")
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select("row.*")

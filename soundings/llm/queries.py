@@ -63,5 +63,71 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_licences, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op8_quality, op9_mixing, op10_minhash)}
 
 
+_VECTORS = """ok AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+ AND list_aggregate(list_transform(embedding, lambda e: CASE WHEN e IS NULL OR isnan(e) OR isinf(e) THEN 1 ELSE 0 END), 'max') = 0 AND list_aggregate(list_transform(embedding, lambda e: abs(e)), 'max') > 0),
+ link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a, ok b WHERE a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.95)"""
+
+ORACLES = {
+    "op1_embeddings": f"""WITH RECURSIVE {_VECTORS}, reach AS (SELECT u AS a, u AS b FROM link UNION SELECT r.a, l.v FROM reach r JOIN link l ON r.b = l.u),
+ root AS (SELECT a, min(b) AS c FROM reach GROUP BY 1), n AS (SELECT u, count(*) AS n FROM link GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN n ON n.u = e.vec_id LEFT JOIN root ON root.a = e.vec_id""",
+    "op4_repetition": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+ i AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+ g AS (SELECT doc_id, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g, hash(list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)) AS h, count(*) OVER (PARTITION BY doc_id) - i AS after FROM i),
+ r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g WHERE after >= 4) WHERE k > 1),
+ c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT r.doc_id, r.i + s.k AS p FROM r CROSS JOIN (VALUES (0), (1), (2), (3), (4)) s(k)) GROUP BY 1),
+ l AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, h FROM g WHERE after >= 50 GROUP BY 1, 2 HAVING count(*) > 1)),
+ z AS (SELECT doc_id, len(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')))) AS n FROM d),
+ o AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(z.n AS BIGINT) AS n_dup_lines,
+  coalesce(c.n, 0) AS n_repeat_words, l.doc_id IS NOT NULL AS long FROM w JOIN z USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT long AS kept FROM o""",
+    "op5_url_filter": r"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ r(said, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+ f AS (SELECT page_id, p.host, p.path, arg_max(h || r.p, length(h) + length(r.p)) AS rule, arg_max(said, length(h) + length(r.p)) AS said FROM p LEFT JOIN r ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, r.p) GROUP BY 1, 2, 3)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN regexp_matches(host, '(^|[.])(spam-farm|cheap-pills|tionsh|ththon|ththhe)[.]') THEN 'block' ELSE 'allow' END) AS verdict, regexp_matches(host, '(^|[.])(spam-farm|cheap-pills|tionsh|ththon|ththhe)[.]') AS in_list FROM f""",
+    "op9_mixing": r"""WITH d AS (SELECT doc_id, coalesce('=' || source, '~') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+ s AS (SELECT k, CAST(sum(size) AS BIGINT) AS s, (row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS w FROM d GROUP BY 1),
+ t AS (SELECT *, (SELECT sum(s) FROM s) AS total, (SELECT sum(w) FROM s) AS all_w FROM s),
+ l AS (SELECT *, (total - coalesce(sum(3 * s) OVER b, 0)) / CAST(all_w - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level FROM t WINDOW b AS (ORDER BY 3 * s / CAST(w AS DOUBLE), k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT *, 3 * s <= level * w AS capped FROM l), m AS (SELECT arg_min(level, 3 * s / CAST(w AS DOUBLE)) AS line FROM f WHERE NOT capped),
+ g AS (SELECT k, s, CASE WHEN capped OR line IS NULL THEN CAST(3 * s AS DOUBLE) ELSE least(line * w, CAST(3 * s AS DOUBLE)) END AS target FROM f, m),
+ o AS (SELECT d.*, s, target, CAST(round(target) AS BIGINT) AS goal, sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a FROM d JOIN g USING (k))
+SELECT doc_id, size, s AS source_size, target, CAST(greatest(least(a + size, goal) - a, 0) + greatest(least(a + s + size, goal) - (a + s), 0) + greatest(least(a + 2 * s + size, goal) - (a + 2 * s), 0) AS BIGINT) AS taken FROM o""",
+    "op10_minhash": r"""WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     ')), ' +') AS w FROM documents),
+ g AS (SELECT doc_id, CASE WHEN len(w) = 1 THEN CASE WHEN w[1] = '' THEN [] ELSE [w[1]] END ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+ x AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, unnest(s) AS t FROM g), df AS (SELECT t, count(*) AS df FROM x GROUP BY 1),
+ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, t) AS i FROM x JOIN df USING (t)), q AS (SELECT * FROM p WHERE i <= n - (n * 80 + 99) // 100 + 1),
+ c AS (SELECT DISTINCT a.doc_id AS u, b.doc_id AS v FROM q a JOIN q b ON a.t = b.t AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+ k AS (SELECT u, v FROM c JOIN g a ON a.doc_id = u JOIN g b ON b.doc_id = v WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
+ e AS (SELECT u, v FROM k UNION ALL SELECT v, u FROM k), reach AS (SELECT u AS a, u AS b FROM e UNION SELECT r.a, e.v FROM reach r JOIN e ON r.b = e.u), root AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, g.doc_id) AS component_id, coalesce(c, g.doc_id) = g.doc_id AS kept FROM g LEFT JOIN root ON root.a = g.doc_id""",
+}
+
+
+def _secret_sql() -> str:
+    """Matches come as lists of texts; their places follow from the lengths of the pieces between them."""
+    parts = []
+    for kind, pattern, group in (("assign", secrets.ASSIGN, 2), ("access", secrets.ACCESS, 0), ("hex", secrets.HEX, 0), ("id", secrets.ID, 0), ("key", secrets.KEY, 0), ("endpoint", secrets.ENDPOINT, 0)):
+        p = pattern.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, '{kind}' AS src, unnest(m) AS m, unnest(v) AS v, unnest(p[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i
+ FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS p FROM d)"""
+        )
+    kinds = ", ".join(f"('{k}', {i}, '{secrets.ROLES[k]}')" for i, k in enumerate(secrets.KINDS))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS ({' UNION ALL '.join(parts)}),
+ b AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, src ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM a),
+ s AS (SELECT doc_id, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, CASE WHEN src = 'assign' AND length(v) < 12 THEN CASE WHEN length(v) >= 4 THEN 'pass' END ELSE src END AS kind FROM b),
+ k(kind, no, role) AS (VALUES {kinds}), x AS (SELECT s.*, no, role FROM s JOIN k USING (kind)), base AS (SELECT * FROM x WHERE no < 3),
+ near AS (SELECT DISTINCT w.doc_id, w.start, w.stop, w.kind, w.no, w.role FROM x w JOIN x o ON o.doc_id = w.doc_id AND greatest(o.start - w.stop, w.start - o.stop) <= 200
+  AND ((w.role IN ('i', 'e') AND o.role = 's') OR (w.role = 's' AND o.role IN ('i', 'e'))) WHERE w.no >= 3),
+ weak AS (SELECT * FROM near w WHERE NOT EXISTS (SELECT 1 FROM base o WHERE o.doc_id = w.doc_id AND o.start < w.stop AND w.start < o.stop)),
+ said AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM weak) GROUP BY 1),
+ told AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) AS spans, count(CASE WHEN no = 0 THEN 1 END) AS a, count(CASE WHEN no = 1 THEN 1 END) AS c, count(CASE WHEN no = 2 THEN 1 END) AS h FROM base GROUP BY 1),
+ extra AS (SELECT doc_id, count(*) AS n FROM weak GROUP BY 1)
+SELECT d.doc_id, coalesce(told.a, 0) AS n_assign, coalesce(told.c, 0) AS n_access, coalesce(told.h, 0) AS n_hex, sha256(coalesce(told.spans, '')) AS base_sha256, coalesce(said.spans, '') AS spans, coalesce(extra.n, 0) AS n_linked
+ FROM d LEFT JOIN told USING (doc_id) LEFT JOIN said USING (doc_id) LEFT JOIN extra USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB equivalents; those of op2, op3, op7 and op8 grow trees, automata and models, which SQL cannot state, and are tested against brute force instead."""
+    return {**ORACLES, "op6_secrets": _secret_sql()}

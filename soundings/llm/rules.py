@@ -168,19 +168,19 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """docs with quality_stats. They pass through a generator, so that the optimiser does not compute them again for each rule."""
-    once = docs.withColumn("quality_once", statistics(docs["text"]))
-    return once.select(*docs.columns, F.explode(F.array("quality_once")).alias("quality_stats"))
+    """row (the columns of docs as a struct) and quality_stats. These pass through a generator, so that the optimiser does not compute them again for each rule."""
+    once = docs.select(F.struct("*").alias("row"), statistics(docs["text"]).alias("once"))
+    return once.select("row", F.explode(F.array("once")).alias("quality_stats"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row. Other columns of docs are ignored; without labels every score is a half."""
     model = learn(docs, labels, ~is_held_out(F.col("doc_id")))
     stats = _measured(docs.select("doc_id", "text"))
-    return stats.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("quality_stats")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return stats.select("row.doc_id", is_held_out(F.col("row.doc_id")).alias("held_out"), model.score(F.col("quality_stats")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The docs that the classifier does not reject."""
     model = learn(docs, labels, ~is_held_out(F.col("doc_id")))
-    return _measured(docs).where(model.score(F.col("quality_stats")) >= threshold).drop("quality_stats")
+    return _measured(docs).where(model.score(F.col("quality_stats")) >= threshold).select("row.*")

@@ -104,15 +104,15 @@ def _said(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, reach: int = 200, short: int = 12) -> DataFrame:
-    """docs with sec_base and sec_all: arrays of (start, end, kind number into KINDS), sorted by start, then kind.
+    """row (the columns of docs as a struct), text, sec_base and sec_all: arrays of (start, end, kind number into KINDS), sorted by start, then kind.
 
     Offsets are code points, ends exclusive. Null or empty text: no spans. Repeated rows are
-    scanned each; an empty table stays empty; columns other than text pass through.
+    scanned each; an empty table stays empty; columns other than text pass through in `row`.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,v:int>>")
     some = lambda pattern, group=0: F.when(t.rlike(ANY), _places(t, pattern, group)).otherwise(none)
-    raw = docs.withColumns({"sec_a": some(ASSIGN, 2), "sec_c": some(ACCESS), "sec_h": some(HEX), "sec_i": some(ID), "sec_k": some(KEY), "sec_e": some(ENDPOINT)})
+    raw = docs.select(F.struct("*").alias("row"), "text").withColumns({"sec_a": some(ASSIGN, 2), "sec_c": some(ACCESS), "sec_h": some(HEX), "sec_i": some(ID), "sec_k": some(KEY), "sec_e": some(ENDPOINT)})
     a = F.col("sec_a")
     base = F.concat(_of_kind(F.filter(a, lambda x: x["v"] >= short), "assign"), _of_kind(F.col("sec_c"), "access"), _of_kind(F.col("sec_h"), "hex"))
     weak = F.concat(
@@ -129,7 +129,7 @@ def report(docs: DataFrame, reach: int = 200) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked: one row per input row."""
     n = lambda kind: F.size(F.filter("sec_base", lambda x: x["kind"] == KINDS.index(kind))).cast("long")
     return scan(docs.select("doc_id", "text"), reach).select(
-        "doc_id", *(n(k).alias(f"n_{k}") for k in BASE), F.sha2(_said(F.col("sec_base")), 256).alias("base_sha256"), _said(F.col("sec_all")).alias("spans"),
+        "row.doc_id", *(n(k).alias(f"n_{k}") for k in BASE), F.sha2(_said(F.col("sec_base")), 256).alias("base_sha256"), _said(F.col("sec_all")).alias("spans"),
         (F.size("sec_all") - F.size("sec_base")).cast("long").alias("n_linked"),
     )
 
@@ -149,7 +149,8 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]", count: str
 
     clean = F.aggregate("sec_all", state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     some = F.size("sec_all") > 0
-    out = found.withColumn("text", F.when(some, clean).otherwise(F.col("text")))
+    out = found.select("row", F.when(some, clean).otherwise(F.col("text")).alias("new"), some.alias("some"))
+    row = F.col("row").withField("text", F.col("new"))
     if count in docs.columns:
-        out = out.withColumn(count, F.when(some, F.length("text").cast(docs.schema[count].dataType)).otherwise(F.col(count)))
-    return out.select(*docs.columns)
+        row = row.withField(count, F.when(F.col("some"), F.length("new").cast(docs.schema[count].dataType)).otherwise(F.col("row")[count]))
+    return out.select(row.alias("row")).select("row.*")
