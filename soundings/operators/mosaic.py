@@ -160,3 +160,17 @@ def rubber_sheet(pings: DataFrame, size: float, keys: tuple[str, ...] = (*KEYS,
         return got
 
     return pings.select(*keys, "record_num", "samples", "e", "n", "range_e", "range_n").groupBy(*keys).applyInPandas(run, s)
+
+
+def fill_gaps(pixels: DataFrame, reach: int = 2) -> DataFrame:
+    """Empty pixels within `reach` of filled ones get their mean weighted by inverse distance; filled ones stay. Each pixel is sent to a fixed number of neighbours."""
+    steps = [(a, b, 1.0 / (a * a + b * b) ** 0.5) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if (a or b) and a * a + b * b <= reach * reach]
+    near = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(w).alias("w")) for a, b, w in steps))
+    some = pixels.where("v <> 0").select("gx", "gy", F.col("v").cast("double").alias("v"))
+    spread = some.select("gx", "gy", "v", F.inline(near)).groupBy((F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+    return some.unionByName(spread.join(some.select("gx", "gy"), ["gx", "gy"], "left_anti"))
+
+
+def token(beam: Column) -> Column:
+    """The frequency part of a beam's name, for mosaic names."""
+    return F.regexp_replace(F.regexp_replace(beam, "^ss_(port|star)_?", ""), "[^A-Za-z0-9]+", "_")

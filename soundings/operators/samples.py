@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels
+
 
 def bed_row(depth: Column, pix_m: Column) -> Column:
     return F.bround(depth / pix_m).cast("int")
@@ -142,3 +146,37 @@ def side_by_side(port: DataFrame, star: DataFrame, keys: tuple[str, ...]) -> Dat
     none = F.array().cast("array<double>")
     p, s = F.coalesce("_p", none), F.coalesce("_s", none)
     return both.withColumn("samples", F.concat(F.reverse(pad(p, n)), pad(s, n))).drop("_p", "_s")
+
+
+def _chunk_images(pixels: DataFrame, keys: tuple[str, ...], value: str, f, kind: str = "double") -> DataFrame:
+    """(*keys, row, col, value) of each chunk's image after f(image), which may change its size."""
+    s = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys) + f", row int, col int, {value} {kind}"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        r, c = part["row"].to_numpy(), part["col"].to_numpy()
+        image = np.zeros((r.max() + 1, c.max() + 1))
+        image[r, c] = part[value]
+        out = f(image, part)
+        i, j = np.indices(out.shape)
+        got = pd.DataFrame({"row": i.ravel().astype(np.int32), "col": j.ravel().astype(np.int32), value: out.ravel()})
+        for k in keys:
+            got[k] = part[k].iloc[0]
+        return got
+
+    return pixels.groupBy(*keys).applyInPandas(run, s)
+
+
+def enhance(pixels: DataFrame, keys: tuple[str, ...], lo: float, hi: float, value: str = "v", tiles: int = 8, clip: float = 0.01) -> DataFrame:
+    """Contrast-limited equalisation of chunk images, with survey-wide bounds lo and hi mapped to 0 and 1; values are 0..255."""
+    return _chunk_images(pixels, keys, value, lambda a, _: kernels.clahe(np.clip((a - lo) / max(hi - lo, 1e-12), 0, 1), tiles, clip) * 255)
+
+
+def correct_speed(pixels: DataFrame, keys: tuple[str, ...], value: str = "v", factor: float = 0.0) -> DataFrame:
+    """Chunk images resized along the track: to track metres / pixM (columns trk_dist, pixM) pixels, or by `factor`."""
+
+    def run(a: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+        span = float(part["trk_dist"].max() - part["trk_dist"].min()) if not factor else 0.0
+        width = round(a.shape[1] * factor) if factor else round(span / float(part["pixM"].iloc[0]))
+        return kernels.resize(a, (a.shape[0], max(1, int(width))))
+
+    return _chunk_images(pixels, keys, value, run)

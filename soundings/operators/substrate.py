@@ -161,3 +161,28 @@ def class_shares(areas: DataFrame, keys: tuple[str, ...], classes: list[str], ar
     return areas.groupBy(*keys).agg(
         *(f for c in classes for f in (F.coalesce(F.sum(F.when(F.col(cls) == c, F.col(area))) / total, F.lit(0.0)).alias(f"{c}_prop"), F.count(F.when(F.col(cls) == c, 1)).alias(f"{c}_patch_count")))
     )
+
+
+def standardise(samples: Column) -> Column:
+    """Samples with mean 0 and deviation 1, as a model takes them; zeros where all are equal."""
+    n = F.size(samples)
+    mean = F.aggregate(samples, F.lit(0.0), lambda a, b: a + b) / n
+    sd = F.sqrt(F.aggregate(samples, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean)) / n)
+    return F.transform(samples, lambda x: F.coalesce(F.try_divide(x - mean, sd), F.lit(0.0)))
+
+
+def crop_shadow(pixels: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id"), margin: int = 50, value: str = "v") -> DataFrame:
+    """Pixels of the topmost connected region of nonzero values, other values 0, cropped below its deepest row plus `margin`."""
+
+    def top(image: np.ndarray) -> np.ndarray:
+        regions, n = kernels.label(image != 0)
+        if not n:
+            return image
+        keep = regions == regions[tuple(np.argwhere(regions > 0)[0])]
+        deepest = np.flatnonzero(keep.any(1)).max()
+        out = np.where(keep, image, 0).astype(float)
+        out[min(len(out), deepest + margin + 1) :] = np.nan
+        return out
+
+    got = _image("crop", top, pixels, keys, value, value, "double")
+    return got.where(F.col(value).isNotNull() & ~F.isnan(value))

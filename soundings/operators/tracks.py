@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.windows import KEYS, along, run_id, unwrap
+from ..functions.windows import KEYS, along, fill_linear, run_id, unwrap
 from . import kernels
 
 
@@ -188,3 +188,14 @@ def beam_duplicate(pings: DataFrame) -> DataFrame:
     copy = pings.join(one, [pings["rec_id"] == one["rec_id"], pings["beam"] == one["_b"]]).drop(one["rec_id"])
     other = F.when(F.col("_b").startswith("ss_port"), F.regexp_replace("_b", "^ss_port", "ss_star")).otherwise(F.regexp_replace("_b", "^ss_star", "ss_port"))
     return pings.withColumn("export", F.lit(True)).unionByName(copy.withColumn("beam", other).drop("_b", "_k").withColumn("export", F.lit(False)))
+
+
+def relinearise(pings: DataFrame, every: int = 50, keys: tuple[str, ...] = (*KEYS, "chunk_id"), columns: tuple[str, ...] = ("range_e", "range_n")) -> DataFrame:
+    """columns linear between every `every`-th ping of a chunk (and its last), leaving out pings marked `overlap`; the row count stays."""
+    w = along(keys)
+    kept = ~F.col("overlap") if "overlap" in pings.columns else F.lit(True)
+    df = pings.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    df = df.withColumn("_knot", kept & ((F.col("_i") % every == 0) | (F.col("_i") == F.col("_n") - 1)))
+    for c in columns:
+        df = fill_linear(df, c, keys, "record_num", "_f", F.col("_knot")).withColumn(c, F.coalesce("_f", c)).drop("_f")
+    return df.drop("_i", "_n", "_knot")

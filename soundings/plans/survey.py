@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import depth, egn, filters, mosaic, samples, substrate, tracks
+from ..sources.tables import load_params
 
 
 @dataclass
@@ -32,6 +33,12 @@ class Params:
     gain: float = 1.0
     method: str = "max"
 
+    @classmethod
+    def from_json(cls, text: str) -> Params:
+        """Known settings of a JSON object over the defaults; others are ignored."""
+        given = load_params(text)
+        return cls(**{f.name: given[f.name] for f in fields(cls) if f.name in given})
+
 
 def read_stage(pings: DataFrame, p: Params, intervals: DataFrame | None = None, quality: dict | None = None) -> DataFrame:
     """Filtered pings with transects, chunks and cleaned depths, for all recordings at once."""
@@ -86,3 +93,12 @@ def run(pings: DataFrame, p: Params | None = None) -> dict[str, DataFrame]:
     if "samples" in pings.columns:
         out |= {"gain": gain_stage(read, p), "mosaic": mosaic_stage(track, p)}
     return out
+
+
+def batch(recordings: DataFrame, pings: DataFrame, p: Params | None = None) -> DataFrame:
+    """rec_id, status, n_pings, n_kept, n_chunks of each recording: one job for all, whatever their number."""
+    kept = read_stage(pings, p or Params()).groupBy("rec_id").agg(F.count("*").alias("n_kept"), F.countDistinct("beam", "chunk_id").alias("n_chunks"))
+    seen = pings.groupBy("rec_id").agg(F.count("*").alias("n_pings"))
+    df = recordings.select("rec_id").join(seen, "rec_id", "left").join(kept, "rec_id", "left")
+    status = F.when(F.col("n_pings").isNull(), "no pings").when(F.col("n_kept").isNull(), "all filtered").otherwise("done")
+    return df.select("rec_id", status.alias("status"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pings", "n_kept", "n_chunks")))
