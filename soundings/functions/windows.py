@@ -70,14 +70,31 @@ def as_of(rows: DataFrame, events: DataFrame, time: str, event_time: str, state:
     """
     if rank:
         events = events.groupBy(*by, event_time).agg(F.max_by(state, rank).alias(state))
+    if not by:
+        return _as_of_all(rows, events, time, event_time, state, out)
     kind = rows.schema[time].dataType
     left = rows.select(F.struct("*").alias("_row"), *by, F.col(time).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(events.schema[state].dataType).alias("_s"))
     right = events.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), *by, F.col(event_time).cast(kind).alias("_t"), F.lit(0).alias("_o"), F.col(state).alias("_s"))
-    w = Window.partitionBy(*by).orderBy("_t", "_o") if by else Window.partitionBy(F.lit(0)).orderBy("_t", "_o")
+    w = Window.partitionBy(*by).orderBy("_t", "_o")
     merged = left.unionByName(right).withColumn(out, F.last("_s", ignorenulls=True).over(upto(w)))
     return merged.where("_o = 1").select("_row.*", out)
 
 
+def _as_of_all(rows: DataFrame, events: DataFrame, time: str, event_time: str, state: str, out: str, cells: int = 4096) -> DataFrame:
+    """as_of() over one sequence of events for all rows: within each of `cells` spans of time, with the state that earlier spans leave behind."""
+    span = rows.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+    if span["lo"] is None:
+        return rows.withColumn(out, F.lit(None).cast(events.schema[state].dataType))
+    lo, width = float(span["lo"]), max((float(span["hi"]) - float(span["lo"])) / cells, 1e-9)
+    cell = lambda c: F.least(F.greatest(F.floor((F.col(c).cast("double") - lo) / width), F.lit(-1)), F.lit(cells))
+    told = events.where(F.col(event_time).isNotNull()).withColumn("_cell", cell(event_time))
+    last = told.where(F.col(state).isNotNull()).groupBy("_cell").agg(F.max_by(state, event_time).alias("_left"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # cells + 2 rows
+    carry = rows.sparkSession.range(-1, cells + 1).select(F.col("id").alias("_cell")).join(last, "_cell", "left").withColumn("_carry", F.last("_left", ignorenulls=True).over(before)).drop("_left")
+    inside = as_of(rows.withColumn("_cell", cell(time)), told, time, event_time, state, out, ("_cell",))
+    return inside.join(carry, "_cell", "left").withColumn(out, F.coalesce(out, "_carry")).drop("_cell", "_carry")
+
+
 def island_lengths(index: Column, w: WindowSpec, keys: tuple[str, ...], df: DataFrame) -> DataFrame:
     """Adds _run and _len: the run of consecutive index values and its number of rows."""
     return df.withColumn("_run", run_id(index, w)).withColumn("_len", F.count("*").over(Window.partitionBy(*keys, "_run")))

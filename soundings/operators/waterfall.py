@@ -27,11 +27,9 @@ def strip(tiles: DataFrame, keys: tuple[str, ...], order: str = "chunk_id", widt
     return tiles.withColumn("offset", F.coalesce(F.sum(width).over(w), F.lit(0)))
 
 
-def combined(port: DataFrame, star: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Pairs of tiles by chunk, the last chunk first; position is the row of the combined image."""
-    both = port.join(star, key)
-    return both.withColumn("position", F.count("*").over(Window.partitionBy(F.lit(0)))  # number of chunks
-                           - F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
+def combined(port: DataFrame, star: DataFrame, key: str = "chunk_id", keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """Pairs of tiles by chunk, the last chunk first; position is the row of a recording's combined image."""
+    return port.join(star, [*keys, key]).withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(key))) - 1)
 
 
 def positions(length: int, window: int, stride: int, backwards: bool = False) -> list[int]:

@@ -37,6 +37,24 @@ def test_fill_linear_equals_numpy(spark):
     assert np.allclose(values(again, "g"), values(again, "f"))
 
 
+def test_as_of_without_key(spark):
+    from soundings.functions.windows import as_of
+
+    t, e = np.sort(RNG.random(80)) * 100, np.sort(RNG.random(15)) * 140 - 20
+    s = RNG.random(15) > 0.5
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(t)], "i int, t double")
+    events = spark.createDataFrame([(float(x), bool(y)) for x, y in zip(e, s)], "at double, keep boolean")
+    got = [r["k"] for r in as_of(rows, events, "t", "at", "keep", "k").orderBy("i").collect()]
+    at = np.searchsorted(e, t, "right") - 1
+    assert got == [bool(s[i]) if i >= 0 else None for i in at]
+
+
+def test_combined_tiles(spark):
+    d = spark.createDataFrame([("r", 0, "a"), ("r", 2, "b")], "rec_id string, chunk_id int, path string")
+    got = waterfall.combined(d, d.withColumnRenamed("path", "other")).orderBy("position").collect()
+    assert [r["chunk_id"] for r in got] == [2, 0]
+
+
 def test_geometry(spark):
     sq = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (4, 0), (4, 3), (0, 3))))
     r = spark.range(1).select(
