@@ -20,8 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import written
 
@@ -136,35 +138,38 @@ def member(rows: DataFrame, key: str, filters: DataFrame, shards: int, out: str,
 
 
 def _streamed(rows: DataFrame, key: str, filters: DataFrame, shards: int, out: str) -> DataFrame:
-    """member() without a broadcast: rows packed as structs, after their shard's filter, in one sorted stream."""
-    row = F.struct(*rows.columns)
+    """member() without a broadcast: rows, packed as structs, follow their shard's filter in one sorted stream; a shard is salted."""
+    row = F.struct("*")
     kind = rows.select(row.alias("r")).schema["r"].dataType
+    home = F.coalesce(F.pmod(F.xxhash64(F.lit("g"), key), F.lit(shards)), F.lit(0).cast("long"))
     pages = rows.select(
-        F.pmod(F.xxhash64(F.lit("g"), key), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).alias("salt"), F.lit(1).alias("o"),
-        F.lit(None).cast("binary").alias("levels"), F.xxhash64(key).alias("h"), F.xxhash64(F.lit("g"), key).alias("g"), F.col(key).isNotNull().alias("some"), F.to_json(row, {"ignoreNullFields": "false"}).alias("r"),
-    )
-    each = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"), F.lit(0).alias("o"), "levels", *(F.lit(0).cast("long").alias(c) for c in "hg"), F.lit(False).alias("some"), F.lit(None).cast("string").alias("r"))
+        home.alias("shard"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"), F.lit(1).alias("o"), F.lit(None).cast("binary").alias("levels"),
+        F.xxhash64(key).alias("h"), F.xxhash64(F.lit("g"), key).alias("g"), F.col(key).isNotNull().alias("some"), row.alias("r"),
+    )
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    each = filters.select("shard", salts.alias("salt"), F.lit(0).alias("o"), "levels", *(F.lit(0).cast("long").alias(c) for c in "hg"), F.lit(False).alias("some"), F.lit(None).cast(kind).alias("r"))
     stream = pages.unionByName(each).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "o")
 
-    def flow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, levels = None, []
-        for p in parts:
-            done = np.zeros(len(p), bool)
-            where = list(zip(p["shard"], p["salt"]))
-            edges = [0, *(i for i in range(1, len(p)) if where[i] != where[i - 1]), len(p)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
+        for b in batches:
+            shard, salt, o, h, g, some = (np.asarray(b.column(c)) if c != "some" else b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "salt", "o", "h", "g", "some"))
+            h, g = h.astype(np.int64).view(np.uint64), g.astype(np.int64).view(np.uint64)
+            found = np.zeros(b.num_rows, bool)
+            turn = np.flatnonzero((shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])) + 1
+            for x, y in zip([0, *turn], [*turn, b.num_rows]):
+                if x == y:
                     continue
-                if where[a] != at:
-                    at, levels = where[a], []
-                if p["o"].iloc[a] == 0:
-                    levels = pickle.loads(p["levels"].iloc[a])
-                done[a:b] = look(levels, _u64(p["h"].iloc[a:b]), _u64(p["g"].iloc[a:b]))
-            keep = (p["o"] == 1).to_numpy()
-            yield pd.DataFrame({"r": p["r"][keep], "found": done[keep] & p["some"].to_numpy(bool)[keep]})
-
-    found = stream.mapInPandas(flow, "r string, found boolean")
-    return found.select(F.from_json("r", kind).alias("r"), "found").select("r.*", F.col("found").alias(out))
+                if (shard[x], salt[x]) != at:
+                    at, levels = (shard[x], salt[x]), []
+                if o[x] == 0:
+                    levels = pickle.loads(b.column("levels")[int(x)].as_py())
+                found[x:y] = look(levels, h[x:y], g[x:y])
+            mine = pa.array(o == 1)
+            yield pa.RecordBatch.from_arrays([b.column("r").filter(mine), pa.array(found & some).filter(mine)], ["r", "found"])
+
+    found = stream.mapInArrow(flow, T.StructType([T.StructField("r", kind), T.StructField("found", T.BooleanType())]))
+    return found.select("r.*", F.col("found").alias(out))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Column) -> DataFrame:
