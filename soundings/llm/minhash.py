@@ -11,9 +11,12 @@ length have a full signature whose registers agree with probability J, the Jacca
 3. Within a band's bucket every class is paired with the smallest one: a star, not all pairs.
 4. Pairs are dropped if their sizes rule out the threshold, or if the collision-corrected
    estimate of J lies five standard errors below it; the rest are verified on full sets.
-5. Components of verified links. Classes that share a bucket but not a component are then
-   paired as well and verified, which makes the components those of all links that banding
-   finds, while a large group of near copies costs one pair per member.
+5. Components of verified links. Where a bucket holds classes of several components, links
+   between those are still open. Such classes meet in the family of the bucket's largest
+   component. A family is dealt to tiles of bounded size; a task takes two tiles, counts all
+   shared shingles between them in matrices, and returns a spanning forest of the links across
+   components. So a large group of near copies costs about one pair per member, and the
+   proof that its outliers are not linked to it takes place inside tasks, without rows for pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +35,7 @@ from ._words import U, Texts, mix, shingles, words
 
 BUCKETS, MANTISSA, ROWS, BANDS = 256, 8, 6, 42
 ERRORS = 5.0
+TILE_SHINGLES, TILE_SETS = 250_000, 512
 _rng = np.random.Generator(np.random.PCG64(7))
 _ORDER = np.argsort(_rng.random((BUCKETS, BUCKETS)), axis=1)
 _BAND_SALT = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
@@ -75,7 +80,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n (set size), f and g (a 128-bit fingerprint of the set), bands, regs."""
+    """doc_id, n (set size), f and g (a 128-bit fingerprint of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,37 +88,53 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 texts = Texts(part.column(1))
                 first, _, _, h = words(texts, lower=True)
                 size, f, g = np.zeros(texts.n, np.int64), np.zeros(texts.n, U), np.zeros(texts.n, U)
-                keys, regs = [], []
+                keys = []
                 with np.errstate(over="ignore"):
                     for i, u in enumerate(shingles(first, h, n)):
                         size[i] = len(u)
                         if len(u):
                             f[i], g[i] = u.sum(), mix(u + U(1)).sum()
-                            r = registers(u)
-                            keys.append(bands(r))
-                            regs.append(r.tobytes())
-                        else:
-                            regs.append(b"")
+                            keys.append(bands(registers(u)))
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(regs, pa.binary())],
-                    ["doc_id", "n", "f", "g", "bands", "regs"],
+                    [part.column(0), pa.array(size), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    ["doc_id", "n", "f", "g", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f long, g long, bands array<long>, regs binary")
+    return docs.mapInArrow(run, "doc_id long, n long, f long, g long, bands array<long>")
 
 
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, set: the sorted distinct shingle hashes as 8-byte numbers."""
+def sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """doc_id, set (the sorted distinct shingle hashes), regs: of the documents named in ids (doc_id), and a few others.
+
+    A bitmap of hashed ids (16 bits each, at most 8 MB) lets tasks skip most other texts
+    where they are read, so neither texts nor sets are shuffled here.
+    """
+    bits = 1 << min(26, max(16, (16 * ids.count()).bit_length()))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words_ = ids.select((spot / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("bit")).groupBy("at").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words_["at"]] = words_["bits"]
+    held = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = np.asarray(batch.column(2).fill_null(0)).astype(np.int64)
+            batch = batch.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for part in _slices(batch):
                 first, _, _, h = words(Texts(part.column(1)), lower=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([u.tobytes() for u in shingles(first, h, n)], pa.binary())], ["doc_id", "set"])
+                each = list(shingles(first, h, n))
+                ends = np.concatenate([[0], np.cumsum([len(u) for u in each])]).astype(np.int32)
+                flat = np.concatenate(each).view(np.int64) if each else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([registers(u).tobytes() if len(u) else b"" for u in each], pa.binary())], ["doc_id", "set", "regs"])
 
-    return docs.mapInArrow(run, "doc_id long, set binary")
+    made = written(docs.where("doc_id IS NOT NULL").select("doc_id", "text", spot.alias("spot")).mapInArrow(run, "doc_id long, set array<long>, regs binary"), "near-sets")
+    if made.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return made
+    once = written(made.where(F.size("set") > 0).groupBy("doc_id").agg(F.first("set").alias("set"), F.first("regs").alias("regs")), "near-sets")
+    remove(made)
+    return once
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -121,11 +142,10 @@ def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _promising(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
+def _promising(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (u, v) whose sizes and estimate allow num/den."""
-    need = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    some = written(sigs.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("regs").alias("regs")), "near-regs")
-    left, right = some.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("regs").alias("ru")), some.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("regs").alias("rv"))
+    n = F.size("set")
+    left, right = full.select(F.col("doc_id").alias("u"), n.alias("nu"), F.col("regs").alias("ru")), full.select(F.col("doc_id").alias("v"), n.alias("nv"), F.col("regs").alias("rv"))
     sized = pairs.join(left, "u").join(right, "v").where(F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,27 +162,81 @@ def _promising(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFra
     return sized.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose full sets satisfy den * |intersection| >= num * |union|."""
-    need = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    full = written(sets(docs.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")).select("doc_id", "text"), n), "near-sets")
     left, right = full.select(F.col("doc_id").alias("u"), F.col("set").alias("su")), full.select(F.col("doc_id").alias("v"), F.col("set").alias("sv"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("su"), b.column("sv")):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            m = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("u").filter(m), b.column("v").filter(m)], ["u", "v"])
-
-    out = written(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long"), "near-links")
-    remove(full)
+    both = F.size(F.array_intersect("su", "sv"))
+    held = pairs.join(left, "u").join(right, "v").where(den * both >= num * (F.size("su") + F.size("sv") - both))
+    return written(held.select("u", "v"), "near-links")
+
+
+def _shared_counts(sets_: list[np.ndarray]) -> np.ndarray:
+    """n by n counts of shingles that sets share: pairs of documents for rare shingles, matrix products for common ones."""
+    n = len(sets_)
+    doc = np.repeat(np.arange(n), [len(x) for x in sets_])
+    _, token, df = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    order = np.argsort(token, kind="stable")
+    doc, start = doc[order], np.concatenate([[0], np.cumsum(df)])[:-1]
+    out = np.zeros(n * n, np.float32)
+    for d in range(2, 17):
+        at = start[df == d]
+        for i in range(d):
+            for j in range(i + 1, d):
+                np.add.at(out, doc[at + i] * n + doc[at + j], 1)
+    out = out.reshape(n, n)
+    out += out.T
+    common = np.flatnonzero(df > 16)
+    for k in range(0, len(common), 4096):
+        some = common[k : k + 4096]
+        x = np.zeros((n, len(some)), np.float32)
+        for c, t in enumerate(some):
+            x[doc[start[t] : start[t] + df[t]], c] = 1
+        out += x @ x.T
     return out
 
 
+def _across(open_: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) between components within families; open_: (id, root, family)."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        ids, roots, tile = part["id"].to_numpy(), part["root"].to_numpy(), part["tile"].to_numpy()
+        sets_ = [np.asarray(x, np.int64) for x in part["set"]]
+        size = np.array([len(x) for x in sets_], np.float64)
+        both = _shared_counts(sets_).astype(np.float64)
+        near = den * both >= num * (size[:, None] + size[None] - both)
+        near &= (ids[:, None] < ids[None]) & (roots[:, None] != roots[None])
+        if key[1] != key[2]:
+            near &= tile[:, None] != tile[None]
+        u, v = np.nonzero(near)
+        return _forest(ids, u, v)
+
+    sized = open_.join(full.select(F.col("doc_id").alias("id"), "set", F.size("set").alias("n")), "id")
+    tiles = open_.join(full.select(F.col("doc_id").alias("id"), F.size("set").alias("n")), "id").groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_SETS)).cast("int").alias("tiles"))
+    dealt = sized.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("family", F.least("tile", "o").alias("ta"), F.greatest("tile", "o").alias("tb"), "tile", "id", "root", "set")
+    return written(dealt.groupBy("family", "ta", "tb").applyInPandas(run, "u long, v long"), "near-across")
+
+
+def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """A spanning forest of the links a-b (positions in ids)."""
+    up = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        p, q = root(i), root(j)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((ids[i], ids[j]))
+    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+
 def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -189,17 +263,15 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     shared = written(keyed.join(hubs, "key"), "near-shared")
     remove(keyed)
     star = written(shared.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), "near-star")
-    links = _verified(written(_promising(star, sigs, num, den), "near-pairs"), docs, n, num, den)
+    full = sets(docs, star.select(F.col("u").alias("doc_id")).union(star.select("v")).distinct(), n)
+    links = _verified(written(_promising(star, full, num, den), "near-pairs"), full, num, den)
     root = components(links, "near")
     at = shared.select("key", F.col("doc_id").alias("id")).join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    apart = at.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    open_ = written(at.join(apart, "key", "left_semi"), "near-open")
-    x, y = open_.select("key", F.col("id").alias("u"), F.col("root").alias("ra")), open_.select("key", F.col("id").alias("v"), F.col("root").alias("rb"))
-    crossing = written(x.join(y, "key").where("u < v AND ra <> rb").select("u", "v").distinct().join(star, ["u", "v"], "left_anti"), "near-crossing")
-    if not crossing.isEmpty():
-        more = _verified(written(_promising(crossing, sigs, num, den), "near-pairs"), docs, n, num, den)
-        if not more.isEmpty():
-            root = components(links.unionByName(more), "near")
+    mains = at.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.min_by("root", F.struct(-F.col("k"), F.col("root"))).alias("family"), F.count("*").alias("roots")).where("roots > 1")
+    open_ = written(at.join(mains, "key").select("id", "root", "family").distinct(), "near-open")
+    more = _across(open_, full, num, den)
+    if not more.isEmpty():
+        root = components(links.unionByName(more), "near")
     named = classes.join(root, F.col("rep") == F.col("id"), "left").select("f", "g", F.col("n").alias("m"), F.coalesce("root", "rep").alias("component"))
     out = light.join(named, (light.f == named.f) & (light.g == named.g) & (light.n == named.m), "left")
     component = F.coalesce("component", "doc_id")
@@ -209,4 +281,4 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs, with one document of each group of near copies (the one with the smallest doc_id)."""
     drop = groups(docs, n, num, den).where("NOT kept").select(F.col("doc_id").alias("near_dropped")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("near_dropped"), "left_anti")
+    return docs.join(drop, docs["doc_id"].cast("long") == drop["near_dropped"], "left_anti")
