@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK, SLICE = 1 << 20, 4 << 20
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -139,3 +139,13 @@ def shingles(first: np.ndarray, hashes: np.ndarray, n: int) -> Iterator[np.ndarr
                 yield mix(np.array([x + U(1000 + k)], U))
             else:
                 yield np.zeros(0, U)
+
+
+def slices(batch: pa.RecordBatch, most_bytes: int = SLICE, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows of about most_bytes of text each."""
+    offsets = Texts(batch.column(column)).offsets
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to

@@ -21,8 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._words import Texts, words
-from .repetition import slices
+from ._words import Texts, slices, words
 
 #: Phrase -> label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -210,7 +209,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, ph
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Scanner = held.value
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch):
                 t = Texts(part.column(1))
                 first, _, _, h = words(t, SEPARATOR, lower=True)
                 ids = s.vocabulary(h)

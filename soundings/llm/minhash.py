@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._shared import remove, written
-from ._words import U, Texts, mix, shingles, words
+from ._words import U, Texts, mix, shingles, slices, words
 
 BUCKETS, MANTISSA, ROWS, BANDS = 256, 8, 6, 42
 ERRORS = 5.0
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 texts = Texts(part.column(1))
                 first, _, _, h = words(texts, lower=True)
                 size, f, g = np.zeros(texts.n, np.int64), np.zeros(texts.n, U), np.zeros(texts.n, U)
@@ -122,7 +122,7 @@ def sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             at = np.asarray(batch.column(2).fill_null(0)).astype(np.int64)
             batch = batch.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            for part in _slices(batch):
+            for part in slices(batch):
                 first, _, _, h = words(Texts(part.column(1)), lower=True)
                 each = list(shingles(first, h, n))
                 ends = np.concatenate([[0], np.cumsum([len(u) for u in each])]).astype(np.int32)
@@ -137,11 +137,6 @@ def sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return once
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _promising(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (u, v) whose sizes and estimate allow num/den."""
     n = F.size("set")
@@ -247,8 +242,8 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     Null, empty and blank texts have no set and link with nothing. Rows with a null doc_id
     are classed by text like others but never represent a class; alone they get a null
     component and are kept. Repeated rows share their doc_id and so are all kept or all
-    dropped; a doc_id with several texts counts once per class. An empty table gives no rows;
-    other columns are ignored.
+    dropped. A doc_id should name one text: where it names several, their classes are one node
+    and its links are tested on one of them. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = written(signatures(docs, n), "near-signatures")
@@ -264,12 +259,17 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     remove(keyed)
     star = written(shared.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), "near-star")
     full = sets(docs, star.select(F.col("u").alias("doc_id")).union(star.select("v")).distinct(), n)
-    links = _verified(written(_promising(star, full, num, den), "near-pairs"), full, num, den)
+    pairs = written(_promising(star, full, num, den), "near-pairs")
+    remove(star)
+    links = _verified(pairs, full, num, den)
+    remove(pairs)
     root = components(links, "near")
     at = shared.select("key", F.col("doc_id").alias("id")).join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mains = at.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.min_by("root", F.struct(-F.col("k"), F.col("root"))).alias("family"), F.count("*").alias("roots")).where("roots > 1")
     open_ = written(at.join(mains, "key").select("id", "root", "family").distinct(), "near-open")
+    remove(shared)
     more = _across(open_, full, num, den)
+    remove(full)
     if not more.isEmpty():
         root = components(links.unionByName(more), "near")
     named = classes.join(root, F.col("rep") == F.col("id"), "left").select("f", "g", F.col("n").alias("m"), F.coalesce("root", "rep").alias("component"))

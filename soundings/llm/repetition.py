@@ -18,11 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._words import WHITE, Texts, words
+from ._words import WHITE, Texts, slices, words
 
 #: Counted as symbols.
 SYMBOLS = b"#*$%&|<>"
-SLICE_BYTES = 4 << 20
 
 
 def suffix_array(rank: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +124,7 @@ def measure(docs: DataFrame, least: int = 5, most_covered: float = 0.2, most_lon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, SLICE_BYTES):
+            for part in slices(batch):
                 t = Texts(part.column(1))
                 first, s, e, h = words(t)
                 n = np.diff(first)
@@ -147,13 +146,3 @@ def measure(docs: DataFrame, least: int = 5, most_covered: float = 0.2, most_lon
         run,
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, longest_repeat long, n_maximal long",
     )
-
-
-def slices(batch: pa.RecordBatch, most_bytes: int, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows of about most_bytes of text each."""
-    offsets = Texts(batch.column(column)).offsets
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
