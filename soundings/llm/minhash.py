@@ -279,6 +279,14 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, with one document of each group of near copies (the one with the smallest doc_id)."""
+    """docs, with one document of each group of near copies (the one with the smallest doc_id).
+
+    Of rows that repeat both doc_id and text one stays. Texts without shingles stay under each id; rows with a null doc_id all stay.
+    """
     drop = groups(docs, n, num, den).where("NOT kept").select(F.col("doc_id").alias("near_dropped")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["near_dropped"], "left_anti")
+    left = docs.join(drop, docs["doc_id"].cast("long") == drop["near_dropped"], "left_anti")
+    again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("near_again")), "near-again")
+    if again.isEmpty():
+        return left
+    many = left.join(again, left["doc_id"] == again["near_again"], "left_semi")
+    return left.join(again, left["doc_id"] == again["near_again"], "left_anti").unionByName(many.dropDuplicates(["doc_id", "text"]))
