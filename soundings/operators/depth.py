@@ -31,12 +31,12 @@ def outliers(
     return df.withColumn("depth_bad", bad).drop("_med", "_res", "_mid", "_dev", "_mad")
 
 
-def without_jumps(pings: DataFrame, depth: str = "dep_m", floor: float = 1.0, rounds: int = 64, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """depth with values of jumps removed until none is left; the fixpoint needs a beam's column in one task."""
+def without_jumps(pings: DataFrame, depth: str = "dep_m", floor: float = 1.0, keys: tuple[str, ...] = KEYS, spikes: bool = True) -> DataFrame:
+    """depth with spikes and the later sides of jumps (kernels.drop_jumps) removed until none is left; the fixpoint needs a beam's column in one task."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("record_num")
-        v = kernels.drop_jumps(part[depth].to_numpy(float), floor, rounds)
+        v = kernels.drop_jumps(part[depth].to_numpy(float), floor, spikes)
         part[depth] = pd.array(np.where(np.isfinite(v), v, 0), "Float64")
         part.loc[~np.isfinite(v), depth] = pd.NA
         return part
@@ -66,9 +66,13 @@ def sides_agree(pings: DataFrame, most: float = 5.0, depth: str = "dep_m") -> Da
     return df.withColumn("dep_mean", F.when(F.col("port").isNull(), F.col("star")).when(F.col("star").isNull(), F.col("port")).otherwise((F.col("port") + F.col("star")) / 2))
 
 
-def clean(pings: DataFrame, depth: str = "dep_m", sensor: str | None = "inst_dep_m", adjust_pixels: float = 0.0, smoothed: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Outliers and non-positive depths become null and are interpolated, then smoothed and shifted by adjust_pixels * pixM; the lineage stays in columns."""
-    df = outliers(pings, depth, sensor, keys).withColumn(f"{depth}_raw", F.col(depth))
+def clean(pings: DataFrame, depth: str = "dep_m", sensor: str | None = "inst_dep_m", adjust_pixels: float = 0.0, smoothed: bool = True, keys: tuple[str, ...] = KEYS, jump_floor: float = 4.0) -> DataFrame:
+    """Outliers, runs behind jumps of more than jump_floor and non-positive depths become null and are interpolated, then smoothed and shifted by adjust_pixels * pixM; the lineage stays in columns."""
+    some = pings.select(*keys, "record_num", F.col(depth).cast("double").alias("_d")).where("_d > 0 AND NOT isnan(_d)")
+    kept = without_jumps(some, "_d", jump_floor, keys, spikes=False).where("_d IS NULL")
+    jumps = kept.select(*keys, "record_num").distinct().withColumn("_jump", F.lit(True))
+    df = outliers(pings, depth, sensor, keys).withColumn(f"{depth}_raw", F.col(depth)).join(jumps, [*keys, "record_num"], "left")
+    df = df.withColumn("depth_bad", F.col("depth_bad") | F.coalesce("_jump", F.lit(False))).drop("_jump")
     df = df.withColumn(depth, F.when(F.col("depth_bad") | (F.col(depth) <= 0), None).otherwise(F.col(depth)))
     df = fill_linear(df.withColumn(f"{depth}_interp", F.col(depth).isNull().cast("tinyint")), depth, keys, "record_num", "_f").drop(depth).withColumnRenamed("_f", depth)
     if smoothed:

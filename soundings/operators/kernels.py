@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 
 
@@ -50,21 +52,60 @@ def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (m[i] * s**3 + m[i + 1] * t**3) / (6 * h[i]) + (y[i] / h[i] - m[i] * h[i] / 6) * s + (y[i + 1] / h[i] - m[i + 1] * h[i] / 6) * t
 
 
-def drop_jumps(y: np.ndarray, floor: float = 1.0, rounds: int = 64) -> np.ndarray:
-    """Null out values that jump by more than `floor` from the last kept one and back, until nothing changes."""
+def drop_jumps(y: np.ndarray, floor: float = 1.0, spikes: bool = True) -> np.ndarray:
+    """Null out one-ping spikes above `floor` (if `spikes`), then, round by round, the later side of each step between kept values above max(floor, 6 MAD of the steps), until nothing changes.
+
+    Steps are kept sorted, so a round costs what it changes and a run of any length is peeled without rereading the beam.
+    """
     out = y.astype(float).copy()
-    for _ in range(rounds):
+    out[~np.isfinite(out)] = np.nan
+    while spikes:
         at = np.flatnonzero(np.isfinite(out))
-        if len(at) < 3:
-            break
         d = np.diff(out[at])
         bad = at[1:-1][(np.abs(d[:-1]) > floor) & (np.abs(d[1:]) > floor) & (np.sign(d[:-1]) != np.sign(d[1:]))]
         if not len(bad):
             break
         out[bad] = np.nan
+    at = np.flatnonzero(np.isfinite(out))
+    v, n = out[at].tolist(), len(at)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    step = [0.0] + [abs(v[i] - v[i - 1]) for i in range(1, n)]
+    steps = sorted((step[i], i) for i in range(1, n))
+    while steps:
+        k = len(steps)
+        mid = (steps[(k - 1) // 2][0] + steps[k // 2][0]) / 2
+        mad = (_nearest(steps, mid, (k + 1) // 2) + _nearest(steps, mid, k // 2 + 1)) / 2
+        cut = bisect.bisect_right(steps, (max(floor, 6 * mad), n))
+        if cut == k:
+            break
+        bad = sorted(i for _, i in steps[cut:])
+        del steps[cut:]
+        for i in bad:
+            out[at[i]] = np.nan
+            a, b = before[i], after[i]
+            after[a] = b  # the first value has no step before it, so a >= 0
+            if b < n:
+                before[b] = a
+        gone = set(bad)
+        for b in {after[i] for i in bad} - gone - {n}:
+            del steps[bisect.bisect_left(steps, (step[b], b))]
+            step[b] = abs(v[b] - v[before[b]])
+            bisect.insort(steps, (step[b], b))
     return out
 
 
+def _nearest(steps: list[tuple[float, int]], mid: float, count: int) -> float:
+    """The count-th smallest distance to `mid` of sorted steps: the farther end of the closest window of `count`."""
+    lo, hi = 0, len(steps) - count
+    while lo < hi:
+        i = (lo + hi) // 2
+        if mid - steps[i][0] > steps[i + count][0] - mid:
+            lo = i + 1
+        else:
+            hi = i
+    return max(mid - steps[lo][0], steps[lo + count - 1][0] - mid)
+
+
 def label(mask: np.ndarray, eight: bool = True) -> tuple[np.ndarray, int]:
     """Connected regions of a mask, numbered from 1 in scan order."""
     h, w = mask.shape

@@ -51,6 +51,30 @@ def test_jumps():
     assert np.isnan(k.drop_jumps(y)[2]) and np.isfinite(k.drop_jumps(y)[[0, 1, 3, 4]]).all()
 
 
+def test_jumps_of_any_length():
+    y = np.full(400, 2.4)
+    y[100:220] = 9.3  # 120 pings: more than any cap of 64 rounds
+    assert not (k.drop_jumps(y, 4.0) > 5).any() and np.isfinite(k.drop_jumps(y, 4.0)[:100]).all()
+
+
+def test_jumps_equal_the_rule_round_by_round():
+    for n in (0, 1, 2, 3, 40, 41, 300):
+        y = np.cumsum(RNG.normal(0, 0.3, n)) + 20
+        for _ in range(n // 20):
+            i = RNG.integers(n)
+            y[i : i + RNG.integers(1, 30)] += RNG.choice([-9.0, 9.0, 14.0])
+        y[RNG.random(n) < 0.05] = np.nan
+        want = y.copy()
+        while True:
+            at = np.flatnonzero(np.isfinite(want))
+            d = np.abs(np.diff(want[at]))
+            bad = d > max(4.0, 6 * np.median(np.abs(d - np.median(d)))) if len(d) else d > 0
+            if not bad.any():
+                break
+            want[at[1:][bad]] = np.nan
+        assert np.array_equal(k.drop_jumps(y, 4.0, spikes=False), want, equal_nan=True)
+
+
 def test_resize_and_gaussian():
     a = RNG.random((7, 9))
     assert np.allclose(k.resize(a, a.shape), a)

@@ -93,6 +93,13 @@ def test_depth_cleaning(spark):
     assert values(got, "dep_m_interp")[40] == 1
 
 
+def test_depth_cleaning_removes_a_plateau(spark):
+    d = np.full(240, 4.0)
+    d[80:140] = 11.0
+    got = depth.clean(frame(spark, 240, dep_m=d, inst_dep_m=d, pixM=[0.1] * 240))
+    assert np.abs(np.array(values(got, "dep_m")) - 4).max() < 1e-9 and got.where("depth_bad AND dep_m_raw = 11").count() == 60
+
+
 def test_slant_range(spark):
     v = RNG.random(30)
     df = spark.createDataFrame([(1, 7, [float(x) for x in v])], "k int, bed int, samples array<double>")
