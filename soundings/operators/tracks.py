@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,22 +117,42 @@ def smooth_heading(pings: DataFrame, column: str = "instr_heading", window: int
     return df.groupBy(*keys).applyInPandas(run, kind).drop("_u")
 
 
-def overlaps(pings: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id"), reach: int = 50, reference_mode: bool = False) -> DataFrame:
-    """overlap: whether a ping's line from track (e, n) to range edge (range_e, range_n) crosses that of one of the next `reach` pings of its chunk.
+def overlaps(pings: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id"), reference_mode: bool = False, every: int = 1) -> DataFrame:
+    """overlap: whether a ping's line from track (e, n) to range edge (range_e, range_n) crosses that of an earlier ping of its chunk.
 
-    reference_mode marks none. A chunk has a fixed number of pings, so the pairs per ping are bounded.
+    With every > 1 only each `every`-th ping of the chunk and its last are compared, in order: pings marked already
+    mark no others, and the last is kept in place of what it crosses. reference_mode marks none. A chunk has a fixed
+    number of pings, so the pairs per ping are bounded.
     """
     if reference_mode:
         return pings.withColumn("overlap", F.lit(False))
     at = pings.withColumn("_i", F.row_number().over(along(keys)))
-    b = at.select(*(F.col(k).alias(f"_b_{k}") for k in keys), F.col("_i").alias("_j"), *(F.col(c).alias(f"_b_{c}") for c in ("e", "n", "range_e", "range_n", "range_m")))
-    same = [at[k].eqNullSafe(b[f"_b_{k}"]) for k in keys]
-    near = at.join(b, [*same, b["_j"] > at["_i"], b["_j"] <= at["_i"] + reach, geo.distance(at["e"], at["n"], b["_b_e"], b["_b_n"]) <= at["range_m"] + b["_b_range_m"]])
+    lines = at.select(*keys, "_i", "e", "n", "range_e", "range_n", "range_m")
+    if every > 1:
+        lines = lines.withColumn("_last", F.max("_i").over(Window.partitionBy(*keys))).where(((F.col("_i") - 1) % every == 0) | (F.col("_i") == F.col("_last")))
+    b = lines.select(*(F.col(k).alias(f"_b_{k}") for k in keys), F.col("_i").alias("_j"), *(F.col(c).alias(f"_b_{c}") for c in ("e", "n", "range_e", "range_n", "range_m")))
+    same = [lines[k].eqNullSafe(b[f"_b_{k}"]) for k in keys]
+    near = lines.join(b, [*same, b["_j"] > lines["_i"], geo.distance(lines["e"], lines["n"], b["_b_e"], b["_b_n"]) <= lines["range_m"] + b["_b_range_m"]])
     hit = near.where(geo.segments_cross(*(F.col(c) for c in ("e", "n", "range_e", "range_n", "_b_e", "_b_n", "_b_range_e", "_b_range_n"))))
-    hit = hit.select(*keys, F.col("_j").alias("_i")).distinct().withColumn("overlap", F.lit(True))
+    if every > 1:
+        hit = hit.select(*keys, "_i", "_j", "_last").groupBy(*keys).applyInPandas(_drop_in_order(keys), ", ".join(f"{k} {pings.schema[k].dataType.simpleString()}" for k in keys) + ", _i int")
+    else:
+        hit = hit.select(*keys, F.col("_j").alias("_i")).distinct()
+    hit = hit.withColumn("overlap", F.lit(True))
     return at.join(hit, [*keys, "_i"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(False))).drop("_i")
 
 
+def _drop_in_order(keys: tuple[str, ...]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        last, out = pairs["_last"].iloc[0], set()
+        for i, crossed in pairs.sort_values("_i").groupby("_i")["_j"]:
+            if i not in out:
+                out |= {i if j == last else j for j in crossed}
+        return pd.DataFrame({**{k: [pairs[k].iloc[0]] * len(out) for k in keys}, "_i": sorted(out)})
+
+    return run
+
+
 def patch_seams(pings: DataFrame, columns: tuple[str, ...] = ("e", "n"), keys: tuple[str, ...] = (*KEYS, "transect")) -> DataFrame:
     """The first ping of a chunk takes the position of the second-last ping of the chunk before it in its transect."""
     w = along(keys)

@@ -148,6 +148,19 @@ def test_overlaps(spark):
     assert tracks.overlaps(p, reference_mode=True).where("overlap").count() == 0
 
 
+def test_overlaps_of_the_whole_chunk(spark):
+    n = 130  # straight lines but for the 121st, which turns back over the first 20
+    rows = [("r", "b", 0, i, float(i), 0.0, float(i), 40.0, 400.0) for i in range(n)]
+    rows[120] = ("r", "b", 0, 120, 120.0, 20.0, -10.0, 20.0, 400.0)
+    p = spark.createDataFrame(rows, "rec_id string, beam string, chunk_id int, record_num int, e double, n double, range_e double, range_n double, range_m double")
+    p = p.where("record_num < 20 OR record_num >= 120").unionByName(p.where("record_num BETWEEN 20 AND 119").withColumns({"n": F.lit(-90.0), "range_n": F.lit(-50.0)}))
+    assert [r["record_num"] for r in tracks.overlaps(p).where("overlap").orderBy("record_num").collect()] == [120]
+    thin = tracks.overlaps(p, every=10)
+    assert thin.count() == n and [r["record_num"] for r in thin.where("overlap").collect()] == [120]
+    last = tracks.overlaps(p.where("record_num <= 120"), every=10)  # the last ping stays, what it crosses goes
+    assert sorted(r["record_num"] for r in last.where("overlap").collect()) == [0, 10]
+
+
 def test_survey_stages(spark):
     n = 160
     t = np.arange(n)
