@@ -92,10 +92,11 @@ def smooth(pings: DataFrame, keep_every: int = 10, keys: tuple[str, ...] = (*KEY
         some = part.dropna(subset=[x, y, "time_s"]).drop_duplicates([x, y])
         knots = some.iloc[sorted({*range(0, len(some), keep_every), len(some) - 1})] if len(some) else some
         t, at = knots["time_s"].to_numpy(float), part["time_s"].to_numpy(float)
-        if len(np.unique(t)) < len(t):  # equal times: spread by record number
+        if len(np.unique(at)) < len(at):  # equal times: spread by record number
             t, at = t * knots["record_num"].to_numpy(float), at * part["record_num"].to_numpy(float)
-        ok = np.concatenate([[True], np.diff(t) > 0]) if len(t) else np.zeros(0, bool)
-        good = len(t) > 1 and ok.all()
+        if not (np.diff(at) > 0).all():
+            t, at = knots["record_num"].to_numpy(float), part["record_num"].to_numpy(float)
+        good = len(t) > 1 and (np.diff(t) > 0).all()
         for c, o in ((x, "x_s"), (y, "y_s")):
             part[o] = kernels.spline(t, knots[c].to_numpy(float), at) if good else part[c].astype(float)
         return part

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators import depth, egn, filters, mosaic, samples, substrate, tracks
 from ..sources.tables import load_params
 
@@ -62,11 +63,25 @@ def gain_stage(pings: DataFrame, p: Params) -> DataFrame:
 
 
 def rectify_stage(pings: DataFrame, p: Params) -> DataFrame:
-    """Pings with smoothed course, offset position and range edge."""
-    df = tracks.bearings(pings)
+    """Pings with smoothed course, offset position and range edge, in degrees and in metres of the recording's UTM zone.
+
+    A spline per transect, the seams of chunks patched, bearings and offset from it, then range edges linear
+    between every tenth of a chunk's pings, leaving out those whose lines overlap (overlap).
+    """
+    every = max(p.nchunk // 10, 1)
+    raw = pings.select("rec_id", "beam", "transect", "record_num", "time_s", "lon", "lat")
+    course = tracks.smooth(raw, every, x="lon", y="lat").select("rec_id", "beam", "record_num", "x_s", "y_s")
+    smoothed = {c: F.coalesce(F.when(~F.isnan(s), F.col(s)), F.col(c)) for c, s in (("lon", "x_s"), ("lat", "y_s"))}
+    df = pings.join(course, ["rec_id", "beam", "record_num"]).withColumns(smoothed).drop("x_s", "y_s")
+    df = tracks.patch_seams(tracks.bearings(df), ("lon", "lat", "cog"))
     if p.x_offset or p.y_offset:
         df = tracks.offset(df, p.x_offset, p.y_offset)
-    return tracks.range_edges(df)
+    df = tracks.range_edges(df)
+    zone = pings.groupBy("rec_id").agg(geo.utm_zone(F.avg("lon")).alias("_zone"))
+    metres = lambda d, c: d.withColumns(dict(zip((f"{c}e", f"{c}n"), geo.utm(F.col(f"{c}lon"), F.col(f"{c}lat"), F.col("_zone")))))
+    df = tracks.overlaps(metres(metres(df.join(zone, "rec_id"), ""), "range_"), every=every)
+    df = tracks.relinearise(df, every, columns=("range_lon", "range_lat"))
+    return metres(df, "range_").drop("_zone")
 
 
 def mosaic_stage(pings: DataFrame, p: Params, how: str = "last") -> DataFrame:

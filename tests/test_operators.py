@@ -172,6 +172,30 @@ def test_survey_stages(spark):
     assert out["mosaic"].count() > 0
 
 
+def track(spark, lon, lat, count=30):
+    n = len(lon)
+    df = frame(spark, n, time_s=np.arange(n) // 2, lon=lon, lat=lat, pixM=[0.5] * n).withColumns({"beam": F.lit("ss_star"), "ping_cnt": F.lit(count), "index": F.col("record_num")})
+    return tracks.transects(df, 100)
+
+
+def test_rectify_smooths_the_course(spark):
+    i = np.arange(301)
+    jitter = np.where(i % 10, 3e-6 * (-1.0) ** i, 0)
+    got = survey.rectify_stage(track(spark, -81 + i * 1e-5, 29 + jitter), survey.Params(nchunk=100))
+    assert got.count() == 301 and got.where("abs(ping_bearing - 180) > 0.1").count() == 0
+    e, lat = np.array(values(got, "range_e")), np.array(values(got, "range_lat"))
+    assert np.ptp(lat) < 1e-8 and (np.diff(np.delete(e, [100, 200, 300])) > 0).all() and got.where("overlap").count() == 0
+
+
+def test_rectify_leaves_out_overlaps(spark):
+    a = np.linspace(0, np.pi, 100)  # a turn to starboard of 10 m radius under a range of 15 m
+    got = survey.rectify_stage(track(spark, -81 + 1.03e-4 * -np.cos(a), 29 + 9e-5 * np.sin(a)), survey.Params(nchunk=100))
+    assert got.where("overlap").count() > 0 and got.where("overlap AND record_num = 99").count() == 0
+    x = {r["record_num"]: r for r in got.collect()}
+    kept = [k for k in [*range(0, 100, 10), 99] if not x[k]["overlap"]]
+    assert np.allclose([x[k]["range_lon"] for k in range(kept[0], 100)], np.interp(range(kept[0], 100), kept, [x[k]["range_lon"] for k in kept]), atol=1e-12)
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "p.csv").write_text("record_num,time_s,extra\n1,2.5,x\n2,NaN,y\n")
     got = tables.read_pings(spark, str(tmp_path / "p.csv")).orderBy("record_num").collect()
