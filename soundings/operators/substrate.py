@@ -73,20 +73,57 @@ def confidence(p: Column) -> Column:
 
 
 def neighbours(chunks: DataFrame, keys: tuple[str, ...] = (*KEYS, "transect"), value: str = "image") -> DataFrame:
-    """left and right: the chunk before and after in the transect, or the chunk itself reversed at its ends."""
+    """left and right: the chunk before and after in the transect, or the chunk itself reversed where none adjoins it."""
     w = Window.partitionBy(*keys).orderBy("chunk_id")
     mirror = F.reverse(F.col(value))
-    return chunks.withColumn("left", F.coalesce(F.lag(value).over(w), mirror)).withColumn("right", F.coalesce(F.lead(value).over(w), mirror))
+    beside = lambda f, step: F.coalesce(F.when(f("chunk_id").over(w) == F.col("chunk_id") + step, f(value).over(w)), mirror)
+    return chunks.withColumn("left", beside(F.lag, -1)).withColumn("right", beside(F.lead, 1))
 
 
-def window_starts(width: int, nchunk: int, first: int = 5) -> Column:
-    """Starts of overlapping windows over three chunks: stride nchunk / 3, the first five."""
-    return F.slice(F.sequence(F.lit(0), F.lit(max(width - nchunk, 0)), F.lit(max(nchunk // 3, 1))), 1, first)
+def window_starts(left: int, width: int, nchunk: int, first: int = 5) -> list[int]:
+    """Starts of overlapping windows of nchunk pings around the centre chunk, which has `width` pings behind `left` ones.
 
+    Five at a stride of nchunk / 3 with the centre's in the middle, and more where a wider centre needs them; the first can lie before 0.
+    """
+    third = nchunk // 3
+    stride = max(2 * nchunk // 3 - third, 1)
+    out = [left - nchunk + third + k * stride for k in range(first)]
+    while out[-1] + nchunk < left + width:
+        out.append(out[-1] + stride)
+    return out
+
+
+def merge_windows(windows: list[tuple[int, np.ndarray]], width: int) -> np.ndarray:
+    """Mean (rows, width, classes) of windows' scores put at their starts; places that a window lacks, and NaN, do not count."""
+    shape = (windows[0][1].shape[0], width, windows[0][1].shape[2])
+    total, n = np.zeros(shape), np.zeros(shape)
+    for at, scores in windows:
+        good = ~np.isnan(scores)
+        total[:, at : at + scores.shape[1]] += np.where(good, scores, 0)
+        n[:, at : at + scores.shape[1]] += good
+    return np.divide(total, n, out=np.full(shape, np.nan), where=n > 0)
+
+
+def predict_windows(chunks: DataFrame, model: Callable[[np.ndarray], np.ndarray], nchunk: int, keys: tuple[str, ...] = (*KEYS, "chunk_id")) -> DataFrame:
+    """predict() with context: each chunk between its neighbours in the transect, the model run on overlapping windows and its logits averaged."""
+    kind = ", ".join(f"{k} {chunks.schema[k].dataType.simpleString()}" for k in keys) + ", row int, col int, logits array<double>"
+    of = [k for k in keys if k != "chunk_id"] + [k for k in ("transect",) if k in chunks.columns and k not in keys]
+    pings = F.transform(F.sort_array(F.collect_list(F.struct("record_num", "samples"))), lambda x: x["samples"])
+    images = neighbours(chunks.groupBy(*of, "chunk_id").agg(pings.alias("image")), tuple(of)).select(*keys, "left", "image", "right")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [[np.asarray(s, float) for s in part[c].iloc[0]] for c in ("left", "image", "right")]
+        all3 = [s for side in sides for s in side]
+        n, left, width = max(map(len, all3)), len(sides[0]), len(sides[1])
+        image = np.stack([np.pad(s, (0, n - len(s))) for s in all3], 1)
+        spans = [(max(a, 0), min(a + nchunk, len(all3))) for a in window_starts(left, width, nchunk)]
+        out = merge_windows([(a, model(image[:, a:b]).astype(float)) for a, b in spans if a < min(b, left + width) and b > left], len(all3))
+        out = out[: max(map(len, sides[1])), left : left + width]
+        r, c = np.indices(out.shape[:2])
+        got = pd.DataFrame({k: [part[k].iloc[0]] * r.size for k in keys})
+        return got.assign(row=r.ravel().astype(np.int32), col=c.ravel().astype(np.int32), logits=list(out.reshape(-1, out.shape[2])))
 
-def merge_windows(scores: DataFrame, keys: tuple[str, ...] = ("chunk_id", "row", "col", "k")) -> DataFrame:
-    """Mean of the windows' scores at each place; places that a window lacks do not count."""
-    return scores.groupBy(*keys).agg(F.avg("score").alias("score"))
+    return images.groupBy(*keys).applyInPandas(run, kind)
 
 
 def predict(chunks: DataFrame, model: Callable[[np.ndarray], np.ndarray], keys: tuple[str, ...] = (*KEYS, "chunk_id")) -> DataFrame:

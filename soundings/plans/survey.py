@@ -94,8 +94,8 @@ def mosaic_stage(pings: DataFrame, p: Params, how: str = "last") -> DataFrame:
 
 
 def map_stage(chunks: DataFrame, model: Callable[[np.ndarray], np.ndarray], p: Params, least: int = 0) -> DataFrame:
-    """Class per pixel by an injected model, small regions given to their neighbours."""
-    got = substrate.classify(substrate.predict(chunks, model), p.method)
+    """Class per pixel by an injected model, run on overlapping windows over each chunk and its neighbours; small regions given to their neighbours."""
+    got = substrate.classify(substrate.predict_windows(chunks, model, p.nchunk), p.method)
     return substrate.sieve(got, least) if least else got
 
 

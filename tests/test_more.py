@@ -57,6 +57,25 @@ def test_relinearise(spark):
     assert np.allclose(got, np.interp(range(11), [0, 5, 10], [0, 25, 100]))
 
 
+def test_sliding_prediction(spark):
+    assert substrate.window_starts(500, 500, 500) == [166, 333, 500, 667, 834]
+    a = RNG.random((4, 22))  # transect 0: chunks of 6, 6 and 4 pings; transect 1: one of 6
+    chunk = [0] * 6 + [1] * 6 + [2] * 4 + [3] * 6
+    rows = [("r", "b", int(c == 3), c, i, [float(v) for v in a[:, i]]) for i, c in enumerate(chunk)]
+    df = spark.createDataFrame(rows, "rec_id string, beam string, transect int, chunk_id int, record_num long, samples array<double>")
+    model = lambda x: np.stack([x, np.full(x.shape, x.mean())], 2)
+    part = [a[:, :6], a[:, 6:12], a[:, 12:16], a[:, 16:]]
+    got = {(r["chunk_id"], r["row"], r["col"]): r for r in survey.map_stage(df, model, survey.Params(nchunk=6)).collect()}
+    assert len(got) == a.size
+    for c, (left, right) in enumerate([(part[0][:, ::-1], part[1]), (part[0], part[2]), (part[1], part[2][:, ::-1]), (part[3][:, ::-1], part[3][:, ::-1])]):
+        whole = np.concatenate([left, part[c], right], 1)
+        for col in range(part[c].shape[1]):
+            means = [whole[:, s : s + 6].mean() for s in (2, 4, 6, 8, 10) if s <= 6 + col < s + 6]
+            for row in range(4):
+                assert np.allclose(got[c, row, col]["logits"], [part[c][row, col], np.mean(means)])
+                assert got[c, row, col]["cls"] == (1 if part[c][row, col] >= np.mean(means) else 2)
+
+
 def test_standardise(spark):
     r = spark.createDataFrame([([1.0, 2.0, 3.0], [2.0, 2.0])], "a array<double>, b array<double>").select(substrate.standardise(F.col("a")).alias("a"), substrate.standardise(F.col("b")).alias("b")).first()
     assert np.allclose(r["a"], [-1.224744871, 0, 1.224744871]) and r["b"] == [0.0, 0.0]
