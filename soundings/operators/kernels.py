@@ -269,3 +269,113 @@ def bed_rows(image: np.ndarray, around: np.ndarray, reach: int = 20, sigma: floa
     mask = edge_region(without_small(without_holes(mask, least), least)) if mask.any() else mask
     found = mask.any(0)
     return np.where(found, mask.argmax(0), around)
+
+
+class Delaunay:
+    """Delaunay triangles of distinct points with whole coordinates, in exact arithmetic; not for points on one line.
+
+    `to` has the third corner of the triangle left of each directed edge; beyond the hull it is -1.
+    """
+
+    def __init__(self, x: list[int], y: list[int]) -> None:
+        self.x, self.y, self.to = x, y, {}
+        c = next(i for i in range(2, len(x)) if self.side(0, 1, x[i], y[i]))
+        a, b = (0, 1) if self.side(0, 1, x[c], y[c]) > 0 else (1, 0)
+        for u, v, w in ((a, b, c), (b, a, -1), (c, b, -1), (a, c, -1)):
+            self._add(u, v, w)
+        self.at = (a, b)
+        for i in range(2, len(x)):
+            if i != c:
+                self._insert(i)
+
+    def _add(self, u: int, v: int, w: int) -> None:
+        self.to[u, v], self.to[v, w], self.to[w, u] = w, u, v
+
+    def side(self, u: int, v: int, px: int, py: int) -> int:
+        """Twice the area of (u, v, p): above 0 where p is left of the edge."""
+        return (self.x[v] - self.x[u]) * (py - self.y[u]) - (self.y[v] - self.y[u]) * (px - self.x[u])
+
+    def find(self, px: int, py: int) -> tuple[int, int, int]:
+        """The triangle around a point, or a hull edge and -1, by a walk from the last one found."""
+        u, v = self.at
+        s = self.side(u, v, px, py)
+        if s < 0 or (s == 0 and self.to[u, v] < 0):
+            u, v = v, u
+        while (w := self.to[u, v]) >= 0:
+            if self.side(v, w, px, py) < 0:
+                u = w
+            elif self.side(w, u, px, py) < 0:
+                v = w
+            else:
+                break
+        self.at = (u, v)
+        return u, v, w
+
+    def _near(self, u: int, v: int, w: int, px: int, py: int) -> bool:
+        """Whether p is within the circle of a triangle, or beyond or on a hull edge."""
+        if u < 0 or v < 0 or w < 0:
+            u, v = (v, w) if u < 0 else (w, u) if v < 0 else (u, v)
+            s = self.side(u, v, px, py)
+            return s > 0 or (s == 0 and (px - self.x[u]) * (px - self.x[v]) + (py - self.y[u]) * (py - self.y[v]) < 0)
+        ax, ay, bx, by, cx, cy = self.x[u] - px, self.y[u] - py, self.x[v] - px, self.y[v] - py, self.x[w] - px, self.y[w] - py
+        return (ax * ax + ay * ay) * (bx * cy - by * cx) + (bx * bx + by * by) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by - ay * bx) > 0
+
+    def _insert(self, i: int) -> None:
+        px, py, to = self.x[i], self.y[i], self.to
+        u, v, w = self.find(px, py)
+        for e in ((u, v), (v, w), (w, u)):
+            del to[e]
+        stack, rim = [(u, v), (v, w), (w, u)], []
+        while stack:
+            a, b = stack.pop()
+            c = to[b, a]
+            if self._near(b, a, c, px, py):
+                for e in ((b, a), (a, c), (c, b)):
+                    del to[e]
+                stack += [(a, c), (c, b)]
+            else:
+                rim.append((a, b))
+        for a, b in rim:
+            self._add(a, b, i)
+        self.at = next(e for e in rim if min(e) >= 0)
+
+
+def within(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Cells whose distance to a cell of the mask is at most `reach`."""
+    h, w = mask.shape
+    out = np.zeros((h, w), bool)
+    total = np.pad(np.cumsum(mask, 1), ((0, 0), (1, 0)))
+    for d in range(min(reach, h - 1) + 1):
+        half = int((reach * reach - d * d) ** 0.5)
+        row = total[:, np.minimum(np.arange(w) + half + 1, w)] > total[:, np.maximum(np.arange(w) - half, 0)]
+        out[d:] |= row[: h - d]
+        out[: h - d] |= row[d:]
+    return out
+
+
+def fill_between(image: np.ndarray, reach: int = 50) -> np.ndarray:
+    """NaN cells between filled ones, linear over Delaunay triangles, where all cells around within `reach` steps have a filled one within `reach`.
+
+    Corners with eight filled neighbours touch no triangle that has an empty cell, so they are left out.
+    """
+    some = np.isfinite(image)
+    p = np.pad(image, reach, constant_values=np.nan)
+    near = erode(within(np.isfinite(p), reach).astype(np.int8), reach)[reach : len(p) - reach, reach : p.shape[1] - reach] > 0
+    q = np.pad(some, 1)
+    h, w = image.shape
+    inner = np.logical_and.reduce([q[1 + i : 1 + i + h, 1 + j : 1 + j + w] for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    r, c = np.nonzero(some & ~inner)
+    out = image.astype(float).copy()
+    if len(r) < 3 or not np.any((r - r[0]) * (c[-1] - c[0]) - (c - c[0]) * (r[-1] - r[0])):  # on one line: the mask leaves nothing beside it
+        return out
+    strip = r // max(1, int((h * w / len(r)) ** 0.5) * 4)
+    order = np.lexsort((np.where(strip % 2, -c, c), strip))
+    r, c = r[order], c[order]
+    x, y, v = c.tolist(), r.tolist(), image[r, c].tolist()
+    mesh = Delaunay(x, y)
+    for i, j in np.argwhere(near & ~some).tolist():
+        a, b, d = mesh.find(j, i)
+        if d >= 0:
+            wa, wb, wd = mesh.side(b, d, j, i), mesh.side(d, a, j, i), mesh.side(a, b, j, i)
+            out[i, j] = (wa * v[a] + wb * v[b] + wd * v[d]) / (wa + wb + wd)
+    return out

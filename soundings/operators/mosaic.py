@@ -171,6 +171,22 @@ def fill_gaps(pixels: DataFrame, reach: int = 2) -> DataFrame:
     return some.unionByName(spread.join(some.select("gx", "gy"), ["gx", "gy"], "left_anti"))
 
 
+def interpolate_gaps(pixels: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id"), reach: int = 50) -> DataFrame:
+    """(*keys, gx, gy, v): a chunk's pixels and, linear between them, its empty ones within `reach` of filled ones, cut back by as many steps at the rim; 0 is no data."""
+    s = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys) + ", gx long, gy long, v double"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        r, c = part["gy"].to_numpy(), part["gx"].to_numpy()
+        image = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
+        image[r - r.min(), c - c.min()] = part["v"]
+        out = kernels.fill_between(image, reach)
+        i, j = np.nonzero(np.isfinite(out))
+        return pd.DataFrame({**{k: [part[k].iloc[0]] * len(i) for k in keys}, "gx": j + c.min(), "gy": i + r.min(), "v": out[i, j]})
+
+    some = pixels.where("v <> 0 AND NOT isnan(v)").select(*keys, F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), F.col("v").cast("double").alias("v"))
+    return some.groupBy(*keys).applyInPandas(run, s)
+
+
 def token(beam: Column) -> Column:
     """The frequency part of a beam's name, for mosaic names."""
     return F.regexp_replace(F.regexp_replace(beam, "^ss_(port|star)_?", ""), "[^A-Za-z0-9]+", "_")

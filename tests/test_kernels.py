@@ -127,6 +127,31 @@ def test_son_source(spark, tmp_path):
     assert spark.read.format("son").load(str(path)).where("beam = 'ss_star'").count() == 20
 
 
+def test_delaunay_circles_are_empty():
+    xy = sorted({(int(a), int(b)) for a, b in RNG.integers(0, 25, (120, 2))})
+    m = k.Delaunay([a for a, _ in xy], [b for _, b in xy])
+    whole = {tuple(sorted((u, v, w))) for (u, v), w in m.to.items() if min(u, v, w) >= 0}
+    assert not any(m._near(u, v, w, *p) for (u, v), w in m.to.items() if min(u, v, w) >= 0 for p in xy)
+    hull = sum(1 for (u, v), w in m.to.items() if w < 0 and min(u, v) >= 0)
+    assert len(whole) == 2 * len(xy) - 2 - hull  # Euler: the triangles leave no part of the hull out
+
+
+def test_fill_between_is_linear():
+    r, c = np.indices((60, 70))
+    full = 3.0 + 2 * r + 0.5 * c
+    a = np.where(RNG.random(full.shape) < 0.02, full, np.nan)
+    a[[0, 0, -1, -1], [0, -1, 0, -1]] = full[[0, 0, -1, -1], [0, -1, 0, -1]]
+    a[20:30, 20:30] = full[20:30, 20:30]
+    got = k.fill_between(a)
+    assert np.isfinite(got[10:-10, 10:-10]).all() and np.allclose(got[np.isfinite(got)], full[np.isfinite(got)])
+    for n, filled in ((40, True), (130, False)):  # a gap wider than twice the distance stays open in the middle
+        b = np.full((60, n + 20), np.nan)
+        b[:, :10], b[:, -10:] = 1, 2
+        assert np.isfinite(k.fill_between(b)[10:-10, 10 + n // 2]).all() == filled and not (np.isfinite(k.fill_between(b)) < np.isfinite(b)).any()
+    line = np.array([[4, np.nan, np.nan, np.nan, 8.0]])
+    assert np.array_equal(k.fill_between(line), line, equal_nan=True)
+
+
 def test_png():
     import zlib
 

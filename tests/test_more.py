@@ -51,6 +51,13 @@ def test_fill_gaps(spark):
     assert got[1, 0] == 6.0 and got[0, 0] == 4.0 and got[0, 1] == 4.0 and (3, 1) not in got
 
 
+def test_interpolate_gaps(spark):
+    rows = [("r", "b", k, 10 + x, y, float(1 + x + k)) for k in (0, 1) for x in (0, 9) for y in (0, 3, 9)]
+    df = spark.createDataFrame(rows, "rec_id string, beam string, chunk_id int, gx long, gy long, v double")
+    got = {(r["chunk_id"], r["gx"], r["gy"]): r["v"] for r in mosaic.interpolate_gaps(df).collect()}
+    assert {(k, gx, 5) for k in (0, 1) for gx in range(11, 19)} <= set(got) and all(abs(v - (1 + gx - 10 + k)) < 1e-9 for (k, gx, _), v in got.items())
+
+
 def test_relinearise(spark):
     df = spark.createDataFrame([("r", "b", 0, i, float(i * i), 0.0) for i in range(11)], "rec_id string, beam string, chunk_id int, record_num int, range_e double, range_n double")
     got = [r["range_e"] for r in tracks.relinearise(df, 5).orderBy("record_num").collect()]
