@@ -80,7 +80,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n (set size), f and g (a 128-bit fingerprint of the set), bands."""
+    """doc_id, h (the hash of the text), n (set size), f and g (a 128-bit fingerprint of the set), bands; docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +98,11 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["doc_id", "n", "f", "g", "bands"],
+                    [part.column(0), part.column(2), pa.array(size), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    ["doc_id", "h", "n", "f", "g", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f long, g long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n long, f long, g long, bands array<long>")
 
 
 def sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -242,11 +242,44 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
     Null, empty and blank texts have no set and link with nothing. Rows with a null doc_id
     are classed by text like others but never represent a class; alone they get a null
     component and are kept. Repeated rows share their doc_id and so are all kept or all
-    dropped. A doc_id should name one text: where it names several, their classes are one node
-    and its links are tested on one of them. An empty table gives no rows; other columns are ignored.
+    dropped. Where a doc_id names several texts, each is linked by itself, and of those of
+    one component one is kept. An empty table gives no rows; other columns are ignored.
     """
+    return _judged(docs, n, num, den)[0].drop("h")
+
+
+def _judged(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, bool]:
+    """groups(), with h (the hash of the text) if a doc_id names several texts; whether one does."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = written(signatures(docs, n), "near-signatures")
+    if _several(sigs):
+        remove(sigs)
+        return _by_row(docs, n, num, den), True
+    return _groups(docs, sigs, n, num, den), False
+
+
+def _several(sigs: DataFrame) -> bool:
+    """Whether a doc_id names several texts."""
+    return not sigs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
+
+
+def _by_row(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """groups() with h, the hash of the text, where a doc_id can name several texts: rows are numbered and the numbers grouped.
+
+    A component's first row, by doc_id and hash, names it and is kept with its repetitions.
+    """
+    rows = written(docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("id")), "near-rows")
+    numbered = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("doc_id"), "text")
+    judged = written(_groups(numbered, written(signatures(numbered, n), "near-signatures"), n, num, den).select(F.col("doc_id").alias("id"), "n_shingles", "component_id"), "near-judged")
+    own = judged.join(rows.select("id", "doc_id", "h"), "id")
+    first = own.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    known = own.join(first, "component_id").select("doc_id", "h", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "h") == F.col("first")).alias("kept"))
+    null = F.lit(None).cast("long")
+    return known.unionByName(judged.where("id IS NULL").join(first, "component_id", "left").select(null.alias("doc_id"), null.alias("h"), "n_shingles", F.col("first.doc_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def _groups(docs: DataFrame, sigs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """groups() where a doc_id names one text, from docs and their signatures."""
     light = sigs.select("doc_id", "n", "f", "g")
     classes = written(light.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
     heads = classes.where("rep IS NOT NULL")
@@ -279,12 +312,14 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, with one document of each group of near copies (the one with the smallest doc_id).
+    """docs, with one document of each group of near copies (the one with the smallest doc_id; where that names several of its texts, one of them).
 
     Of rows that repeat both doc_id and text one stays. Texts without shingles stay under each id; rows with a null doc_id all stay.
     """
-    drop = groups(docs, n, num, den).where("NOT kept").select(F.col("doc_id").alias("near_dropped")).distinct()
-    left = docs.join(drop, docs["doc_id"].cast("long") == drop["near_dropped"], "left_anti")
+    judged, several = _judged(docs, n, num, den)
+    drop = judged.where("NOT kept").select(F.col("doc_id").alias("near_dropped"), *(["h"] if several else [])).distinct()
+    same = docs["doc_id"].cast("long") == drop["near_dropped"]
+    left = docs.join(drop, same & (F.xxhash64(docs["text"]) == drop["h"]) if several else same, "left_anti")
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("near_again")), "near-again")
     if again.isEmpty():
         return left

@@ -449,3 +449,17 @@ def test_clashing_columns(spark, edge, middle):
     for got in (rules.accept(df, labels), minhash.keep_first(df), secrets.redact(df), mixing.mixed(df)):
         assert got.columns == df.columns and got.count() > 0
         assert all(r[n] == i for r in got.collect() for i, n in enumerate(names))
+
+
+def test_near_copies_where_an_id_names_several_texts(spark):
+    base = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    near = {k: v + " more" for k, v in base.items()}
+    # 5 names texts near to those of 1, 2 and 3 and one of its own; 7 names two near texts
+    own = " ".join(f"own{i}" for i in range(60))
+    pair = " ".join(f"pair{i}" for i in range(60))
+    rows = [(1, base["a"]), (2, base["b"]), (3, base["c"]), (5, near["a"]), (5, near["b"]), (5, near["c"]), (5, own), (7, pair), (7, pair + " more"), (None, near["a"]), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.groups(docs).collect())
+    assert got == [(0, 0, True), (0, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (5, 1, False), (5, 2, False), (5, 3, False), (5, 5, True), (7, 7, False), (7, 7, True)]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in minhash.keep_first(docs).collect())
+    assert [i for i, _ in left] == [0, 0, 1, 2, 3, 5, 7] and (5, own) in left
