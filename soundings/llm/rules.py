@@ -21,27 +21,36 @@ SAMPLE = 20_000
 
 
 def statistics(text: Column) -> Column:
-    """A struct of FEATURES: shares are of code points, words or lines; all 0 for null, empty or blank text."""
+    """A struct of FEATURES: shares are of code points, words or lines; all but chars and lines are 0 for null, empty or blank text.
+
+    `again` is the share of words equal to the word before them. No pattern here repeats a
+    group, so the stack a text needs does not depend on its length.
+    """
     t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    gone = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / n
     words = F.split(F.btrim(t, F.lit(" \t\n\x0b\x0c\r")), WHITE)  # blank text: one empty word
-    letters = F.length(F.array_join(words, ""))
-    k = F.size(words).cast("double")
-    lines = F.split(t, "\n")
-    m = F.size(lines).cast("double")
-    return F.struct(
-        F.length(t).cast("double").alias("chars"),
-        F.when(letters > 0, k).otherwise(F.lit(0.0)).alias("words"),
-        (letters / k).alias("word_chars"),
-        gone(r"[#*$%&|<>!]+").alias("symbols"),
-        gone("[A-Z]+").alias("capitals"),
-        gone("[0-9]+").alias("digits"),
-        F.when(letters > 0, F.size(F.array_distinct(words)) / k).otherwise(F.lit(0.0)).alias("distinct"),
-        gone(r"(?<!\S)(\S++)(?:\s++\1(?!\S))+").alias("again"),
-        (m / n).alias("lines"),
-        (F.lit(1.0) - F.size(F.array_distinct(lines)) / m).alias("same_lines"),
-    )
+
+    def told(x: Column) -> Column:
+        w, lines = x["words"], x["lines"]
+        n = F.greatest(F.length(t), F.lit(1)).cast("double")
+        gone = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / n
+        letters = F.length(F.array_join(w, ""))
+        k, m = F.size(w).cast("double"), F.size(lines).cast("double")
+        twins = F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: a == b), lambda same: same)
+        return F.struct(
+            F.length(t).cast("double").alias("chars"),
+            F.when(letters > 0, k).otherwise(F.lit(0.0)).alias("words"),
+            (letters / k).alias("word_chars"),
+            gone(r"[#*$%&|<>!]+").alias("symbols"),
+            gone("[A-Z]+").alias("capitals"),
+            gone("[0-9]+").alias("digits"),
+            F.when(letters > 0, F.size(F.array_distinct(w)) / k).otherwise(F.lit(0.0)).alias("distinct"),
+            (F.size(twins) / k).alias("again"),
+            (m / n).alias("lines"),
+            (F.lit(1.0) - F.size(F.array_distinct(lines)) / m).alias("same_lines"),
+        )
+
+    # One lambda call binds the split words and lines, so each text is split once.
+    return F.transform(F.array(F.struct(words.alias("words"), F.split(t, "\n").alias("lines"))), told)[0]
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (feature, above, threshold), all of which hold
@@ -153,12 +162,12 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAM
     """Fit on at most `sample` labelled rows for which `allowed` (a predicate on doc_id) holds.
 
     Null labels are ignored; several labels of a doc_id count by majority (ties: 1); a doc_id
-    with several texts gives a row for each.
+    with several texts gives a row for each, and of all rows the first `sample` by hash count.
     """
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, hence the broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", statistics(F.col("text")).alias("s"), "quality")
-    got = rows.select("h", "doc_id", "s.*", "quality").orderBy("h", "doc_id", *FEATURES).limit(2 * sample).toPandas()
+    got = rows.select("h", "doc_id", "s.*", "quality").orderBy("h", "doc_id", *FEATURES).limit(sample).toPandas()
     return fit(got[list(FEATURES)].to_numpy(np.float64), got["quality"].to_numpy(np.float64))
 
 
@@ -181,6 +190,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The docs that the classifier does not reject."""
+    """The docs that the classifier does not reject, with all their columns.
+
+    Null, empty and blank texts are scored by their statistics like others; rows with a null
+    doc_id too. Repeated rows share a score; without labels every score is a half, so all
+    stay; an empty table stays empty.
+    """
     model = learn(docs, labels, ~is_held_out(F.col("doc_id")))
     return _measured(docs).where(model.score(F.col("quality_stats")) >= threshold).select("row.*")
