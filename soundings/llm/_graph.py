@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph held as a DataFrame."""
+"""Connected components of an undirected graph held as a DataFrame, by alternating stars."""
 
 from __future__ import annotations
 
@@ -11,20 +11,45 @@ from ._shared import remove, written
 def components(edges: DataFrame, name: str = "graph") -> DataFrame:
     """edges (u, v) -> (id, root): for every node that has an edge the smallest id reachable.
 
-    Each round takes the smallest label among neighbours and then the label of that label,
-    which halves paths; stars finish in two rounds. Rounds are written to the shared folder.
-    Sums per node are aggregated before the shuffle, and joins on a hub's key can be split.
+    Edges are held once, from the larger node to the smaller. A large star links all larger
+    neighbours of a node to the smallest of the node and its neighbours; a small star links a
+    node and its smaller neighbours to the smallest of these. Neither adds edges or changes
+    what is connected, and alternating them leaves a star around each smallest node. A path
+    halves with every pair of steps, in whatever order its nodes are numbered, so rounds grow
+    with the logarithm of the longest path. Each step is one sum per node, aggregated before
+    the shuffle, and one join that can be split at a hub; it is written to the shared folder.
+
+    Rows with u = v or a null end are no edges; repeated ones count once; no edges give no rows.
     """
-    both = written(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select("v", "u")).distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("root")), f"{name}-labels")
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
+    before = _print(e)
     while True:
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("root").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("u")).select("id", F.least("root", "near").alias("next"), "root")
-        up = step.select(F.col("id").alias("a"), F.col("next").alias("jump"))
-        grown = written(step.join(up, F.col("next") == F.col("a"), "left").select("id", F.least("next", F.coalesce("jump", "next")).alias("root"), F.col("root").alias("old")), f"{name}-labels")
-        done = grown.where("root <> old").isEmpty()
-        remove(labels)
-        labels = grown
-        if done:
+        for step in (_large, _small):
+            grown = written(step(e), f"{name}-edges")
+            remove(e)
+            e = grown
+        after = _print(e)
+        if after == before:
             break
-    return labels.select("id", "root")
+        before = after
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _least(e: DataFrame) -> DataFrame:
+    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
+
+
+def _large(e: DataFrame) -> DataFrame:
+    """Each edge's larger end to the smallest neighbour of its smaller end, if that has a smaller one."""
+    return e.join(_least(e), e["v"] == F.col("node"), "left").select("u", F.coalesce("least", "v").alias("v")).distinct()
+
+
+def _small(e: DataFrame) -> DataFrame:
+    """Each node's smaller neighbours, and the node, to the smallest of them."""
+    near = e.join(_least(e), e["u"] == F.col("node"))
+    return near.select(F.when(F.col("v") > F.col("least"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("least").alias("v")).distinct()
+
+
+def _print(e: DataFrame) -> tuple:
+    """The number of edges and a checksum over them: equal before and after steps that changed nothing."""
+    return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first())
