@@ -10,7 +10,11 @@
 
 Every source thereby gives its target to the word, and the order of slots keeps each
 prefix of the mix near the weights. Ranks and running sums come in two levels (per chunk,
-then over chunks), so no task holds a whole source.
+then over chunks), so no task holds a whole source. Windows over sources alone (the water
+level, the cumulative shares) meet in one task with one narrow row for each distinct source.
+
+Texts are never shuffled: mix() reads them once for their sizes, and mixed(), which returns
+whole documents, finds in the mix where each source's stream stops and reads them once more.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import remove, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: floor(2**32 / golden ratio), odd: multiples of it modulo 2**32 are the golden-ratio sequence.
@@ -36,10 +40,14 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
 
 
+def _hash(doc_id: Column, seed: str) -> Column:
+    """The shuffling hash: a source's stream is in its order."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, skey, size, h (shuffling hash), bucket (its first 12 bits); one pass over the texts."""
-    h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return docs.select("doc_id", _key(F.col("source").cast("string")).alias("skey"), n_words(F.col("text")).alias("size"), h.alias("h")).withColumn(
+    return docs.select("doc_id", _key(F.col("source").cast("string")).alias("skey"), n_words(F.col("text")).alias("size"), _hash(F.col("doc_id"), seed).alias("h")).withColumn(
         "bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
     )
 
@@ -105,6 +113,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     Repeated rows and doc_ids: each row takes its own place in the stream. Empty table: no
     rows. Other columns are ignored.
     """
+    return _taken(docs, weights, most, block_words, seed)[0].drop("h")
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, block_words: int, seed: str) -> tuple[DataFrame, list[DataFrame]]:
+    """mix() with h, and the tables it reads."""
     rows = written(sized(docs, seed), "mix-sized")
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("k"))
@@ -149,19 +162,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
         .groupBy("skey", "i")
         .agg(F.sum("n").alias("taken"), F.count("*").alias("n_slots"), F.min("slot").alias("first_slot"))
     )
-    return laid.join(got, ["skey", "i"], "left").select(
-        "doc_id", "skey", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "first_slot"
+    out = laid.join(got, ["skey", "i"], "left").select(
+        "doc_id", "h", "skey", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "first_slot"
     )
+    return out, [rows, goals, slots]
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 4096, seed: str = "mix") -> DataFrame:
     """docs, each row as often as the mix takes the whole of it, to the nearest whole number; rows without words once.
 
-    Rows with equal doc_id, source and size share what the mix takes of them evenly.
+    A source's slots read its stream from the start, some whole passes and a part of one
+    more, so its documents are taken `top` times up to a last one, in the order of the
+    stream, and `base` times from there. One row per source (base, top, that document's
+    hash) therefore tells every document's copies, and rows with texts meet only that.
+
+    Rows of one source with equal doc_id share what the mix takes of them evenly. Null
+    sources are one source; null and empty texts and blank ones have no words; an empty table
+    stays empty; all columns are kept.
     """
-    took = mix(docs, weights, most, block_words, seed).where("size > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("skey").alias("mix_source"), F.col("size").alias("mix_size"))
-    copies = took.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("mix_copies")).where("mix_copies > 0")
-    keyed = docs.select(F.struct("*").alias("row"), "doc_id", _key(docs["source"].cast("string")).alias("mix_k"), n_words(docs["text"]).alias("mix_n"))
-    same = keyed["doc_id"].eqNullSafe(F.col("mix_id")) & (keyed["mix_k"] == F.col("mix_source")) & (keyed["mix_n"] == F.col("mix_size"))
-    found = keyed.join(copies, same, "left").withColumn("mix_copies", F.when(F.col("mix_n") == 0, 1).otherwise(F.coalesce("mix_copies", F.lit(0)))).where("mix_copies > 0")
-    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select("row.*")
+    took, tables = _taken(docs, weights, most, block_words, seed)
+    each = took.where("size > 0").groupBy("skey", "h").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies"))
+    stops = each.groupBy("skey", "copies").agg(F.max("h").alias("h")).groupBy("skey").agg(F.min("copies").alias("base"), F.max("copies").alias("top"), F.max_by("h", "copies").alias("stop"))
+    stops = written(stops, "mix-stops")
+    for table in tables:
+        remove(table)
+    keyed = docs.select(F.struct("*").alias("row"), _key(docs["source"].cast("string")).alias("skey"), _hash(docs["doc_id"], seed).alias("h"), F.coalesce(docs["text"].rlike(WORD), F.lit(False)).alias("some"))
+    copies = F.when(~F.col("some"), 1).otherwise(F.when(F.col("h") <= F.col("stop"), F.col("top")).otherwise(F.col("base")))
+    found = keyed.join(stops, "skey", "left").select("row", F.coalesce(copies, F.lit(0)).alias("copies")).where("copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
