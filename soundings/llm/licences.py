@@ -25,7 +25,9 @@ from ._words import Texts, slices, words
 
 #: Phrase -> label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Fixed values: (label, wording) of public license notices.
+#: The score of a text that names a licence in a phrase but holds no chain.
+PHRASE_SCORE = 0.5
+#: Fixed values: (label, wording) of public license texts and notices.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
     (
@@ -54,6 +56,54 @@ TEMPLATES = (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code "
         "must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        "or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the "
+        "names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE "
+        "COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+        "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an "
+        "acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented "
+        "as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     (
@@ -156,33 +206,42 @@ class Scanner:
         return np.where(self.hashes[at] == hashes, self.ids[at], -1)
 
     def chains(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, last word, covered part) of the chains that cover enough. found: (end, length, state)."""
-        open_: dict[int, list[int]] = {}  # template -> first word, last word, last template place, covered words
-        done: list[tuple[int, int, int, float]] = []
-
-        def close(t: int, c: list[int]) -> None:
-            part = c[3] / self.lengths[t]
-            if part >= self.cover:
-                done.append((t, c[0], c[1], min(1.0, part)))
+        """(template, first word, last word, covered part) of the chains that cover enough. found: (end, length, state), in order of end.
 
+        Of a template's chains that with most covered words comes first (ties: the earlier
+        end, then the earlier place), then the best of the matches outside its span, and so on.
+        """
+        by: dict[int, list[tuple[int, int, int]]] = {}  # template -> (end, length, place of the last word)
         for end, length, state in found:
-            by: dict[int, list[int]] = {}
-            for t, at in self.automaton.places[state]:
-                by.setdefault(t, []).append(at)
-            for t, ends in by.items():
-                c = open_.get(t)
-                # the nearest place that continues the chain: new words on both sides, with small gaps
-                fits = [e for e in ends if c and 0 < e - c[2] and e - length - c[2] < self.gap and 0 < end - c[1] and end - length - c[1] < self.gap] if c else []
-                if fits:
-                    e = min(fits)
-                    c[1], c[3], c[2] = end, c[3] + min(length, e - c[2], end - c[1]), e
-                else:
-                    if c:
-                        close(t, c)
-                    open_[t] = [end - length + 1, end, min(ends), length]
-        for t, c in open_.items():
-            close(t, c)
-        return sorted(done, key=lambda x: (x[1], x[2], x[0]))
+            for t, at in sorted(self.automaton.places[state]):
+                by.setdefault(t, []).append((end, length, at))
+        out = []
+        for t, nodes in by.items():
+            while sum(length for _, length, _ in nodes) >= self.cover * self.lengths[t]:
+                covered, first, last = self._best(nodes)
+                if covered < self.cover * self.lengths[t]:
+                    break
+                out.append((t, first, last, min(1.0, covered / self.lengths[t])))
+                nodes = [x for x in nodes if x[0] < first or x[0] - x[1] + 1 > last]
+        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+    def _best(self, nodes: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+        """(covered words, first word, last word) of the chain that covers most: for each node the best chain that ends in it, from those that end shortly before."""
+        best: list[tuple[int, int]] = []  # covered words, first word
+        top, low = (0, 0, 0), 0
+        reach = max(length for _, length, _ in nodes) + self.gap
+        for i, (end, length, at) in enumerate(nodes):
+            while nodes[low][0] <= end - reach:
+                low += 1
+            here = (length, end - length + 1)
+            for j in range(low, i):
+                e, _, a = nodes[j]
+                if 0 < end - e and end - length - e < self.gap and 0 < at - a and at - length - a < self.gap:
+                    here = max(here, (best[j][0] + min(length, at - a, end - e), best[j][1]))
+            best.append(here)
+            if here[0] > top[0]:
+                top = (here[0], here[1], end)
+        return top
 
     def scan(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
         """The chains in one text, given its word numbers."""
@@ -198,7 +257,8 @@ class Scanner:
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans: one row per input row.
 
-    score: the largest covered part of a template among the text's chains, 0 without one.
+    score: the largest covered part of a template among the text's chains; without one
+    PHRASE_SCORE where a phrase stands, else 0.
     spans: label:first:last word of each chain, comma-joined. Null, empty or blank texts have
     no words and no labels ('' and null first_word and last_word); texts of any length are
     read whole; repeated rows are scanned each; an empty table gives no rows; other columns
@@ -235,7 +295,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, ph
                     [
                         part.column(0), pa.array(np.diff(first)), pa.array(n_base), pa.array(lo, mask=some), pa.array(hi, mask=some), pa.array([",".join(sorted(x)) for x in base], pa.string()),
                         pa.array([",".join(sorted(x | {s.labels[c[0]] for c in y})) for x, y in zip(base, chains)], pa.string()),
-                        pa.array([max((c[3] for c in y), default=0.0) for y in chains], pa.float64()),
+                        pa.array([max((c[3] for c in y), default=PHRASE_SCORE if x else 0.0) for x, y in zip(base, chains)], pa.float64()),
                         pa.array([",".join(f"{s.labels[c[0]]}:{c[1]}:{c[2]}" for c in y) for y in chains], pa.string()),
                     ],
                     ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
