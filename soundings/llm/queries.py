@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import embeddings, licences, minhash, mixing, pieces, repetition, rules, secrets, sharding, urlfilter
+from ._shared import written
 
 #: Fixed values: (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Hosts with one of these labels are on the block list of op5.
-LISTED_HOSTS = r"(^|\.)(spam-farm|cheap-pills|tionsh|ththon|ththhe)\."
-
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -36,7 +33,8 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(_read(spark, sf_dir, "pages"), URL_RULES, F.col("host").rlike(LISTED_HOSTS))
+    pages = _read(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, URL_RULES, written(urlfilter.link_farms(pages), "url-list"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +81,10 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c, e.vec_id) AS component
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT long AS kept FROM o""",
     "op5_url_filter": r"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
  r(said, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
- f AS (SELECT page_id, p.host, p.path, arg_max(h || r.p, length(h) + length(r.p)) AS rule, arg_max(said, length(h) + length(r.p)) AS said FROM p LEFT JOIN r ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, r.p) GROUP BY 1, 2, 3)
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN regexp_matches(host, '(^|[.])(spam-farm|cheap-pills|tionsh|ththon|ththhe)[.]') THEN 'block' ELSE 'allow' END) AS verdict, regexp_matches(host, '(^|[.])(spam-farm|cheap-pills|tionsh|ththon|ththhe)[.]') AS in_list FROM f""",
+ f AS (SELECT page_id, p.host, p.path, arg_max(h || r.p, length(h) + length(r.p)) AS rule, arg_max(said, length(h) + length(r.p)) AS said FROM p LEFT JOIN r ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, r.p) GROUP BY 1, 2, 3),
+ w AS (SELECT translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(html, '') AS t FROM pages),
+ l AS (SELECT host FROM w WHERE host <> '' GROUP BY 1 HAVING sum((length(t) - length(replace(t, '<a ', ''))) // 3) * 1000 > 5 * sum(length(t)))
+SELECT page_id, f.host, f.path, rule, coalesce(said, CASE WHEN l.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.host IS NOT NULL AS in_list FROM f LEFT JOIN l ON f.host = l.host""",
     "op9_mixing": r"""WITH d AS (SELECT doc_id, coalesce('=' || source, '~') AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
  s AS (SELECT k, CAST(sum(size) AS BIGINT) AS s, (row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS w FROM d GROUP BY 1),
  t AS (SELECT *, (SELECT sum(s) FROM s) AS total, (SELECT sum(w) FROM s) AS all_w FROM s),

@@ -172,17 +172,39 @@ def _streamed(rows: DataFrame, key: str, filters: DataFrame, shards: int, out: s
     return found.select("r.*", F.col("found").alias(out))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Column) -> DataFrame:
-    """page_id, host, path, rule, verdict, in_list: the rule's verdict, else 'block' for hosts in the list, else 'allow'.
+def sizes(filters: DataFrame) -> DataFrame:
+    """level, shards, hashes (bit positions per key), bits: the cascade's size by level."""
 
-    `listed` is a predicate on `host` that names the listed keys of the corpus; a list held as
-    a table is passed to cascade() instead. Null url or one without ://: host and path are '',
-    which no rule fits and no list holds. Repeated rows are judged each; an empty table gives
-    no rows; other columns are ignored.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [(n + 1, k, m) for x in part["levels"] for n, (k, m, _) in enumerate(pickle.loads(x))]
+            yield pd.DataFrame(rows, columns=["level", "hashes", "bits"])
+
+    each = filters.select("levels").mapInPandas(run, "level int, hashes int, bits long")
+    return each.groupBy("level").agg(F.count("*").alias("shards"), F.max("hashes").alias("hashes"), F.sum("bits").alias("bits"))
+
+
+def link_farms(pages: DataFrame, most: int = 5) -> DataFrame:
+    """key: hosts whose pages together hold more than `most` links (`<a `) for each 1,000 code points of HTML. Null HTML counts as empty."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    links = F.floor((F.length(html) - F.length(F.replace(html, F.lit("<a "), F.lit("")))) / 3)
+    told = pages.select(host(F.col("url")).alias("key"), links.alias("links"), F.length(html).cast("long").alias("n")).where("key <> ''")
+    return told.groupBy("key").agg(F.sum("links").alias("links"), F.sum("n").alias("n")).where(F.col("links") * 1000 > F.col("n") * most).select("key")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], block_list: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict, in_list: the rule's verdict, else 'block' for hosts in block_list (key), else 'allow'.
+
+    The list meets the distinct hosts of the corpus once, when the cascade is built; pages meet
+    the cascade alone. Repeated and null keys of the list, and those that no page has, change
+    nothing. Null url or one without ://: host and path are '', which no rule fits and no list
+    holds; urls of any length are read whole. Repeated rows are judged each; an empty table
+    gives no rows, an empty list blocks nothing; other columns are ignored.
     """
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    keys = parts.where("host <> ''").select(F.col("host").alias("key"), listed.alias("listed"))
-    filters, shards = cascade(keys)
+    hosts = parts.where("host <> ''").select(F.col("host").alias("key")).distinct()
+    listed = block_list.select("key", F.lit(True).alias("listed")).distinct()
+    filters, shards = cascade(hosts.join(listed, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
     said = member(parts, "host", filters, shards, "in_list")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return said.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("in_list"), "block").otherwise("allow"))).select("page_id", "host", "path", "rule", "verdict", "in_list")
