@@ -68,13 +68,13 @@ def test_embeddings_edges(spark):
     assert embeddings.groups(vectors(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("d, tile", [(3, 8), (16, 7), (64, 8192)])
-def test_embeddings_brute_force(spark, d, tile):
+@pytest.mark.parametrize("d, tile, wide", [(3, 8, 50), (16, 7, 13), (64, 8192, 65536)])
+def test_embeddings_brute_force(spark, d, tile, wide):
     rng = np.random.default_rng(d)
     centres = rng.standard_normal((12, d))
     x = np.concatenate([centres[rng.integers(0, 12, 150)] + 0.25 * rng.standard_normal((150, d)), centres]).astype(np.float32)
     x = np.concatenate([x, x[:5]])
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.groups(vectors(spark, [(i, [float(v) for v in r], 0, "") for i, r in enumerate(x)]), tile=tile).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.groups(vectors(spark, [(i, [float(v) for v in r], 0, "") for i, r in enumerate(x)]), tile=tile, wide=wide).collect()}
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
@@ -140,6 +140,7 @@ def test_matching_statistics():
 
 
 def test_licence_with_changes(spark):
+    assert licences.TEMPLATES[1][0] == "mit"
     text = licences.TEMPLATES[1][1]
     words_ = text.split()
     del words_[40:43]
@@ -188,14 +189,27 @@ def test_cascade_is_exact(spark, bound):
 
 
 def test_urls(spark):
+    block_list = spark.createDataFrame([("tionsh.example.net",), ("tionsh.example.net",), (None,), ("not.in.the.corpus",)], "key string")
     rows = [(1, "HTTP://WWW.Example.ORG/es/1?x"), (2, "http://example.org/en/19"), (3, "http://a.org"), (4, None), (5, "no scheme"), (6, "http://tionsh.example.net/a#b"), (7, "http://x.com/fr/"), (7, "http://x.com/fr/"), (8, "a://b://c/d"), (9, "http://notorg/"), (10, "http://a.org/x\ny")]
     df = spark.createDataFrame([(i, u, "h") for i, u in rows], "page_id long, url string, host string")
-    got = by_id(urlfilter.judge(df, queries.URL_RULES, F.col("host").rlike(queries.LISTED_HOSTS)))
+    got = by_id(urlfilter.judge(df, queries.URL_RULES, block_list))
     assert [r[:5] for r in got] == [
         [1, "www.example.org", "/es/1", "example.org/es/", "block"], [2, "example.org", "/en/19", "example.org/en/1", "block"], [3, "a.org", "", None, "allow"], [4, "", "", None, "allow"], [5, "", "", None, "allow"],
         [6, "tionsh.example.net", "/a", None, "block"], [7, "x.com", "/fr/", "com/fr/", "allow"], [7, "x.com", "/fr/", "com/fr/", "allow"], [8, "b:", "//c/d", None, "allow"], [9, "notorg", "/", None, "allow"], [10, "a.org", "/x\ny", "org/", "allow"],
     ]
-    assert urlfilter.judge(df.limit(0), queries.URL_RULES, F.lit(True)).count() == 0
+    assert urlfilter.judge(df.limit(0), queries.URL_RULES, block_list).count() == 0
+    assert urlfilter.judge(df, queries.URL_RULES, block_list.limit(0)).where("in_list").count() == 0
+    long = spark.createDataFrame([(1, "http://a.org/" + "x" * 2_000_000), (2, "x" * 2_000_000), (3, "http://" + "h" * 2_000_000)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urlfilter.judge(long, queries.URL_RULES, block_list).collect()}
+    assert got[1]["rule"] == "org/" and len(got[1]["path"]) == 2_000_001 and got[2]["host"] == "" and len(got[3]["host"]) == 2_000_000
+
+
+def test_link_farms_and_sizes(spark):
+    pages = spark.createDataFrame([(1, "http://A.org/", "<a >" * 3 + "x" * 500), (2, "http://b.org/", "<a >" + "x" * 500), (3, "http://b.org/1", None), (4, None, "<a >" * 9), (5, "http://c.org", "")], "page_id long, url string, html string")
+    assert [r["key"] for r in urlfilter.link_farms(pages).collect()] == ["a.org"]
+    keys = spark.range(2000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 5 == 0).alias("listed"))
+    told = {r["level"]: r for r in urlfilter.sizes(urlfilter.cascade(keys)[0]).collect()}
+    assert told[1]["hashes"] == 7 and 4000 <= told[1]["bits"] <= 4100 and all(told[n]["bits"] <= 2400 for n in told if n > 1)
 
 
 # ---- 6
