@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -102,3 +104,21 @@ def island_lengths(index: Column, w: WindowSpec, keys: tuple[str, ...], df: Data
 
 def radians(x: Column) -> Column:
     return x * (math.pi / 180)
+
+
+def by_kernel(df: DataFrame, keys: tuple[str, ...], order: str, columns: tuple[str, ...], out: dict[str, str], run: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """df with the columns `out` (name -> type) that run() adds to each group's `columns`, in order.
+
+    Only `columns` go through Python. Rows are matched by their place in the group; rows that tie
+    in `order` are placed by `columns`, so it does not matter which of equal ones gets which place.
+    """
+    placed = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(order, *(c for c in columns if c != order))))
+    lean = placed.select(*keys, "_at", *(c for c in columns if c not in keys))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.schema if f.name in (*keys, "_at")) + "".join(f", `{n}` {t}" for n, t in out.items())
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        return run(part.sort_values("_at"))[[*keys, "_at", *out]]
+
+    made = lean.groupBy(*keys).applyInPandas(kernel, kind)
+    same = [placed[k].eqNullSafe(made[k]) for k in keys]
+    return placed.join(made, [*same, placed["_at"] == made["_at"]]).select(*(placed[c] for c in df.columns if c not in out), *(made[c] for c in out))

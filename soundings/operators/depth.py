@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import KEYS, along, fill_linear, rolling_median
+from ..functions.windows import KEYS, along, by_kernel, fill_linear, rolling_median
 from . import kernels
 
 
@@ -32,29 +32,26 @@ def outliers(
 
 
 def without_jumps(pings: DataFrame, depth: str = "dep_m", floor: float = 1.0, keys: tuple[str, ...] = KEYS, spikes: bool = True) -> DataFrame:
-    """depth with spikes and the later sides of jumps (kernels.drop_jumps) removed until none is left; the fixpoint needs a beam's column in one task."""
+    """depth with spikes and the later sides of jumps (kernels.drop_jumps) removed until none is left; the fixpoint needs a beam's depths in one task, and only these."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("record_num")
-        v = kernels.drop_jumps(part[depth].to_numpy(float), floor, spikes)
-        part[depth] = pd.array(np.where(np.isfinite(v), v, 0), "Float64")
-        part.loc[~np.isfinite(v), depth] = pd.NA
-        return part
+        v = kernels.drop_jumps(part["_d"].to_numpy(float), floor, spikes)
+        return part.assign(_kept=np.isfinite(v))
 
-    return pings.groupBy(*keys).applyInPandas(run, pings.schema)
+    kind = pings.schema[depth].dataType
+    lean = pings.withColumn("_d", F.col(depth).cast("double"))
+    got = by_kernel(lean, keys, "record_num", ("record_num", "_d"), {"_kept": "boolean"}, run)
+    return got.withColumn(depth, F.when(F.col("_kept"), F.col(depth)).cast(kind)).select(*pings.columns)
 
 
 def smooth(pings: DataFrame, depth: str, out: str, window: int = 51, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Cubic Savitzky-Golay smoothing; beams shorter than the window stay as they are."""
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pings.schema) + f", {out} double"
+    """Cubic Savitzky-Golay smoothing; beams shorter than the window stay as they are. Only a beam's depths meet in one task."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("record_num")
         v = part[depth].to_numpy(float)
-        part[out] = kernels.savgol(v, window) if len(v) >= window else v
-        return part
+        return part.assign(**{out: kernels.savgol(v, window) if len(v) >= window else v})
 
-    return pings.groupBy(*keys).applyInPandas(run, kind)
+    return by_kernel(pings, keys, "record_num", ("record_num", depth), {out: "double"}, run)
 
 
 def sides_agree(pings: DataFrame, most: float = 5.0, depth: str = "dep_m") -> DataFrame:

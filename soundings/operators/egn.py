@@ -1,27 +1,32 @@
-"""Empirical gain normalisation: statistics in two phases (chunk, then survey), correction, stretch, tone."""
+"""Empirical gain normalisation: statistics in two phases (chunk, then recording), correction, stretch, tone.
+
+Chunk numbers and gains belong to a recording, so every key starts with rec_id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import KEYS
+
 
-def chunk_means(pixels: DataFrame, keys: tuple[str, ...] = ("beam", "chunk_id", "row"), value: str = "v") -> DataFrame:
+def chunk_means(pixels: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id", "row"), value: str = "v") -> DataFrame:
     """Mean of a range row within a chunk; 0 counts as missing."""
     return pixels.groupBy(*keys).agg(F.avg(F.when(F.col(value) != 0, F.col(value))).alias("chunk_mean"))
 
 
-def global_means(means: DataFrame, keys: tuple[str, ...] = ("beam", "row")) -> DataFrame:
+def global_means(means: DataFrame, keys: tuple[str, ...] = (*KEYS, "row")) -> DataFrame:
     """Unweighted mean of chunk means."""
     return means.groupBy(*keys).agg(F.avg("chunk_mean").alias("row_mean"))
 
 
-def without_last_chunk(pixels: DataFrame, keys: tuple[str, ...] = ("beam",)) -> DataFrame:
+def without_last_chunk(pixels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     last = pixels.groupBy(*keys).agg(F.max("chunk_id").alias("_last"))
     return pixels.join(last, list(keys)).where("chunk_id < _last").drop("_last")
 
 
-def correct(pixels: DataFrame, means: DataFrame, keys: tuple[str, ...] = ("beam",), value: str = "v", at: Column | None = None) -> DataFrame:
+def correct(pixels: DataFrame, means: DataFrame, keys: tuple[str, ...] = KEYS, value: str = "v", at: Column | None = None) -> DataFrame:
     """egn: value over the mean of its row (`at` for another row number); rows beyond the means take the last one."""
     last = means.groupBy(*keys).agg(F.max("row").alias("_last"))
     df = pixels.join(last, list(keys)).withColumn("_row", F.least(at if at is not None else F.col("row"), F.col("_last")))
@@ -34,11 +39,12 @@ def slant_row(row: Column, depth_row: Column) -> Column:
     return F.when(row >= depth_row, F.bround(F.sqrt((row * row - depth_row * depth_row).cast("double"))).cast("int"))
 
 
-def min_max(corrected: DataFrame, keys: tuple[str, ...] = ("beam", "chunk_id")) -> DataFrame:
+def min_max(corrected: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id")) -> DataFrame:
     return corrected.groupBy(*keys).agg(F.min("egn").alias("lo"), F.max("egn").alias("hi"))
 
 
-def fold_min_max(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def fold_min_max(stats: DataFrame, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """lo, hi of a recording, over its beams and chunks."""
     return stats.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 

@@ -107,24 +107,42 @@ def _nearest(steps: list[tuple[float, int]], mid: float, count: int) -> float:
 
 
 def label(mask: np.ndarray, eight: bool = True) -> tuple[np.ndarray, int]:
-    """Connected regions of a mask, numbered from 1 in scan order."""
+    """Connected regions of a mask, numbered from 1 in scan order.
+
+    Runs of each row are united with those they touch in the row before, whatever way a region winds.
+    """
     h, w = mask.shape
-    up = np.arange(h * w).reshape(h, w)
-    big = h * w
-    cur = np.where(mask, up, big)
-    while True:
-        pad = np.pad(cur, 1, constant_values=big)
-        near = [pad[1 + i : 1 + i + h, 1 + j : 1 + j + w] for i in (-1, 0, 1) for j in (-1, 0, 1) if eight or not (i and j)]
-        new = np.where(mask, np.minimum.reduce(near), big)
-        flat = np.append(new.ravel(), big)
-        new = np.where(mask, flat[new], big)  # follow the representative's own label
-        if np.array_equal(new, cur):
-            break
-        cur = new
-    roots, number = np.unique(cur[mask], return_inverse=True)
-    out = np.zeros((h, w), np.int64)
-    out[mask] = number + 1
-    return out, len(roots)
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge > 0)
+    stop = np.nonzero(edge < 0)[1]  # one past the end, in the same order
+    up = list(range(len(row)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    first = np.searchsorted(row, np.arange(h + 1))
+    reach = 1 if eight else 0
+    starts, stops = start.tolist(), stop.tolist()
+    for r in range(1, h):
+        a, b = int(first[r - 1]), int(first[r])
+        i, j = a, b
+        while i < b and j < first[r + 1]:
+            if starts[i] < stops[j] + reach and starts[j] < stops[i] + reach:
+                p, q = root(i), root(j)
+                up[max(p, q)] = min(p, q)
+            if stops[i] < stops[j]:
+                i += 1
+            else:
+                j += 1
+    roots = np.array([root(x) for x in range(len(up))], np.int64)
+    numbers, number = np.unique(roots, return_inverse=True)
+    fill = np.zeros((h, w + 1), np.int64)
+    np.add.at(fill, (row, start), number + 1)
+    np.add.at(fill, (row, stop), -(number + 1))
+    return np.cumsum(fill, axis=1)[:, :w], len(numbers)
 
 
 def without_small(mask: np.ndarray, least: int, eight: bool = True) -> np.ndarray:

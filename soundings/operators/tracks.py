@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.windows import KEYS, along, fill_linear, run_id, unwrap
+from ..functions.windows import KEYS, along, by_kernel, fill_linear, run_id, unwrap
 from . import kernels
 
 
@@ -34,7 +34,8 @@ def missing_pings(pings: DataFrame, beams: list[str], reference_mode: bool = Fal
     """Rows in record order form cycles; a cycle ends when a beam comes again. A beam absent from a cycle gets a row without data.
 
     reference_mode leaves out the last cycle of each recording. Cycles are found in order
-    within a recording (rec_id), which one task reads as a stream of a few columns.
+    within a recording (rec_id): one task holds its rec_id, beam and record_num, some 30 bytes
+    a ping, so a recording of 100 million pings fits; recordings run in parallel.
     """
 
     def number(part: pd.DataFrame) -> pd.DataFrame:
@@ -59,6 +60,12 @@ def missing_pings(pings: DataFrame, beams: list[str], reference_mode: bool = Fal
     return full.join(have, ["rec_id", "cycle", "beam"], "left").withColumn("record_num", F.coalesce("record_num", "_first")).drop("_first")
 
 
+def completed(pings: DataFrame, beams: list[str], keys: tuple[str, ...] = ("rec_id", "cycle")) -> DataFrame:
+    """A row for each of `beams` in each cycle; beams that a cycle lacks get nulls, others go."""
+    full = pings.select(*keys).distinct().withColumn("beam", F.explode(F.array(*map(F.lit, beams))))
+    return full.join(pings, [*keys, "beam"], "left")
+
+
 def bearings(pings: DataFrame, keys: tuple[str, ...] = (*KEYS, "transect"), lon: str = "lon", lat: str = "lat", out: str = "cog") -> DataFrame:
     """Initial bearing to the next ping; the last ping repeats the one before it."""
     w = along(keys)
@@ -84,11 +91,9 @@ def range_edges(pings: DataFrame, bearing: str = "cog", keys: tuple[str, ...] =
 
 
 def smooth(pings: DataFrame, keep_every: int = 10, keys: tuple[str, ...] = (*KEYS, "transect"), x: str = "e", y: str = "n") -> DataFrame:
-    """x_s, y_s: interpolating splines by time through every keep_every-th distinct position and the last one, at every ping."""
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pings.schema) + ", x_s double, y_s double"
+    """x_s, y_s: interpolating splines by time through every keep_every-th distinct position and the last one, at every ping. Only times and positions meet in one task."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("record_num")
         some = part.dropna(subset=[x, y, "time_s"]).drop_duplicates([x, y])
         knots = some.iloc[sorted({*range(0, len(some), keep_every), len(some) - 1})] if len(some) else some
         t, at = knots["time_s"].to_numpy(float), part["time_s"].to_numpy(float)
@@ -101,21 +106,19 @@ def smooth(pings: DataFrame, keep_every: int = 10, keys: tuple[str, ...] = (*KEY
             part[o] = kernels.spline(t, knots[c].to_numpy(float), at) if good else part[c].astype(float)
         return part
 
-    return pings.groupBy(*keys).applyInPandas(run, kind)
+    return by_kernel(pings, keys, "record_num", ("record_num", "time_s", x, y), {"x_s": "double", "y_s": "double"}, run)
 
 
 def smooth_heading(pings: DataFrame, column: str = "instr_heading", window: int = 51, keys: tuple[str, ...] = (*KEYS, "transect")) -> DataFrame:
     """heading_s: the unwrapped heading smoothed by a cubic Savitzky-Golay window, modulo 360; tracks under one window stay as they are."""
     df = unwrap(pings, column, along(keys), "_u")
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", heading_s double"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("record_num")
         v = part["_u"].astype(float).interpolate(limit_direction="both").to_numpy()
         part["heading_s"] = (kernels.savgol(v, window) if len(v) >= window else v) % 360
         return part
 
-    return df.groupBy(*keys).applyInPandas(run, kind).drop("_u")
+    return by_kernel(df, keys, "record_num", ("record_num", "_u"), {"heading_s": "double"}, run).drop("_u")
 
 
 def overlaps(pings: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id"), reference_mode: bool = False, every: int = 1) -> DataFrame:

@@ -2,7 +2,9 @@
 
 The test tables stand in for survey data: an event is a ping (user: recording, event type:
 beam, value: depth), an embedding is a sample vector, a line item an intensity pixel or a
-patch of substrate.
+patch of substrate. Some queries make an operator's input by a condition on a foreign column
+(pings above a depth, pixels above a value, seven of a vector's components as class scores):
+that is the operator's input there, every row of the table is read, and the SQL states the same.
 """
 
 from __future__ import annotations
@@ -124,11 +126,11 @@ def speed_filter(spark, sf):
     return filters.speed(pings(spark, sf), 0.5, 4).select("record_num", "filter")
 
 
-@query(P + """, iv AS (SELECT least(a, b) a, greatest(a, b) b FROM (SELECT min(o_orderkey) * 40.0e0 + 1000 AS a, min(o_orderkey) * 40.0e0 + 5000 + (o_custkey % 7) * 1000 AS b FROM orders WHERE o_orderkey % 10 = 3 GROUP BY o_custkey % 7, o_orderkey // 500)),
+@query(P + """, iv AS (SELECT least(a, b) a, greatest(a, b) b FROM (SELECT min(o_orderkey) * 40.0e0 + 1000 AS a, min(o_orderkey) * 40.0e0 + 5000 + (o_custkey % 7) * 1000 AS b FROM orders GROUP BY o_custkey % 7, o_orderkey // 500)),
  m AS (SELECT min(time_s) AS z FROM p)
 SELECT record_num, EXISTS (SELECT 1 FROM iv WHERE time_s BETWEEN a + z AND b + z) AS filter_time FROM p, m""")
 def time_interval_semi(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 10 = 3").groupBy((F.col("o_custkey") % 7).alias("k"), F.expr("o_orderkey div 500").alias("h")).agg(F.min("o_orderkey").alias("m"))
+    o = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 7).alias("k"), F.expr("o_orderkey div 500").alias("h")).agg(F.min("o_orderkey").alias("m"))
     iv = o.select((F.col("m") * 40.0 + 1000).alias("end_seconds"), (F.col("m") * 40.0 + 5000 + F.col("k") * 1000).alias("start_seconds"))
     return filters.time_intervals(pings(spark, sf), iv).select("record_num", "filter_time")
 
@@ -267,12 +269,11 @@ def seam_patch(spark, sf):
     return tracks.patch_seams(p, ("dep_m",), REC).select("rec_id", "record_num", "dep_m")
 
 
-@query(P + """, c AS (SELECT rec_id, beam, record_num // 1000 AS cycle, max(record_num) AS record_num FROM p WHERE beam <> 'purchase' OR record_num % 3 = 0 GROUP BY 1, 2, 3), k AS (SELECT DISTINCT rec_id, cycle FROM c)
+@query(P + """, c AS (SELECT rec_id, beam, record_num // 1000 AS cycle, max(record_num) AS record_num FROM p GROUP BY 1, 2, 3), k AS (SELECT DISTINCT rec_id, cycle FROM c)
 SELECT k.rec_id, k.cycle, b.beam, c.record_num FROM k CROSS JOIN (VALUES ('click'), ('view'), ('purchase')) b(beam) LEFT JOIN c ON c.rec_id = k.rec_id AND c.cycle = k.cycle AND c.beam = b.beam""")
 def missing_ping_cross_join(spark, sf):
-    p = pings(spark, sf).where("beam <> 'purchase' OR record_num % 3 = 0").groupBy("rec_id", "beam", F.expr("record_num div 1000").alias("cycle")).agg(F.max("record_num").alias("record_num"))
-    beams = F.explode(F.array(*map(F.lit, ("click", "view", "purchase"))))
-    return p.select("rec_id", "cycle").distinct().select("rec_id", "cycle", beams.alias("beam")).join(p, ["rec_id", "cycle", "beam"], "left").select("rec_id", "cycle", "beam", "record_num")
+    p = pings(spark, sf).groupBy("rec_id", "beam", F.expr("record_num div 1000").alias("cycle")).agg(F.max("record_num").alias("record_num"))
+    return tracks.completed(p, ["click", "view", "purchase"]).select("rec_id", "cycle", "beam", "record_num")
 
 
 @query(P + "SELECT 'dep_m' AS \"column\", min(dep_m) AS least, max(dep_m) AS most, round(avg(dep_m), 4) AS mean, max(dep_m) > 0 AS valid FROM p UNION ALL SELECT 'speed_ms', min(speed_ms), max(speed_ms), round(avg(speed_ms), 4), max(speed_ms) > 0 FROM p")
@@ -296,6 +297,53 @@ def latest_by_key(spark, sf):
     return pings(spark, sf).groupBy("rec_id", "beam").agg(F.max_by("dep_m", "record_num").alias("dep_m"), F.max("record_num").alias("record_num"))
 
 
+@query(P + """, ev AS (SELECT rec_id, time_s + 30 AS at, beam = 'signup' AS keep FROM p WHERE beam IN ('error', 'signup'))
+SELECT p.rec_id, p.record_num, coalesce(ev.keep, false) AS filter_dq FROM p ASOF LEFT JOIN ev ON p.rec_id = ev.rec_id AND p.time_s >= ev.at""")
+def quality_state_keep(spark, sf):
+    """The quality-log filter itself: flags as text, numeric times, a shift of 30 seconds."""
+    p = pings(spark, sf)
+    log = p.where("beam IN ('error', 'signup')").select("rec_id", F.col("time_s").alias("at"), F.concat(F.lit(" "), F.upper("beam")).alias("state"), F.col("record_num").alias("file_row"))
+    return filters.quality_state(p, log, "at", "state", "Signup, ok", shift_seconds=30, by=REC).select("rec_id", "record_num", "filter_dq")
+
+
+L = P + """, l AS (SELECT rec_id, beam, record_num, record_num // 2000 AS chunk_id, e, n, e + (dep_m * 7.3e0) % 40e0 - 20e0 AS range_e, n + (dep_m * 3.1e0) % 40e0 - 20e0 AS range_n, 30e0 AS range_m, dep_m FROM p)
+"""
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    at = {"chunk_id": F.expr("record_num div 2000"), "range_e": F.col("e") + F.col("dep_m") * 7.3 % 40.0 - 20.0, "range_n": F.col("n") + F.col("dep_m") * 3.1 % 40.0 - 20.0, "range_m": F.lit(30.0)}
+    return pings(spark, sf).withColumns(at)
+
+
+@query(L + """, d AS (SELECT a.rec_id, b.record_num, (a.range_e - a.e) * (b.range_n - b.n) - (a.range_n - a.n) * (b.range_e - b.e) AS den, (b.e - a.e) * (b.range_n - b.n) - (b.n - a.n) * (b.range_e - b.e) AS t,
+  (b.e - a.e) * (a.range_n - a.n) - (b.n - a.n) * (a.range_e - a.e) AS u FROM l a JOIN l b ON a.rec_id = b.rec_id AND a.chunk_id = b.chunk_id AND a.record_num < b.record_num
+  WHERE sqrt((a.e - b.e) * (a.e - b.e) + (a.n - b.n) * (a.n - b.n)) <= 60),
+ h AS (SELECT DISTINCT rec_id, record_num FROM d WHERE den <> 0 AND t / den BETWEEN 0 AND 1 AND u / den BETWEEN 0 AND 1)
+SELECT l.rec_id, l.record_num, h.record_num IS NOT NULL AS overlap FROM l LEFT JOIN h ON l.rec_id = h.rec_id AND l.record_num = h.record_num""")
+def overlap_flags(spark, sf):
+    return tracks.overlaps(lines(spark, sf), ("rec_id", "chunk_id")).select("rec_id", "record_num", "overlap")
+
+
+@query(L + """, i AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY rec_id, chunk_id) AS k FROM l WINDOW w AS (PARTITION BY rec_id, chunk_id ORDER BY record_num)),
+ v AS (SELECT *, CASE WHEN i % 5 = 0 OR i = k - 1 THEN range_e END AS x FROM i),
+ f AS (SELECT *, last_value(x IGNORE NULLS) OVER a AS v0, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER a AS p0, last_value(x IGNORE NULLS) OVER b AS v1, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b AS p1 FROM v
+  WINDOW a AS (PARTITION BY rec_id, chunk_id ORDER BY record_num ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY rec_id, chunk_id ORDER BY record_num DESC ROWS UNBOUNDED PRECEDING))
+SELECT rec_id, record_num, round(CASE WHEN x IS NOT NULL THEN x ELSE v0 + (v1 - v0) * (i - p0) / (p1 - p0) END, 6) AS range_e FROM f""")
+def relinearised_edges(spark, sf):
+    return tracks.relinearise(lines(spark, sf), 5, ("rec_id", "chunk_id"), ("range_e",)).select("rec_id", "record_num", r("range_e", 6))
+
+
+@query("""WITH o AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier)
+SELECT CAST(item AS INTEGER) AS item, CAST(pos AS INTEGER) AS pos, k + pos * 0.25e0 AS x, CAST(n AS DOUBLE) AS y FROM o CROSS JOIN (VALUES (0, 0), (0, 1), (0, 2), (2, 0)) v(item, pos)""")
+def json_plan_explode(spark, sf):
+    """A mission plan as JSON per supplier: a ring of three corners, an item without one, a ring of one."""
+    corner = lambda i: F.array(F.col("s_nationkey").cast("double"), F.col("s_suppkey") + i * 0.25)
+    item = lambda *c: F.struct(F.array(*map(corner, c)).alias("polygon"))
+    none = F.struct(F.lit(None).cast("array<array<double>>").alias("polygon"))
+    plans = table(spark, sf, "supplier").select(F.to_json(F.struct(F.struct(F.array(item(0, 1, 2), none, item(0)).alias("items")).alias("mission"))).alias("value"))
+    return filters.plan_rings(plans).select("item", F.posexplode("ring").alias("pos", "p")).select("item", "pos", "p.x", "p.y")
+
+
 # ---- samples
 
 
@@ -313,7 +361,7 @@ def slant_range_regroup(spark, sf):
 
 
 @query(V + """, q AS (SELECT chunk_id, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.995) AS hi FROM v WHERE x > 0 GROUP BY 1)
-SELECT vec_id, CAST(r AS INTEGER) AS r, CAST(trunc(greatest(least(round((x - lo) / (hi - lo) * 255, 6), 255), 0)) AS INTEGER) AS b FROM v JOIN q USING (chunk_id) WHERE vec_id % 1 = 0""")
+SELECT vec_id, CAST(r AS INTEGER) AS r, CAST(trunc(greatest(least(round((x - lo) / (hi - lo) * 255, 6), 255), 0)) AS INTEGER) AS b FROM v JOIN q USING (chunk_id)""")
 def uint8_percentile_scale(spark, sf):
     v = vectors(spark, sf).select("vec_id", "chunk_id", F.posexplode("samples").alias("r", "x"))
     q = samples.stretch_bounds(v, "x", ("chunk_id",))
@@ -343,42 +391,69 @@ def min_max_rescale(spark, sf):
     return samples.rescale(pixels(spark, sf), "v", 1.0, 10.0, ("gy",), "z").select("gx", "gy", "l_orderkey", r("z"))
 
 
+@query(V + """, m AS (SELECT chunk_id, quantile_cont(x, 0.5) AS m FROM v WHERE x > 0 GROUP BY 1)
+SELECT vec_id, CAST(r AS INTEGER) AS r, round(x * coalesce(least(greatest(0.09e0 / m, 0.75e0), 1.25e0), 1), 6) AS y FROM v LEFT JOIN m USING (chunk_id)""")
+def median_match(spark, sf):
+    v = vectors(spark, sf).select("vec_id", "chunk_id", F.posexplode("samples").alias("r", "x"))
+    return samples.match_median(v, "x", ("chunk_id",), 0.09, "y").select("vec_id", "r", r("y", 6))
+
+
+@query(V + """, c AS (SELECT vec_id, r, vec_id * 100e0 + r AS x FROM v WHERE r < 50 + vec_id % 20) SELECT c.vec_id, CAST(c.r AS INTEGER) AS row, c.x, v.x AS v FROM c JOIN v ON c.vec_id = v.vec_id AND c.r = v.r""")
+def ping_explode_join(spark, sf):
+    """Samples exploded and joined to coordinates that reach less far, by record and row."""
+    v = vectors(spark, sf)
+    coords = v.select("vec_id", F.explode(F.sequence(F.lit(0), (F.least(F.col("vec_id") % 20 + 50, F.size("samples").cast("long")) - 1).cast("int"))).alias("row"))
+    return mosaic.attach(coords.withColumn("x", F.col("vec_id") * 100.0 + F.col("row")), v, ("vec_id",)).select("vec_id", "row", "x", "v")
+
+
 # ---- gain normalisation
 
-E_SQL = X + """, c AS (SELECT l_linenumber AS beam, l_orderkey // 5000 AS chunk_id, l_partkey % 64 AS row, v FROM x),
- k AS (SELECT c.* FROM c JOIN (SELECT beam, max(chunk_id) AS z FROM c GROUP BY 1) USING (beam) WHERE chunk_id < z),
- m AS (SELECT beam, chunk_id, row, avg(nullif(v, 0)) AS cm FROM k GROUP BY 1, 2, 3), g AS (SELECT beam, row, avg(cm) AS row_mean FROM m GROUP BY 1, 2)
+E_SQL = X + """, c AS (SELECT l_suppkey % 3 AS rec_id, l_linenumber AS beam, l_orderkey // 5000 AS chunk_id, l_partkey % 64 AS row, v, l_orderkey, l_partkey, l_suppkey FROM x),
+ k AS (SELECT c.* FROM c JOIN (SELECT rec_id, beam, max(chunk_id) AS z FROM c GROUP BY 1, 2) USING (rec_id, beam) WHERE chunk_id < z),
+ m AS (SELECT rec_id, beam, chunk_id, row, avg(nullif(v, 0)) AS cm FROM k GROUP BY 1, 2, 3, 4), g AS (SELECT rec_id, beam, row, avg(cm) AS row_mean, max(row) OVER (PARTITION BY rec_id, beam) AS last FROM m GROUP BY 1, 2, 3),
+ f AS (SELECT c.*, v / row_mean AS egn FROM c LEFT JOIN (SELECT rec_id, beam, max(last) AS last FROM g GROUP BY 1, 2) l USING (rec_id, beam) LEFT JOIN g ON c.rec_id = g.rec_id AND c.beam = g.beam AND least(c.row, l.last) = g.row)
 """
 
 
 def _gain_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    return pixels(spark, sf).select(F.col("l_linenumber").alias("beam"), F.expr("l_orderkey div 5000").alias("chunk_id"), (F.col("l_partkey") % 64).alias("row"), "v")
+    return pixels(spark, sf).select(
+        (F.col("l_suppkey") % 3).alias("rec_id"), F.col("l_linenumber").alias("beam"), F.expr("l_orderkey div 5000").alias("chunk_id"), (F.col("l_partkey") % 64).alias("row"), "v", "l_orderkey", "l_partkey", "l_suppkey"
+    )
 
 
 def _means(spark: SparkSession, sf: str) -> DataFrame:
     return egn.global_means(egn.chunk_means(egn.without_last_chunk(_gain_pixels(spark, sf))))
 
 
-@query(E_SQL + "SELECT beam, row, round(row_mean, 6) AS row_mean FROM g")
+@query(E_SQL + "SELECT rec_id, beam, row, round(row_mean, 6) AS row_mean FROM g")
 def egn_means(spark, sf):
-    return _means(spark, sf).select("beam", "row", r("row_mean", 6))
+    return _means(spark, sf).select("rec_id", "beam", "row", r("row_mean", 6))
 
 
-@query(E_SQL + "SELECT c.beam, chunk_id, round(min(v / row_mean), 6) AS lo, round(max(v / row_mean), 6) AS hi FROM c JOIN g ON c.beam = g.beam AND c.row = g.row GROUP BY 1, 2")
+@query(E_SQL + "SELECT rec_id, beam, chunk_id, round(min(egn), 6) AS lo, round(max(egn), 6) AS hi FROM f GROUP BY 1, 2, 3")
 def egn_minmax(spark, sf):
-    return egn.min_max(egn.correct(_gain_pixels(spark, sf), _means(spark, sf))).select("beam", "chunk_id", r("lo", 6), r("hi", 6))
+    return egn.min_max(egn.correct(_gain_pixels(spark, sf), _means(spark, sf))).select("rec_id", "beam", "chunk_id", r("lo", 6), r("hi", 6))
+
+
+@query(E_SQL + """, e AS (SELECT rec_id, min(egn) AS lo, max(egn) AS hi FROM f GROUP BY 1)
+SELECT rec_id, beam, chunk_id, l_orderkey, l_partkey, l_suppkey, round(egn, 6) AS egn, round(coalesce(least(greatest((egn - lo) / nullif(hi - lo, 0) * 255, 0), 255), 0), 4) AS out FROM f JOIN e USING (rec_id)""")
+def egn_correct(spark, sf):
+    """The whole correction: each recording by its own means and extremes."""
+    fixed = egn.correct(_gain_pixels(spark, sf), _means(spark, sf))
+    scaled = fixed.join(egn.fold_min_max(egn.min_max(fixed)), "rec_id")
+    return scaled.select("rec_id", "beam", "chunk_id", "l_orderkey", "l_partkey", "l_suppkey", r("egn", 6), F.round(egn.rescale(F.col("egn"), F.col("lo"), F.col("hi")), 4).alias("out"))
 
 
 @query(X + "SELECT l_linenumber AS beam, CAST(least(floor(v * 5), 254) AS INTEGER) AS bin, count(*) AS n FROM x WHERE v * 5 BETWEEN 0 AND 255 GROUP BY 1, 2")
 def egn_hist(spark, sf):
-    return egn.histogram(pixels(spark, sf).select(F.col("l_linenumber").alias("beam"), (F.col("v") * 5).alias("v")))
+    return egn.histogram(pixels(spark, sf).select(F.col("l_linenumber").alias("beam"), (F.col("v") * 5).alias("v")), ("beam",))
 
 
 @query(X + """, h AS (SELECT CAST(least(floor(v * 5), 254) AS INTEGER) AS bin, count(*) AS n FROM x GROUP BY 1), s AS (SELECT bin, n / sum(n) OVER () AS s FROM h WHERE bin > 0),
  t AS (SELECT bin, sum(s) OVER (ORDER BY bin) AS a, sum(s) OVER (ORDER BY bin DESC) AS b FROM s)
 SELECT coalesce(max(CASE WHEN a < 0.07 THEN bin END), min(bin)) AS lo, coalesce(min(CASE WHEN b < 0.07 THEN bin END), max(bin)) AS hi FROM t""")
 def egn_stretch_clip(spark, sf):
-    return egn.stretch_percent(egn.histogram(pixels(spark, sf).select(F.col("l_linenumber").alias("beam"), (F.col("v") * 5).alias("v"))), 7)
+    return egn.stretch_percent(egn.histogram(pixels(spark, sf).select(F.col("l_linenumber").alias("beam"), (F.col("v") * 5).alias("v")), ("beam",)), 7)
 
 
 @query(X + """SELECT gx, gy, l_orderkey, l_linenumber, round(255 * least(greatest(pow((CASE WHEN v = 0 THEN 0 ELSE (least(greatest(v, 5), 45) - 5) / 40e0 * 255 END) / 255, 0.8e0) * 1.1e0, 0), 1), 4) AS t FROM x""")

@@ -52,14 +52,14 @@ def read_stage(pings: DataFrame, p: Params, intervals: DataFrame | None = None,
 
 
 def gain_stage(pings: DataFrame, p: Params) -> DataFrame:
-    """Pixels (rec_id, beam, chunk_id, record_num, row, v, egn, out) corrected by survey-wide row means and toned."""
+    """Pixels (rec_id, beam, chunk_id, record_num, row, v, egn, out) corrected by their recording's row means, rescaled by its extremes and toned."""
     bed = pings.withColumn("bed", samples.bed_row(F.col("dep_m"), F.col("pixM")))
     long = bed.select("rec_id", "beam", "chunk_id", "record_num", "bed", F.posexplode("samples").alias("row", "v")).where("row >= bed")
     means = egn.global_means(egn.chunk_means(egn.without_last_chunk(long)))
     fixed = egn.correct(long, means)
     ends = egn.fold_min_max(egn.min_max(fixed))
-    scaled = fixed.crossJoin(F.broadcast(ends))  # one row
-    return scaled.withColumn("out", egn.tone(egn.rescale(F.col("egn"), F.col("lo"), F.col("hi")), p.gamma, p.gain)).drop("lo", "hi")
+    scaled = fixed.join(ends, "rec_id", "left")
+    return scaled.withColumn("out", egn.tone(egn.rescale(F.col("egn"), F.col("lo"), F.col("hi")), p.gamma, p.gain)).select(*fixed.columns, "out")
 
 
 def rectify_stage(pings: DataFrame, p: Params) -> DataFrame:
@@ -69,10 +69,9 @@ def rectify_stage(pings: DataFrame, p: Params) -> DataFrame:
     between every tenth of a chunk's pings, leaving out those whose lines overlap (overlap).
     """
     every = max(p.nchunk // 10, 1)
-    raw = pings.select("rec_id", "beam", "transect", "record_num", "time_s", "lon", "lat")
-    course = tracks.smooth(raw, every, x="lon", y="lat").select("rec_id", "beam", "record_num", "x_s", "y_s")
+    course = tracks.smooth(pings, every, x="lon", y="lat")
     smoothed = {c: F.coalesce(F.when(~F.isnan(s), F.col(s)), F.col(c)) for c, s in (("lon", "x_s"), ("lat", "y_s"))}
-    df = pings.join(course, ["rec_id", "beam", "record_num"]).withColumns(smoothed).drop("x_s", "y_s")
+    df = course.withColumns(smoothed).drop("x_s", "y_s")
     df = tracks.patch_seams(tracks.bearings(df), ("lon", "lat", "cog"))
     if p.x_offset or p.y_offset:
         df = tracks.offset(df, p.x_offset, p.y_offset)
@@ -85,12 +84,16 @@ def rectify_stage(pings: DataFrame, p: Params) -> DataFrame:
 
 
 def mosaic_stage(pings: DataFrame, p: Params, how: str = "last") -> DataFrame:
-    """One value per map pixel of all recordings, later chunks over earlier ones."""
+    """One value per map pixel of all recordings, later chunks over earlier ones, on a grid of p.pixel metres.
+
+    The grid is that of the UTM zone (column zone, for its code) of all pings' mean longitude.
+    """
     points = mosaic.returns(pings.select("rec_id", "beam", "chunk_id", "record_num", "lon", "lat", "ping_bearing", "pixM", "samples"))
-    x, y = (F.col("x") * 111319.49, F.col("y") * 111319.49)
-    cells = mosaic.to_cells(points.withColumns({"x": x, "y": y}), p.pixel)
-    tiles = mosaic.raster_mean(cells, ("rec_id", "beam", "chunk_id", "gx", "gy"))
-    return mosaic.merge(tiles, how, F.struct("rec_id", "chunk_id", "beam"))
+    zone = pings.agg(geo.utm_zone(F.avg("lon")).alias("zone"))  # one row
+    x, y = geo.utm(F.col("x"), F.col("y"), F.col("zone"))
+    cells = mosaic.to_cells(points.join(F.broadcast(zone)).withColumns({"x": x, "y": y}), p.pixel)
+    tiles = mosaic.raster_mean(cells, ("rec_id", "beam", "chunk_id", "zone", "gx", "gy"))
+    return mosaic.merge(tiles, how, F.struct("rec_id", "chunk_id", "beam"), keys=("zone", "gx", "gy"))
 
 
 def map_stage(chunks: DataFrame, model: Callable[[np.ndarray], np.ndarray], p: Params, least: int = 0) -> DataFrame:
