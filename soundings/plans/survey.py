@@ -114,9 +114,18 @@ def run(pings: DataFrame, p: Params | None = None) -> dict[str, DataFrame]:
 
 
 def batch(recordings: DataFrame, pings: DataFrame, p: Params | None = None) -> DataFrame:
-    """rec_id, status, n_pings, n_kept, n_chunks of each recording: one job for all, whatever their number."""
+    """rec_id, status, n_pings, n_kept, n_chunks of each recording: one job for all, whatever their number.
+
+    Rows that a reader marked with an error count as no pings; their recordings are "damaged",
+    even where some pings could be read, and the others go on.
+    """
+    faults = None
+    if "error" in pings.columns:
+        faults = pings.where("error IS NOT NULL").groupBy("rec_id").agg(F.min("error").alias("error"))
+        pings = pings.where("error IS NULL").drop("error")
     kept = read_stage(pings, p or Params()).groupBy("rec_id").agg(F.count("*").alias("n_kept"), F.countDistinct("beam", "chunk_id").alias("n_chunks"))
     seen = pings.groupBy("rec_id").agg(F.count("*").alias("n_pings"))
     df = recordings.select("rec_id").join(seen, "rec_id", "left").join(kept, "rec_id", "left")
-    status = F.when(F.col("n_pings").isNull(), "no pings").when(F.col("n_kept").isNull(), "all filtered").otherwise("done")
-    return df.select("rec_id", status.alias("status"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pings", "n_kept", "n_chunks")))
+    df = df.join(faults, "rec_id", "left") if faults is not None else df.withColumn("error", F.lit(None).cast("string"))
+    status = F.when(F.col("error").isNotNull(), "damaged").when(F.col("n_pings").isNull(), "no pings").when(F.col("n_kept").isNull(), "all filtered").otherwise("done")
+    return df.select("rec_id", status.alias("status"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pings", "n_kept", "n_chunks")), "error")

@@ -14,7 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSourceReader
+
+from . import files
 
 #: Byte layout. field -> (offset, struct code); the header length names the layout.
 START, END = bytes.fromhex("c0deab21"), 0x21
@@ -34,27 +36,41 @@ BEAMS = {0: "ds_lowfreq", 1: "ds_hifreq", 2: "ss_port", 3: "ss_star", 4: "ds_vhi
 SCHEMA = "record_num long, time_s double, utm_e double, utm_n double, instr_heading double, speed_ms double, inst_dep_m double, beam string, volt_scale double, f double, ping_cnt int, `index` long, son_offset long"
 
 
-def layout_of(data: bytes, at: int = 0) -> int:
-    """The header length whose end byte and tags stand where they should."""
-    for n, tags in LAYOUTS.items():
+def _layout(data: bytes, at: int, among: tuple[int, ...] = tuple(LAYOUTS)) -> int:
+    """The header length whose end byte and tags stand where they should, of those in `among`; 0 if none does."""
+    for n in among:
         end = at + n - 1
         if len(data) > end and data[end] == END and all(data[at + o] == t for o, t in TAGS[n].items()):
             return n
-    raise ValueError(f"no known header at byte {at}")
+    return 0
+
+
+def layout_of(data: bytes, at: int = 0) -> int:
+    n = _layout(data, at)
+    if not n:
+        raise ValueError(f"no known header at byte {at}")
+    return n
+
 
+def headers(data: bytes, stop: int | None = None, base: int = 0) -> Iterator[tuple]:
+    """Rows of SCHEMA for each ping that starts before `stop`; bytes between pings are skipped to the next start.
 
-def headers(data: bytes) -> Iterator[tuple]:
-    """Rows of SCHEMA for each ping; bytes between pings are skipped to the next start."""
+    base: where data starts in its file. From the middle of a file, reading begins at the
+    first place that has all the fixed bytes of a header; the start of a file must have one.
+    """
     at, n = data.find(START), 0
-    while at >= 0 and at + 67 <= len(data):
-        n = n or layout_of(data, at)
-        if data[at + n - 1] != END:
+    while at >= 0 and at + 67 <= len(data) and (stop is None or at < stop):
+        fit = _layout(data, at, (n,) if n else tuple(LAYOUTS))
+        if not fit:
+            if not n and not base:
+                raise ValueError(f"no known header at byte {at}")
             at = data.find(START, at + 1)
             continue
+        n = fit
         v = {k: struct.unpack_from(code, data, at + o)[0] for k, (o, code) in LAYOUTS[n].items()}
         yield (
             v["record_num"], v["time_ms"] / 1000, float(v["utm_e"]), float(v["utm_n"]), v["heading_dd"] / 10, v["speed_cm"] / 100, v["depth_cm"] / 100,
-            BEAMS.get(v["beam_no"], f"unknown_{v['beam_no']}"), v["volt"] / 10, float(v["f"]), v["ping_cnt"], at, n,
+            BEAMS.get(v["beam_no"], f"unknown_{v['beam_no']}"), v["volt"] / 10, float(v["f"]), v["ping_cnt"], base + at, n,
         )
         at = data.find(START, at + n + v["ping_cnt"])
 
@@ -70,37 +86,13 @@ def encode_ping(layout: int, samples: bytes, **fields: int) -> bytes:
     return bytes(out) + samples
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Ping headers of SON files by Spark's binary reader (any store): SCHEMA and path. A file is one task."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0].strip("`") for c in SCHEMA.split(", ")]
-        for part in parts:
-            for p, content in zip(part["path"], part["content"]):
-                yield pd.DataFrame(list(headers(content)), columns=names).assign(path=p)
+def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Ping headers of SON files of any store: SCHEMA, error and path. A file is one task (SonSource splits files); one that cannot be read gives a row with its error."""
+    return files.scan(spark, path, headers, SCHEMA)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA + ", path string")
 
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[_File]:
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            yield from headers(f.read())
-
-
-class SonSource(DataSource):
-    """spark.dataSource.register(SonSource); spark.read.format("son").load("a.SON,b.SON") for files that every worker can open."""
+class SonSource(files.RangeSource):
+    """spark.dataSource.register(SonSource); spark.read.format("son").load("a.SON,b.SON") for files that every worker can open, in ranges of option split bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,20 +102,22 @@ class SonSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader([p for p in self.options.get("path", "").split(",") if p])
+        return files.RangeReader(self.paths(), lambda data, base, stop: headers(data, stop, base), self.split(), max(LAYOUTS))
 
 
-def decode(raw: bytes, width: int = 1, flip: bool = False, crop: int = 0, exponent: int | None = None) -> np.ndarray:
-    """Samples of one ping: unsigned bytes or big-endian 16-bit words, scaled by 2 ** -exponent, flipped, cropped."""
-    v = np.frombuffer(raw[: len(raw) // width * width], ">u2" if width == 2 else np.uint8).astype(np.float64)
+def decode(raw: bytes, width: int = 1, flip: bool = False, crop: int = 0, exponent: int | None = None, big: bool = True) -> np.ndarray:
+    """Samples of one ping: unsigned bytes or words of `width` bytes (big-endian or not), scaled by 2 ** -exponent, flipped, cropped."""
+    v = np.frombuffer(raw[: len(raw) // width * width], f"{'>' if big else '<'}u{width}").astype(np.float64)
     v = v * 2.0**-exponent if exponent is not None else v
     v = v[::-1] if flip else v
     return v[:crop] if crop else v
 
 
-def samples(spark: SparkSession, path: str, pings: DataFrame, width: int = 1) -> DataFrame:
+def samples(spark: SparkSession, path: str | list[str], pings: DataFrame, width: int = 1, big: bool = True) -> DataFrame:
     """pings with samples ARRAY<DOUBLE>: bytes [index + son_offset, + ping_cnt * width) of their file, joined by path.
 
+    A column bytes_per_sample gives each ping's width, a column weighting_factor its scale 2 ** -w.
+
     Pings without an index, or that reach past the end of the file, get no samples. Pings of
     a file are cogrouped with its bytes, so a file is read once.
     """
@@ -132,10 +126,13 @@ def samples(spark: SparkSession, path: str, pings: DataFrame, width: int = 1) ->
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         data = right["content"].iloc[0] if len(right) else b""
+        widths = left["bytes_per_sample"] if "bytes_per_sample" in left else [width] * len(left)
+        weights = left["weighting_factor"] if "weighting_factor" in left else [None] * len(left)
         out = []
-        for i, o, n in zip(left["index"], left["son_offset"], left["ping_cnt"]):
-            a = None if pd.isna(i) else int(i) + int(o)
-            out.append(None if a is None or a + int(n) * width > len(data) else decode(data[a : a + int(n) * width], width))
+        for i, o, n, w, x in zip(left["index"], left["son_offset"], left["ping_cnt"], widths, weights):
+            a = None if pd.isna(i) or pd.isna(n) else int(i) + int(o)
+            w, x = width if pd.isna(w) else int(w), None if pd.isna(x) else int(x)
+            out.append(None if a is None or a + int(n) * w > len(data) else decode(data[a : a + int(n) * w], w, exponent=x, big=big))
         return left.assign(samples=out)
 
     return pings.groupBy("path").cogroup(files.groupBy("_path")).applyInPandas(run, kind)
