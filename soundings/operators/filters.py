@@ -62,24 +62,22 @@ def time_intervals(pings: DataFrame, intervals: DataFrame, flag: str = "filter_t
     """True inside any [start_seconds, end_seconds] (ends swapped if reversed, both included).
 
     Epoch pings (earliest above 1e8) with intervals below 1e7 take the intervals as relative
-    to the earliest ping. Intervals are spread over time cells and met by equality on the cell, so
-    neither side needs to be small.
+    to the earliest ping. Each interval's start carries the largest end of all that start no
+    later; a ping is inside if the last start before it carries an end it has not passed. So
+    pings are read once, in one stream with the starts; only the intervals, two numbers each,
+    are put in order in one task.
     """
-    span = pings.agg(F.min("time_s").alias("lo"), F.max("time_s").alias("hi")).first()
+    span = pings.agg(F.min("time_s").alias("lo")).first()
     pair = F.least("start_seconds", "end_seconds").alias("a"), F.greatest("start_seconds", "end_seconds").alias("b")
     iv = intervals.where("start_seconds IS NOT NULL AND end_seconds IS NOT NULL").select(*pair)
     top = iv.agg(F.max(F.greatest(F.abs("a"), F.abs("b"))).alias("m")).first()["m"]
     if span["lo"] is None or top is None:
         return _and(pings, F.lit(False), flag)
     shift = span["lo"] if span["lo"] > 1e8 and top < 1e7 else 0.0
-    lo, width = span["lo"], max((span["hi"] - span["lo"]) / 4096, 1e-6)
-    cell = lambda x: F.floor((x - lo) / width)
-    iv = iv.select((F.col("a") + shift).alias("a"), (F.col("b") + shift).alias("b")).where(F.col("b").between(lo, float("inf")) & (F.col("a") <= span["hi"]))
-    iv = iv.withColumn("_c", F.explode(F.sequence(F.greatest(cell(F.col("a")), F.lit(0)), F.least(cell(F.col("b")), F.lit(4096)))))
-    left = pings.withColumn("_c", cell(F.col("time_s")))
-    meet = (left["_c"] == iv["_c"]) & left["time_s"].between(iv["a"], iv["b"])
-    inside, outside = left.join(iv, meet, "left_semi"), left.join(iv, meet, "left_anti")
-    return _and(inside.withColumn("_in", F.lit(True)).unionByName(outside.withColumn("_in", F.lit(False))), F.col("_in"), flag).drop("_c", "_in")
+    starts = iv.groupBy((F.col("a") + shift).cast("double").alias("_a")).agg(F.max(F.col("b") + shift).cast("double").alias("_b"))
+    starts = starts.select("_a", F.max("_b").over(Window.orderBy("_a")).alias("_b"))
+    out = as_of(pings.withColumn("_t", F.col("time_s").cast("double")), starts, "_t", "_a", "_b", "_until")
+    return _and(out, F.coalesce(F.col("_until") >= F.col("_t"), F.lit(False)), flag).drop("_t", "_until")
 
 
 def area(pings: DataFrame, rings: list[list[tuple[float, float]]], x: str = "e", y: str = "n", buffer: float = 0.0, flag: str = "filter") -> DataFrame:

@@ -89,6 +89,39 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def geotiff(image: np.ndarray, x0: float, y0: float, size: float, epsg: int) -> bytes:
+    """An 8-bit or 16-bit grey image (row 0 at the top) as a deflated GeoTIFF: upper left corner (x0, y0), cells of `size` metres, projection epsg; 0 is no data."""
+    deep = image.dtype == np.uint16
+    body = zlib.compress(image.astype("<u2" if deep else np.uint8).tobytes())
+    keys = (1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg)  # projected, cells are areas, the projection's code
+    short, long_, double, text = (lambda *v: (3, struct.pack(f"<{len(v)}H", *v), len(v))), (lambda *v: (4, struct.pack(f"<{len(v)}I", *v), len(v))), (lambda *v: (12, struct.pack(f"<{len(v)}d", *v), len(v))), (lambda v: (2, v, len(v)))
+    tags = {
+        256: long_(image.shape[1]), 257: long_(image.shape[0]), 258: short(16 if deep else 8), 259: short(8), 262: short(1), 273: None, 277: short(1), 278: long_(image.shape[0]), 279: long_(len(body)),
+        33550: double(size, size, 0.0), 33922: double(0.0, 0.0, 0.0, x0, y0, 0.0), 34735: short(*keys), 42113: text(b"0\0"),
+    }
+    at = 8 + 2 + 12 * len(tags) + 4
+    rest = b"".join(v[1] + b"\0" * (len(v[1]) % 2) for v in tags.values() if v and len(v[1]) > 4)
+    tags[273] = long_(at + len(rest))
+    out = struct.pack("<2sHIH", b"II", 42, 8, len(tags))
+    for tag, (kind, raw, count) in tags.items():
+        out += struct.pack("<HHI", tag, kind, count) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", at))
+        at += len(raw) + len(raw) % 2 if len(raw) > 4 else 0
+    return out + struct.pack("<I", 0) + rest + body
+
+
+def mosaic_images(pixels: DataFrame, epsg: int, size: float, side: int = 2048, value: str = "v", bits: int = 8) -> DataFrame:
+    """(tx, ty, tiff): GeoTIFF tiles of side by side cells of a map (gx, gy counted from the projection's origin), rows from north to south."""
+    lean = pixels.select(F.floor(F.col("gx") / side).alias("tx"), F.floor(F.col("gy") / side).alias("ty"), "gx", "gy", F.col(value).alias("v"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        tx, ty = int(part["tx"].iloc[0]), int(part["ty"].iloc[0])
+        image = np.zeros((side, side), np.uint16 if bits == 16 else np.uint8)
+        image[(ty + 1) * side - 1 - part["gy"].to_numpy(), part["gx"].to_numpy() - tx * side] = part["v"]
+        return pd.DataFrame({"tx": [tx], "ty": [ty], "tiff": [geotiff(image, tx * side * size, (ty + 1) * side * size, size, epsg)]})
+
+    return lean.groupBy("tx", "ty").applyInPandas(run, "tx long, ty long, tiff binary")
+
+
 def tiles(pixels: DataFrame, keys: tuple[str, ...], value: str = "v", bits: int = 8) -> DataFrame:
     """(*keys, png): an image of each group of (row, col, value) pixels. Groups are chunks, which have a fixed size."""
     kind = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys) + ", png binary"
