@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundings.llm import minhash, mixing, pieces, rules, secrets
-from soundings.llm._shared import written
+from soundings.llm._shared import remove, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +45,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dups", near_dups), ("secret_scan", secret_scan), ("mix", mix), ("encode", encode)]
 
-#: The stages learn a model, compare sets and search shortest paths, which SQL cannot state.
+#: The stages learn a model, compare sets and search shortest paths, which SQL cannot state; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(docs)  # the table of the stage before; the input is none of ours
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
