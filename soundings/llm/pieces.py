@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is the composition of three: a normaliser (a dummy space in front, spaces to
-U+2581), the pieces (one arc per piece, reading its characters and writing its number) and
+The transducer is the composition of three: a normaliser (the model's character map, by longest
+match, then a dummy space in front and spaces to U+2581), the pieces (one arc per piece, reading its characters and writing its number) and
 byte fallback (an arc per byte for characters that no piece has). An input is composed with
 it lazily, place by place, and the path of least weight in the tropical semiring gives the
 pieces.
@@ -63,15 +63,43 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += 4
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double-array trie of UTF-8 keys whose leaves are places in a table of texts.
+
+    Fixed values: a unit holds its label in the low 8 bits, whether it has a leaf in bit 8, whether
+    its offset is a multiple of 256 in bit 9, the offset above, and a mark of values in bit 31.
+    """
+    (size,) = struct.unpack_from("<I", blob)
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).tolist(), blob[4 + size :]
+    out: dict[str, str] = {}
+
+    def after(place: int, unit: int) -> int:
+        return place ^ (unit >> 10 << (8 if unit >> 9 & 1 else 0))
+
+    todo = [(after(0, units[0]), b"")] if units else []
+    while todo:
+        place, key = todo.pop()
+        for c in range(1, 256):
+            at = place ^ c
+            if at < len(units) and units[at] & 0x800000FF == c:
+                below = after(at, units[at])
+                if units[at] >> 8 & 1:
+                    start = units[below] & 0x7FFFFFFF
+                    out[(key + bytes([c])).decode()] = texts[start : texts.index(b"\0", start)].decode()
+                todo.append((below, key + bytes([c])))
+    return out
+
+
 class Pieces:
-    """A compiled model. encode() and decode() agree with the SentencePiece library for BPE and unigram models
-    whose normaliser has no character map."""
+    """A compiled model. encode() and decode() agree with the SentencePiece library for BPE and unigram models.
+    A model with both a character map and user-defined pieces, which the map must not touch, is refused."""
 
     def __init__(self, model: bytes):
         self.text: list[str] = []
         self.score: list[float] = []
         kinds: list[int] = []
         self.bpe, self.dummy, self.squeeze, self.fallback = False, True, True, False
+        self.map: dict[str, str] = {}
         for number, value in _fields(model):
             if number == 1:
                 f = dict(_fields(value))
@@ -83,9 +111,12 @@ class Pieces:
                 self.bpe, self.fallback = f.get(3, 1) == 2, bool(f.get(35, 0))
             elif number == 3:
                 f = dict(_fields(value))
-                if f.get(2):
-                    raise ValueError("the model's normaliser has a character map")
+                self.map = character_map(f[2]) if f.get(2) else {}
                 self.dummy, self.squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
+        if self.map and 4 in kinds:
+            raise ValueError("the model has a character map and user-defined pieces")
+        self.starts = re.compile("[" + "".join(re.escape(c) for c in sorted({k[0] for k in self.map})) + "]") if self.map else None
+        self.longest = max(map(len, self.map), default=0)
         self.unknown = kinds.index(2)
         self.byte = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, kinds)) if k == 6}
         self.id = {t: i for i, (t, k) in enumerate(zip(self.text, kinds)) if k in (1, 4)}
@@ -237,11 +268,26 @@ class Pieces:
             self.memory[s] = out
         return out
 
+    def mapped(self, text: str) -> str:
+        """The text with the longest key of the character map at each place replaced."""
+        if self.starts is None:
+            return text
+        out, at = [], 0
+        while m := self.starts.search(text, at):
+            i = m.start()
+            n = next((n for n in range(min(self.longest, len(text) - i), 0, -1) if text[i : i + n] in self.map), 0)
+            out += [text[at:i], self.map[text[i : i + n]] if n else text[i]]
+            at = i + max(n, 1)
+        return "".join(out) + text[at:]
+
     def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
+        text = self.mapped(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+            if not text:
+                return ""
         return (SPACE if self.dummy else "") + text.replace(" ", SPACE)
 
     def encode(self, text: str) -> np.ndarray:
@@ -274,7 +320,7 @@ def encode(docs: DataFrame, model_path: str = "/opt/tokenizers/piece_bpe_32k.mod
                 for text in part.column(1).to_pylist():
                     text = text or ""
                     ids.append(p.encode(text))
-                    same.append(p.decode(ids[-1]) == (p.normalise(text)[1:] if p.dummy else p.normalise(text)).replace(SPACE, " ") and SPACE not in text)
+                    same.append(p.decode(ids[-1]) == (p.normalise(text)[1:] if p.dummy else p.normalise(text)).replace(SPACE, " ") and SPACE not in p.mapped(text))
                 n = np.array([len(x) for x in ids], np.int64)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -302,6 +302,57 @@ def test_unigram_weights_equal_the_library():
         assert p.decode(np.array(b, np.int32)) == t and weigh(a) >= weigh(b) - 1e-3
 
 
+def double_array(rules):
+    """A compiled character map of a few rules: units placed one node after another."""
+    texts, value = bytearray(), {}
+    for k, v in rules.items():
+        value[k.encode()] = len(texts)
+        texts += v.encode() + b"\0"
+    units, bases = {0: 0}, set()
+
+    def place(at, label, key):
+        below = sorted({k[len(key)] for k in value if len(k) > len(key) and k.startswith(key)})
+        leaf = key in value
+        offset = next(o for o in range(1, 1 << 20) if at ^ o not in bases and all(at ^ o ^ c not in units for c in [*below, *([0] if leaf else [])]))
+        bases.add(at ^ offset)
+        units[at] = label | leaf << 8 | offset << 10
+        if leaf:
+            units[at ^ offset] = value[key] | 1 << 31
+        for c in below:
+            units[at ^ offset ^ c] = 0
+        for c in below:
+            place(at ^ offset ^ c, c, key + bytes([c]))
+
+    place(0, 0, b"")
+    raw = b"".join(units.get(i, 0).to_bytes(4, "little") for i in range(-(-(max(units) + 1) // 256) * 256))  # whole kilobytes
+    return len(raw).to_bytes(4, "little") + raw + bytes(texts)
+
+
+def with_map(raw, blob, squeeze):
+    out = bytearray()
+    for number, value in pieces._fields(raw):
+        if number == 3:
+            value = b"\x0a\x01x" + b"\x12" + _varint(len(blob)) + blob + b"\x18\x01" + b"\x20" + bytes([squeeze])
+        out += _varint(number << 3 | 2) + _varint(len(value)) + value
+    return bytes(out)
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_character_map_equals_the_library(squeeze):
+    import sentencepiece
+
+    rules_ = {"A": "a", "AB": "x y", "\uff21": "A", "\u00a0": " ", "\t": " ", "\u200b": "", "e\u0301": "\u00e9", "\ufb01": "fi", "\n": " ", "zz": "z"}
+    blob = double_array(rules_)
+    assert pieces.character_map(blob) == rules_
+    model = with_map(open(MODEL, "rb").read(), blob, squeeze)
+    p, lib = pieces.Pieces(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(7 + squeeze)
+    for _ in range(1500):
+        t = "".join(rng.choice([*rules_, "B", "C", " ", "  ", "the", "z", "e", "\u65e5"]) for _ in range(rng.randint(0, 14)))
+        assert p.encode(t).tolist() == lib.encode(t), repr(t)
+        assert p.decode(p.encode(t)) == p.normalise(t)[1:].replace("\u2581", " ")
+
+
 def _varint(n):
     out = bytearray()
     while n > 127:
