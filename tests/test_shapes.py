@@ -78,3 +78,17 @@ def test_time_intervals_against_brute_force(spark):
     pings = spark.createDataFrame([(i, float(x)) for i, x in enumerate(t)], "record_num int, time_s double")
     got = [r["filter_time"] for r in filters.time_intervals(pings, spark.createDataFrame(iv, "start_seconds double, end_seconds double")).orderBy("record_num").collect()]
     assert got == [any(a is not None and min(a, b) <= x <= max(a, b) for a, b in iv) for x in t]
+
+
+def test_concave_hull(spark):
+    grid = [(float(x), float(y)) for x in range(0, 100, 4) for y in range(0, 100, 4) if not (30 < x < 70 and y > 30)]  # a U
+    far = [(1000.0, 1000.0), (1001.0, 1000.0), (1000.0, 1001.0)]
+    # in an inner corner the triangle of the corner point and its two neighbours belongs to the hull
+    df = spark.createDataFrame([("u", x, y) for x, y in grid + far] + [("line", float(i), float(i)) for i in range(9)] + [("u", None, 1.0)], "k string, x double, y double")
+    got = shapes.hull(df, 6.0, ("k",)).collect()
+    assert [r["k"] for r in got] == ["u"] and got[0]["area_m"] == 96 * 96 - 44 * 68 + 2 * 8 and len(got[0]["rings"]) == 1
+    ring = [(float(x), float(y)) for x in range(0, 60, 4) for y in range(0, 60, 4) if not (15 < x < 41 and 15 < y < 41)]
+    holed = shapes.hull(spark.createDataFrame([("o", x, y) for x, y in ring], "k string, x double, y double"), 6.0, ("k",)).first()
+    assert len(holed["rings"]) == 2 and holed["area_m"] == 56 * 56 - 32 * 32 + 4 * 8
+    filled = spark.createDataFrame([(holed["rings"],)], f"rings {shapes.RINGS}").select(F.size(shapes.fill_holes(F.col("rings"), 2000.0)), F.size(shapes.fill_holes(F.col("rings"), 900.0))).first()
+    assert tuple(filled) == (1, 2)
