@@ -14,6 +14,7 @@ words are streamed; which words those are is found with numpy for whole batches.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -208,8 +209,9 @@ class Scanner:
     def chains(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
         """(template, first word, last word, covered part) of the chains that cover enough. found: (end, length, state), in order of end.
 
-        Of a template's chains that with most covered words comes first (ties: the earlier
-        end, then the earlier place), then the best of the matches outside its span, and so on.
+        For each match and place there is the chain ending in it that covers most. Of a
+        template's, that with most covered words comes first (ties: the earlier end, then the
+        earlier place), then the next whose span meets none before it, and so on.
         """
         by: dict[int, list[tuple[int, int, int]]] = {}  # template -> (end, length, place of the last word)
         for end, length, state in found:
@@ -217,18 +219,20 @@ class Scanner:
                 by.setdefault(t, []).append((end, length, at))
         out = []
         for t, nodes in by.items():
-            while sum(length for _, length, _ in nodes) >= self.cover * self.lengths[t]:
-                covered, first, last = self._best(nodes)
-                if covered < self.cover * self.lengths[t]:
-                    break
-                out.append((t, first, last, min(1.0, covered / self.lengths[t])))
-                nodes = [x for x in nodes if x[0] < first or x[0] - x[1] + 1 > last]
+            least = self.cover * self.lengths[t]
+            good = [(-covered, i, first, nodes[i][0]) for i, (covered, first) in enumerate(self._ending(nodes)) if covered >= least]
+            taken: list[tuple[int, int]] = []
+            for covered, _, first, last in sorted(good):
+                k = bisect.bisect(taken, (last, last))
+                if k == 0 or taken[k - 1][1] < first:
+                    taken.insert(k, (first, last))
+                    out.append((t, first, last, min(1.0, -covered / self.lengths[t])))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
-    def _best(self, nodes: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-        """(covered words, first word, last word) of the chain that covers most: for each node the best chain that ends in it, from those that end shortly before."""
-        best: list[tuple[int, int]] = []  # covered words, first word
-        top, low = (0, 0, 0), 0
+    def _ending(self, nodes: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """(covered words, first word) of the chain that covers most of those ending in each node (ties: the later first word), from nodes that end shortly before."""
+        best: list[tuple[int, int]] = []
+        low = 0
         reach = max(length for _, length, _ in nodes) + self.gap
         for i, (end, length, at) in enumerate(nodes):
             while nodes[low][0] <= end - reach:
@@ -239,9 +243,7 @@ class Scanner:
                 if 0 < end - e and end - length - e < self.gap and 0 < at - a and at - length - a < self.gap:
                     here = max(here, (best[j][0] + min(length, at - a, end - e), best[j][1]))
             best.append(here)
-            if here[0] > top[0]:
-                top = (here[0], here[1], end)
-        return top
+        return best
 
     def scan(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
         """The chains in one text, given its word numbers."""

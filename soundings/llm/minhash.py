@@ -42,7 +42,7 @@ BUCKETS, MANTISSA, ROWS, BANDS = 256, 8, 6, 42
 ERRORS = 5.0
 TILE_SHINGLES, TILE_SETS = 1_000_000, 1024
 #: Candidates up to which a bitmap of 16 bits each (8 MB) finds their texts; beyond, texts meet them in a join.
-BITMAP_IDS = 1 << 22
+BITMAP_IDS = (1 << 22) - 1
 _rng = np.random.Generator(np.random.PCG64(7))
 _ORDER = np.argsort(_rng.random((BUCKETS, BUCKETS)), axis=1)
 _BAND_SALT = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)

@@ -191,6 +191,15 @@ def test_stray_matches_do_not_break_a_chain(spark):
     assert got[2]["spans"].count("mit:") >= 2 and got[3]["score"] == licences.PHRASE_SCORE and got[3]["spans"] == ""
 
 
+def test_thousands_of_notices_in_one_text():
+    s = licences.Scanner()
+    number = {w: i for i, w in enumerate(sorted({w for _, t in licences.TEMPLATES for w in licences.tokens(t)} | {w for p in licences.PHRASES for w in p.split()}))}
+    for sep in ([], ["and"]):
+        one = [number.get(w, -1) for w in licences.tokens(licences.TEMPLATES[1][1]) + sep]
+        got = [c for c in s.scan(np.array(one * 3000)) if c[0] == 1]
+        assert len(got) == 3000 and all(c[3] > 0.99 for c in got)
+
+
 def test_base_places_against_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
