@@ -11,7 +11,7 @@ the node is split along its widest dimension at the weighted quantile that leave
 sides whole numbers of target-size leaves. Units above a hundredth of a shard, at most 100
 for each shard in number, are split at their own weighted quantile on the driver, and the
 cut of all other units is set so that it makes up for what these leave uneven. That
-cut is exact: three aggregations narrow the 48-bit key by 16 bits each. Only cuts (one per
+cut is exact: four aggregations narrow the 48-bit key by 12 bits each. Only cuts (one per
 node) and heavy units reach the driver; the finished tree is a CASE expression, so a
 document's shard needs no lookup beyond its unit.
 """
@@ -140,8 +140,8 @@ def grow(units: DataFrame, shards: int, grain: int) -> tuple[Node, dict[tuple, i
         prefix = {x.first: 0 for x in level}
         below = dict.fromkeys(prefix, 0)
         last: dict[int, int] = {}
-        for step in (32, 16, 0):
-            inside = keyed.where(F.shiftright("key", step + 16) == _by_node({k: F.lit(v) for k, v in prefix.items()}))
+        for step in (36, 24, 12, 0):
+            inside = keyed.where(F.shiftright("key", step + 12) == _by_node({k: F.lit(v) for k, v in prefix.items()}))
             bins = inside.groupBy("node", F.shiftright("key", step).alias("bin")).agg(F.sum("w").alias("w"))
             upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin")) + _by_node({k: F.lit(v) for k, v in below.items()})
             goal = _by_node({k: F.lit(float(v)) for k, v in want.items()})
