@@ -682,20 +682,41 @@ def strip_offsets(spark, sf):
     return waterfall.strip(t, REC)
 
 
-# ---- kernels without a SQL form
+# ---- kernels, some of them without a SQL form
 
 
-@query()
+@query(P + """, y AS (SELECT rec_id, record_num, dep_m, row_number() OVER (PARTITION BY rec_id ORDER BY record_num) - 1 AS i, count(*) OVER (PARTITION BY rec_id) AS n FROM p),
+ x AS (SELECT CAST(range - 25 AS DOUBLE) AS x FROM range(51)), g AS (SELECT x, 1e0 AS p0, x AS p1, x * x - 650e0 / 3 AS p2, x * x * x - 389.8e0 * x AS p3 FROM x),
+ z AS (SELECT sum(p0 * p0) AS z0, sum(p1 * p1) AS z1, sum(p2 * p2) AS z2, sum(p3 * p3) AS z3 FROM g),
+ h AS (SELECT CAST(a.x AS BIGINT) + 25 AS r, CAST(b.x AS BIGINT) + 25 AS j, a.p0 * b.p0 / z0 + a.p1 * b.p1 / z1 + a.p2 * b.p2 / z2 + a.p3 * b.p3 / z3 AS w FROM g a, g b, z),
+ k AS (SELECT *, CASE WHEN i < 25 THEN i WHEN i >= n - 25 THEN i - (n - 51) ELSE 25 END AS r, CASE WHEN i < 25 THEN 0 WHEN i >= n - 25 THEN n - 51 ELSE i - 25 END AS base FROM y WHERE n >= 51)
+SELECT k.rec_id, k.record_num, round(sum(h.w * y.dep_m), 4) AS dep_s FROM k JOIN h ON h.r = k.r JOIN y ON y.rec_id = k.rec_id AND y.i = k.base + h.j GROUP BY 1, 2
+UNION ALL SELECT rec_id, record_num, round(dep_m, 4) FROM y WHERE n < 51""")
 def depth_savgol(spark, sf):
+    """Cubic smoothing over 51 pings; the SQL fits by the orthogonal polynomials of 51 points."""
     return depth.smooth(pings(spark, sf), "dep_m", "dep_s", keys=REC).select("rec_id", "record_num", r("dep_s"))
 
 
-@query()
+@query(P.replace("WITH p", "WITH RECURSIVE p", 1) + """, a(rec_id, record_num, v, it) AS (SELECT rec_id, record_num, dep_m, 0 FROM p WHERE dep_m IS NOT NULL UNION ALL
+  SELECT rec_id, record_num, v, it + 1 FROM (SELECT *, bool_or(bad) OVER (PARTITION BY rec_id) AS some_bad FROM (
+   SELECT *, coalesce(abs(v - lag(v) OVER w) > 40 AND abs(lead(v) OVER w - v) > 40 AND sign(v - lag(v) OVER w) <> sign(lead(v) OVER w - v), false) AS bad FROM a WINDOW w AS (PARTITION BY rec_id ORDER BY record_num))) WHERE some_bad AND NOT bad),
+ b AS (SELECT rec_id, record_num, v FROM a QUALIFY it = max(it) OVER (PARTITION BY rec_id)),
+ c(rec_id, record_num, v, it) AS (SELECT rec_id, record_num, v, 0 FROM b UNION ALL
+  SELECT rec_id, record_num, v, it + 1 FROM (SELECT *, bool_or(bad) OVER (PARTITION BY rec_id) AS some_bad FROM (
+   SELECT *, coalesce(step > greatest(40, 6 * quantile_cont(abs(step - mid), 0.5) OVER (PARTITION BY rec_id)), false) AS bad FROM (
+    SELECT *, quantile_cont(step, 0.5) OVER (PARTITION BY rec_id) AS mid FROM (SELECT *, abs(v - lag(v) OVER (PARTITION BY rec_id ORDER BY record_num)) AS step FROM c)))) WHERE some_bad AND NOT bad),
+ d AS (SELECT rec_id, record_num, v FROM c QUALIFY it = max(it) OVER (PARTITION BY rec_id))
+SELECT p.rec_id, p.record_num, d.v AS dep_m FROM p LEFT JOIN d ON d.rec_id = p.rec_id AND d.record_num = p.record_num""")
 def depth_without_jumps(spark, sf):
     return depth.without_jumps(pings(spark, sf).select("rec_id", "record_num", "dep_m"), floor=40.0, keys=REC)
 
 
-@query()
+@query(P.replace("WITH p", "WITH RECURSIVE p", 1) + """, s AS (SELECT rec_id, beam, record_num, dep_m, row_number() OVER (PARTITION BY rec_id ORDER BY record_num, beam) AS i FROM p),
+ r(rec_id, i, cycle, seen) AS (SELECT rec_id, i, CAST(0 AS BIGINT), [beam] FROM s WHERE i = 1 UNION ALL
+  SELECT s.rec_id, s.i, r.cycle + CASE WHEN list_contains(r.seen, s.beam) THEN 1 ELSE 0 END, CASE WHEN list_contains(r.seen, s.beam) THEN [s.beam] ELSE list_append(r.seen, s.beam) END FROM r JOIN s ON s.rec_id = r.rec_id AND s.i = r.i + 1),
+ c AS (SELECT s.*, r.cycle FROM s JOIN r ON s.rec_id = r.rec_id AND s.i = r.i), f AS (SELECT rec_id, cycle, min(record_num) AS first FROM c GROUP BY 1, 2)
+SELECT f.rec_id, f.cycle, b.beam, coalesce(c.record_num, f.first) AS record_num, c.dep_m FROM f CROSS JOIN (VALUES ('click'), ('view'), ('purchase'), ('error'), ('signup')) b(beam)
+ LEFT JOIN c ON c.rec_id = f.rec_id AND c.cycle = f.cycle AND c.beam = b.beam""")
 def missing_ping_cycles(spark, sf):
     return tracks.missing_pings(pings(spark, sf).select("rec_id", "beam", "record_num", "dep_m"), ["click", "view", "purchase", "error", "signup"])
 
