@@ -5,7 +5,6 @@ import math
 import re
 from collections import Counter, defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from soundings.llm import rules
