@@ -12,7 +12,6 @@ nothing; encoding gives them no pieces. Extra columns pass through all stages bu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from soundings.llm import minhash, mixing, pieces, rules, secrets
 from soundings.llm._shared import remove, written
