@@ -726,8 +726,17 @@ def track_spline(spark, sf):
     return tracks.smooth(pings(spark, sf).select("rec_id", "record_num", "time_s", "e", "n"), keys=REC)
 
 
-@query()
+@query(X.replace("WITH x", "WITH RECURSIVE x", 1) + """, c AS (SELECT gy AS row, gx AS col, CAST(max(l_linenumber) % 3 + 1 AS INTEGER) AS cls FROM x GROUP BY 1, 2),
+ g AS (SELECT a.range AS row, b.range AS col, coalesce(c.cls, 0) AS cls FROM range(100) a CROSS JOIN range(100) b LEFT JOIN c ON c.row = a.range AND c.col = b.range), o AS (SELECT range - 1 AS d FROM range(3)),
+ n1 AS (SELECT a.row, a.col, b.row AS r, b.col AS c FROM g a CROSS JOIN o y CROSS JOIN o x JOIN g b ON b.row = a.row + y.d AND b.col = a.col + x.d AND b.cls = a.cls),
+ n2 AS (SELECT DISTINCT n.row, n.col, m.r, m.c FROM n1 n JOIN n1 m ON m.row = n.r AND m.col = n.c), n3 AS (SELECT DISTINCT n.row, n.col, m.r, m.c FROM n2 n JOIN n1 m ON m.row = n.r AND m.col = n.c),
+ h AS (SELECT g.*, k < 4 AS hole FROM g JOIN (SELECT row, col, count(*) AS k FROM n3 GROUP BY 1, 2) USING (row, col)),
+ s(row, col, cls, hole, it) AS (SELECT row, col, CASE WHEN hole THEN 0 ELSE cls END, hole, 0 FROM h UNION ALL
+  SELECT row, col, new, hole, it + 1 FROM (SELECT *, bool_or(new <> cls) OVER () AS some_new FROM (SELECT *, CASE WHEN hole AND cls = 0 THEN greatest(coalesce(lag(cls) OVER a, 0), coalesce(lead(cls) OVER a, 0), coalesce(lag(cls) OVER b, 0), coalesce(lead(cls) OVER b, 0)) ELSE cls END AS new
+   FROM s WINDOW a AS (PARTITION BY row ORDER BY col), b AS (PARTITION BY col ORDER BY row))) WHERE some_new)
+SELECT 0 AS tile, c.row, c.col, CAST(s.cls AS INTEGER) AS cls FROM c JOIN s ON s.row = c.row AND s.col = c.col WHERE it = (SELECT max(it) FROM s)""")
 def label_sieve(spark, sf):
+    """Regions under four cells given to a neighbour. A region of four or more has four cells within three steps of any of its own, which the SQL counts."""
     x = pixels(spark, sf).groupBy(F.lit(0).alias("tile"), F.col("gy").alias("row"), F.col("gx").alias("col")).agg((F.max("l_linenumber") % 3 + 1).cast("int").alias("cls"))
     return substrate.sieve(x, 4, ("tile",))
 
