@@ -41,9 +41,9 @@ def paths(n):
     }
 
 
-@pytest.mark.parametrize("name", ["random", "least at both ends", "valley"])
-def test_rounds_grow_with_the_logarithm_of_a_path(spark, monkeypatch, name):
-    n, steps, real = 10_000, [], _graph.written
+@pytest.mark.parametrize("name, n", [("random", 10_000), ("least at both ends", 1000), ("valley", 1000)])
+def test_rounds_grow_with_the_logarithm_of_a_path(spark, monkeypatch, name, n):
+    steps, real = [], _graph.written
     monkeypatch.setattr(_graph, "written", lambda df, what: steps.append(what) or real(df, what))
     p = paths(n)[name]
     got = _graph.components(spark.createDataFrame(list(zip(p, p[1:])), "u long, v long"))
@@ -104,7 +104,7 @@ def brute_tree(units, shards, grain):
     return out
 
 
-@pytest.mark.parametrize("shards", [3, 8, 24])
+@pytest.mark.parametrize("shards", [3, 24])
 def test_shards_equal_a_tree_by_sorting(spark, small, shards):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = sharding.rows_of(docs.unionByName(docs.limit(3).withColumn("doc_id", F.explode(F.sequence(F.lit(9000), F.lit(9040))))))
@@ -341,7 +341,7 @@ def brute_links(rows, n):
     return sets, [(i, j) for i, s in enumerate(sets) for j in range(i) if s and sets[j] and 100 * len(s & sets[j]) >= 80 * len(s | sets[j])]
 
 
-@pytest.mark.parametrize("sizes", [(1024, 1_000_000, 1 << 22), (3, 1_000_000, 1 << 22), (1024, 300, 0)])
+@pytest.mark.parametrize("sizes", [(3, 1_000_000, 1 << 22), (1024, 300, 0)])
 def test_families_in_small_tiles(spark, monkeypatch, sizes):
     """One boilerplate family with many members below the threshold, tiles of a few sets, and texts found by a join."""
     for name, value in zip(("TILE_SETS", "TILE_SHINGLES", "BITMAP_IDS"), sizes):
