@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, licences, minhash, mixing, pieces, repetition, rules, secrets, sharding, urlfilter
+from . import divergence, embeddings, licences, minhash, mixing, pieces, repetition, rules, secrets, sharding, urlfilter, variants
 from ._shared import written
 
 #: Fixed values: (verdict, host, path).
@@ -57,8 +57,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_read(spark, sf_dir, "documents"), n=2)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_licences, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op8_quality, op9_mixing, op10_minhash)}
+    every = (op1_embeddings, op2_sharding, op3_licences, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op8_quality, op9_mixing, op10_minhash, op11_divergence, op13_variants)
+    return {f.__name__: f for f in every}
 
 
 _VECTORS = """ok AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
@@ -101,6 +110,26 @@ SELECT doc_id, size, s AS source_size, target, CAST(greatest(least(a + size, goa
  k AS (SELECT u, v FROM c JOIN g a ON a.doc_id = u JOIN g b ON b.doc_id = v WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
  e AS (SELECT u, v FROM k UNION ALL SELECT v, u FROM k), reach AS (SELECT u AS a, u AS b FROM e UNION SELECT r.a, e.v FROM reach r JOIN e ON r.b = e.u), root AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
 SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, g.doc_id) AS component_id, coalesce(c, g.doc_id) = g.doc_id AS kept FROM g LEFT JOIN root ON root.a = g.doc_id""",
+    "op11_divergence": r"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d), k AS (SELECT lang, w, count(*) AS m FROM w GROUP BY 1, 2 HAVING count(DISTINCT i) >= 3),
+ l AS (SELECT lang, count(*) AS v, CAST(sum(m) AS BIGINT) AS n FROM k GROUP BY 1), c AS (SELECT lang, source, w, count(*) AS n FROM w SEMI JOIN k USING (lang, w) GROUP BY 1, 2, 3),
+ g AS (SELECT lang, source, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+ p AS (SELECT g.lang, g.source, k.w, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.n + v) AS p, 1 + (1000000000 * (m + 1)) // (l.n + v) AS q FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.w = k.w),
+ s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY 1, 2, 3),
+ o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', w, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o) WHERE part = 'pair' OR rank <= 200""",
+    "op13_variants": r"""WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [1, 1, 1, 1, 1, 1, 1, 1]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+ r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+ u AS (SELECT d, w, count(*) AS n, list_transform(string_split(d || ':' || w, ''), lambda c: unicode(c)) AS p FROM r WHERE length(w) >= 7 GROUP BY 1, 2),
+ h AS (SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(p, lambda c: CASE WHEN c < 128 THEN [CAST(c AS BIGINT)] ELSE [195, CAST(c - 64 AS BIGINT)] END))), lambda c, b: xor(t.t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) AS h FROM u, t),
+ v AS (SELECT CASE WHEN h % 31 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM h), f AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(w) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+ x AS (SELECT w, n, i, w[1:i - 1] || w[i + 1:] AS s FROM f, LATERAL (SELECT unnest(range(1, length(w) + 1)) AS i)),
+ e AS (SELECT a.w, b.w AS o, b.n FROM x a JOIN x b ON a.s = b.s AND a.i = b.i AND a.w <> b.w UNION SELECT x.w, f.w, f.n FROM x JOIN f ON x.s = f.w UNION SELECT f.w, x.w, x.n FROM x JOIN f ON x.s = f.w),
+ b AS (SELECT w, count(*) AS n_near, max(n) AS m FROM e GROUP BY 1), c AS (SELECT e.w, min(e.o) AS o FROM e JOIN b ON b.w = e.w AND b.m = e.n GROUP BY 1),
+ z AS (SELECT f.w, f.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * f.n THEN o END AS form, CASE WHEN m >= 10 * f.n THEN m END AS form_n FROM f LEFT JOIN b ON b.w = f.w LEFT JOIN c ON c.w = f.w),
+ y AS (SELECT w, w AS o, 0 AS k FROM z UNION ALL SELECT y.w, z.form, k + 1 FROM y JOIN z ON z.w = y.o WHERE z.form IS NOT NULL)
+SELECT z.w AS word, form, root, n, n_near, form_n FROM z JOIN (SELECT w, arg_max(o, k) AS root FROM y GROUP BY 1) q ON q.w = z.w""",
 }
 
 
