@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, embeddings, licences, minhash, mixing, pieces, repetition, rules, secrets, sharding, urlfilter, variants
+from . import divergence, embeddings, languages, licences, minhash, mixing, pieces, repetition, rules, secrets, sharding, urlfilter, variants
 from ._shared import written
 
 #: Fixed values: (verdict, host, path).
@@ -61,12 +61,16 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
 
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.predict(_read(spark, sf_dir, "documents"))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_embeddings, op2_sharding, op3_licences, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op8_quality, op9_mixing, op10_minhash, op11_divergence, op13_variants)
+    every = (op1_embeddings, op2_sharding, op3_licences, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op8_quality, op9_mixing, op10_minhash, op11_divergence, op12_languages, op13_variants)
     return {f.__name__: f for f in every}
 
 
@@ -158,5 +162,5 @@ SELECT d.doc_id, coalesce(told.a, 0) AS n_assign, coalesce(told.c, 0) AS n_acces
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB equivalents; those of op2, op3, op7 and op8 grow trees, automata and models, which SQL cannot state, and are tested against brute force instead."""
+    """DuckDB equivalents; those of op2, op3, op7, op8 and op12 grow trees, automata and models, which SQL cannot state, and are tested against brute force instead."""
     return {**ORACLES, "op6_secrets": _secret_sql()}
