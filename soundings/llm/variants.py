@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +66,7 @@ def crc32(start: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
 def _count(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1 << 21):
                 which, found = runs(Texts(part.column(1)), latin)
                 ends, data = parts(found)
                 length = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[ends])
@@ -120,9 +120,9 @@ def deletion_keys(starts: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) -> (key, place, fresh, word, n): place -1 for the whole word; fresh unless the code point left out equals the one before."""
+    """(word, name, n) -> (key, place, fresh, name, n): place -1 for the whole word; fresh unless the code point left out equals the one before."""
     for batch in batches:
-        for part in slices(batch, 1 << 18, 0):
+        for part in slices(batch, 1 << 16, 0):
             starts, points = _points(part.column(0))
             size = np.diff(starts)
             whole, less = deletion_keys(starts, points)
@@ -130,10 +130,10 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.ones(len(points), bool)
             fresh[1:] = (points[1:] != points[:-1]) | (place[1:] == 0)
             row = np.concatenate([np.arange(len(size)), np.repeat(np.arange(len(size)), size)])
-            take = part.take(pa.array(row))
+            take = part.select(["name", "n"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([whole, less]).view(np.int64)), pa.array(np.concatenate([np.full(len(size), -1), place]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(size), bool), fresh])), *take.columns],
-                ["key", "place", "fresh", "word", "n"],
+                ["key", "place", "fresh", "name", "n"],
             )
 
 
@@ -168,23 +168,8 @@ def _shortened(words: pa.Array, place: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(points[keep])])
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, place) -> (word, near, n): both directions of each link. The last key of a batch waits for the next batch."""
-
-    def links(t: pa.Table) -> pa.RecordBatch:
-        key, place = t["key"].to_numpy(), t["place"].to_numpy().astype(np.int64)
-        x, y = _candidates(key, place, t["fresh"].to_numpy())
-        used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-        few = t.take(pa.array(used)).combine_chunks()
-        words = few["word"].chunk(0) if len(few) else pa.array([], pa.string())
-        short = _shortened(words, place[used])
-        x, y = at[: len(x)], at[len(x) :]
-        true = pc.equal(short.take(pa.array(x)), short.take(pa.array(y))).to_numpy(zero_copy_only=False)
-        true &= pc.not_equal(words.take(pa.array(x)), words.take(pa.array(y))).to_numpy(zero_copy_only=False)
-        x, y = x[true], y[true]
-        a, b = pa.array(np.concatenate([x, y])), pa.array(np.concatenate([y, x]))
-        return pa.RecordBatch.from_arrays([words.take(a), words.take(b), few["n"].take(b).combine_chunks()], ["word", "near", "n"])
-
+def _keyed(batches: Iterator[pa.RecordBatch], use: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """use() of rows sorted by key, no key divided: the last key of a batch waits for the next batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -192,21 +177,70 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = batch.column(0).to_numpy()
         split = int(np.searchsorted(key, key[-1], "left"))
         if split:
-            yield links(pa.Table.from_batches([*held, batch.slice(0, split)]))
+            yield use(pa.Table.from_batches([*held, batch.slice(0, split)]))
             held = []
         elif held and held[-1].column(0)[0].as_py() != int(key[0]):
-            yield links(pa.Table.from_batches(held))
+            yield use(pa.Table.from_batches(held))
             held = []
         held.append(batch.slice(split))
     if held:
-        yield links(pa.Table.from_batches(held))
+        yield use(pa.Table.from_batches(held))
+
+
+def _rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return t["key"].to_numpy(), t["place"].to_numpy().astype(np.int64), t["fresh"].to_numpy()
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys whose names are the words -> (word, near, n): both directions of each link."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        x, y = _candidates(*_rows(t))
+        used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        few = t.take(pa.array(used)).combine_chunks()
+        words = few["name"].chunk(0) if len(few) else pa.array([], pa.string())
+        short = _shortened(words, few["place"].to_numpy())
+        x, y = at[: len(x)], at[len(x) :]
+        true = pc.equal(short.take(pa.array(x)), short.take(pa.array(y))).to_numpy(zero_copy_only=False)
+        true &= pc.not_equal(words.take(pa.array(x)), words.take(pa.array(y))).to_numpy(zero_copy_only=False)
+        x, y = x[true], y[true]
+        a, b = pa.array(np.concatenate([x, y])), pa.array(np.concatenate([y, x]))
+        return pa.RecordBatch.from_arrays([words.take(a), words.take(b), few["n"].take(b).combine_chunks()], ["word", "near", "n"])
 
+    return _keyed(batches, links)
 
-def near_words(words: DataFrame) -> DataFrame:
-    """(word, n) with distinct words -> word, near, n (of near): a row for each ordered pair that differs by one inserted, deleted or replaced code point."""
-    keys = words.mapInArrow(_spread, "key long, place int, fresh boolean, word string, n long")
-    dealt = keys.repartition(F.shiftrightunsigned("key", 44)).sortWithinPartitions("key", "place")
-    return dealt.mapInArrow(_link, "word string, near string, n long")
+
+def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys whose names are numbers -> (a, b, place_a, place_b): unconfirmed candidates."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        x, y = _candidates(*_rows(t))
+        return pa.RecordBatch.from_arrays([t[c].take(pa.array(i)).combine_chunks() for c, i in (("name", x), ("name", y), ("place", x), ("place", y))], ["a", "b", "place_a", "place_b"])
+
+    return _keyed(batches, pairs)
+
+
+def _dealt(words: DataFrame, kind: str) -> DataFrame:
+    keys = words.select("word", "name", "n").mapInArrow(_spread, f"key long, place int, fresh boolean, name {kind}, n long")
+    return keys.repartition(F.shiftrightunsigned("key", 44)).sortWithinPartitions("key", "place")
+
+
+def near_words(words: DataFrame, long: int = LONG) -> DataFrame:
+    """(word, n) with distinct words -> word, near, n (of near): a row for each ordered pair that differs by one inserted, deleted or replaced code point.
+
+    Keys carry the word. From `long` code points on they carry a number instead, so that a word
+    of any length takes memory in proportion to it; their candidates are joined with the words to be confirmed.
+    """
+    size = F.length("word")
+    short = _dealt(words.where(size <= long).withColumn("name", F.col("word")), "string").mapInArrow(_link, "word string, near string, n long")
+    far = written(words.where(size >= long).withColumn("name", F.monotonically_increasing_id()), "spell-long")
+    met = _dealt(far, "long").mapInArrow(_pair, "a long, b long, place_a int, place_b int")
+    side = lambda s: far.select(F.col("name").alias(s), F.col("word").alias(f"word_{s}"), F.col("n").alias(f"n_{s}"))
+    less = lambda s: F.when(F.col(f"place_{s}") < 0, F.col(f"word_{s}")).otherwise(F.concat(F.expr(f"substring(word_{s}, 1, place_{s})"), F.expr(f"substring(word_{s}, place_{s} + 2)")))
+    true = (less("a") == less("b")) & (F.col("word_a") != F.col("word_b")) & (F.greatest(F.length("word_a"), F.length("word_b")) > long)
+    true = met.join(side("a"), "a").join(side("b"), "b").where(true)
+    both = F.inline(F.array(*(F.struct(F.col(f"word_{x}").alias("word"), F.col(f"word_{y}").alias("near"), F.col(f"n_{y}").alias("n")) for x, y in ("ab", "ba"))))
+    return short.unionByName(true.select(both))
 
 
 def group(docs: DataFrame, least: int = 7, times: int = 2, factor: int = 10) -> DataFrame:
