@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import written
 from ._words import Texts, slices
 
 HIDDEN, SEGMENT, PAD = 8, 64, 256
 BATCH = 2048
 #: Bounds of the training sample: documents of each language, and code points of each, taken from a place that its hash says.
 PER_LANGUAGE, WINDOW = 400, 640
+#: Up to so many languages their counts are sent to every task, else joined.
+MOST_BROADCAST = 100_000
 
 
 class Network(NamedTuple):
@@ -201,9 +204,14 @@ def is_held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, window: int = WINDOW) -> Network:
     """Fit on at most per_language documents of each language, those first by hash, at most window code points of each.
 
-    Rows that are held out or have a null lang or text are left out.
+    Rows that are held out or have a null lang or text are left out. A count per language says
+    below which hash its first documents lie (four times as many as are wanted), so what is put in order does not grow with the table.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    may = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
+    counts = written(may.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    few = counts.count() <= MOST_BROADCAST
+    known = may.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").join(F.broadcast(counts) if few else counts, "lang")
+    known = known.where(F.pmod("h", F.lit(1 << 32)).cast("double") * F.col("n") < float(4 * per_language << 32))
     place = F.pmod(F.col("h"), F.greatest(F.length("text") - window + 1, F.lit(1))).cast("int") + 1
     part = known.select("lang", "h", F.substring("text", place, F.lit(window)).alias("part")).where("part <> ''")
     first = part.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("r") <= per_language)
