@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -82,19 +83,51 @@ def as_of(rows: DataFrame, events: DataFrame, time: str, event_time: str, state:
     return merged.where("_o = 1").select("_row.*", out)
 
 
-def _as_of_all(rows: DataFrame, events: DataFrame, time: str, event_time: str, state: str, out: str, cells: int = 4096) -> DataFrame:
-    """as_of() over one sequence of events for all rows: within each of `cells` spans of time, with the state that earlier spans leave behind."""
-    span = rows.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
-    if span["lo"] is None:
-        return rows.withColumn(out, F.lit(None).cast(events.schema[state].dataType))
-    lo, width = float(span["lo"]), max((float(span["hi"]) - float(span["lo"])) / cells, 1e-9)
-    cell = lambda c: F.least(F.greatest(F.floor((F.col(c).cast("double") - lo) / width), F.lit(-1)), F.lit(cells))
-    told = events.where(F.col(event_time).isNotNull()).withColumn("_cell", cell(event_time))
-    last = told.where(F.col(state).isNotNull()).groupBy("_cell").agg(F.max_by(state, event_time).alias("_left"))
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # cells + 2 rows
-    carry = rows.sparkSession.range(-1, cells + 1).select(F.col("id").alias("_cell")).join(last, "_cell", "left").withColumn("_carry", F.last("_left", ignorenulls=True).over(before)).drop("_left")
-    inside = as_of(rows.withColumn("_cell", cell(time)), told, time, event_time, state, out, ("_cell",))
-    return inside.join(carry, "_cell", "left").withColumn(out, F.coalesce(out, "_carry")).drop("_cell", "_carry")
+def time_spans(rows: DataFrame, time: str, size: int = 100_000, most: int = 2048) -> list[float]:
+    """Times that cut rows into spans of about `size` rows, at most `most` of them, from a sketch of their quantiles; a time held by many rows comes several times."""
+    n = rows.agg(F.count(time)).first()[0]
+    spans = min(most, n // size + 1)
+    if spans < 2:
+        return []
+    shares = F.array(*(F.lit(i / spans) for i in range(1, spans)))
+    return rows.agg(F.percentile_approx(F.col(time).cast("double"), shares, F.lit(8 * spans))).first()[0]
+
+
+def span_of(time: Column, cuts: list[float], first: bool = False) -> Column:
+    """The span of a time: that after the cuts before it. Rows at a cut that comes several times are dealt over the spans between; with `first` they get the first of these."""
+    if not cuts:
+        return F.lit(0)
+    at = np.array(cuts)
+
+    @F.pandas_udf("int")
+    def find(t: pd.Series) -> pd.Series:
+        x = t.to_numpy(float)
+        low = np.searchsorted(at, x, "left")
+        if first:
+            return pd.Series(low.astype(np.int32))
+        room = np.searchsorted(at, x, "right") - low + 1
+        return pd.Series((low + np.arange(len(x)) % room).astype(np.int32))
+
+    return find(time.cast("double"))
+
+
+def _as_of_all(rows: DataFrame, events: DataFrame, time: str, event_time: str, state: str, out: str, size: int = 100_000) -> DataFrame:
+    """as_of() over one sequence of events for all rows: within spans of about `size` rows, with the state that earlier spans leave behind.
+
+    The spans follow the rows' times, however these are spread, and rows of one time may be in several spans; the
+    events of a time are in the first of these, whose end the later ones start from.
+    """
+    cuts = time_spans(rows, time, size)
+    told = events.where(F.col(event_time).isNotNull())
+    if not cuts:
+        return as_of(rows.withColumn("_span", F.lit(0)), told.withColumn("_span", F.lit(0)), time, event_time, state, out, ("_span",)).drop("_span")
+    told = told.withColumn("_span", span_of(F.col(event_time), cuts, first=True))
+    last = told.where(F.col(state).isNotNull()).groupBy("_span").agg(F.max_by(state, event_time).alias("_left"))
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    spans = rows.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_span"))
+    carry = spans.join(last, "_span", "left").withColumn("_carry", F.last("_left", ignorenulls=True).over(before)).drop("_left")
+    inside = as_of(rows.withColumn("_span", span_of(F.col(time), cuts)), told, time, event_time, state, out, ("_span",))
+    return inside.join(carry, "_span", "left").withColumn(out, F.coalesce(out, F.when(F.col(time).isNotNull(), F.col("_carry")))).drop("_span", "_carry")
 
 
 def island_lengths(index: Column, w: WindowSpec, keys: tuple[str, ...], df: DataFrame) -> DataFrame:

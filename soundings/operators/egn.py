@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import written
 from ..functions.windows import KEYS
 
 
@@ -90,3 +91,52 @@ def chunk_range(pings: DataFrame) -> DataFrame:
 
 def range_reference(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("rec_id", "beam").agg(F.percentile("range_m", F.lit(0.5)).alias("ref_m"))
+
+
+#: Tables of means up to this size are sent to every task; larger ones are joined.
+BROADCAST_BYTES = 64 << 20
+
+
+def row_statistics(pings: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id")) -> DataFrame:
+    """(*keys, row, chunk_mean, lo, hi) of the samples from row `bed` on; 0 counts as missing in the mean. One scan; samples are added up before any shuffle."""
+    long = pings.select(*keys, "bed", F.posexplode("samples").alias("row", "v")).where("row >= bed")
+    return long.groupBy(*keys, "row").agg(F.avg(F.when(F.col("v") != 0, F.col("v"))).alias("chunk_mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+def gains(stats: DataFrame, keys: tuple[str, ...] = KEYS, recording: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """(*keys, means, lo, hi): the mean of each range row as one array per beam, and the recording's extremes of the corrected samples.
+
+    Means leave out a beam's last chunk, extremes do not; a beam of one chunk has no means. Rows without
+    a mean are null, rows beyond the array take its last. Dividing by a row's mean keeps order or turns
+    it round, so a row's extremes give those of its corrected samples: no second scan.
+    """
+    last = stats.groupBy(*keys).agg(F.max("chunk_id").alias("_last"))
+    known = stats.join(last, list(keys)).where("chunk_id < _last").groupBy(*keys, "row").agg(F.avg("chunk_mean").alias("row_mean"))
+    held = known.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row", "row_mean"))).alias("_m"))  # as long as a ping at most
+    place = F.array_position(F.transform("_m", lambda m: m["row"]), F.col("_row"))
+    grid = held.select(*keys, "_m", F.explode(F.sequence(F.lit(0), F.element_at("_m", -1)["row"])).alias("_row"))
+    full = grid.select(*keys, "_row", F.when(place > 0, F.element_at("_m", place.cast("int"))["row_mean"]).alias("_mean"))
+    arrays = full.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_row", "_mean"))), lambda m: m["_mean"]).alias("means"))
+    ends = stats.join(arrays, list(keys)).withColumn("_mean", F.element_at("means", F.least(F.col("row") + 1, F.size("means"))))
+    a, b = F.try_divide("lo", "_mean"), F.try_divide("hi", "_mean")
+    extremes = ends.groupBy(*recording).agg(F.min(F.least(a, b)).alias("lo"), F.max(F.greatest(a, b)).alias("hi"))
+    return arrays.join(extremes, list(recording))
+
+
+def correct_arrays(pings: DataFrame, gains: DataFrame, gamma: float = 1.0, gain: float = 1.0, keys: tuple[str, ...] = KEYS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """pings with egn and out: the samples over their rows' means, and these rescaled by the recording's extremes and toned; null above row `bed`.
+
+    A second scan. The means, a beam's array each, go to every task if they are at most most_bytes; else both sides are joined by beam.
+    """
+    table = written(gains, "gains")
+    size = table.agg(F.sum(F.size("means") + 4)).first()[0] or 0
+    met = pings.join(F.broadcast(table) if 8 * size <= most_bytes else table, list(keys))
+    fixed = F.transform("samples", lambda v, i: F.when(i >= F.col("bed"), F.try_divide(v, F.element_at("means", F.least(i + 1, F.size("means"))))))
+    toned = F.transform("egn", lambda v, i: F.when(i >= F.col("bed"), tone(rescale(v, F.col("lo"), F.col("hi")), gamma, gain)))
+    return met.withColumn("egn", fixed).withColumn("out", toned).drop("means", "lo", "hi")
+
+
+def returns_of(corrected: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id", "record_num", "bed")) -> DataFrame:
+    """A row for each sample from row `bed` on, with its corrected values: for a sink that takes pixels."""
+    long = corrected.select(*keys, F.posexplode(F.arrays_zip("samples", "egn", "out")).alias("row", "_s"))
+    return long.where("row >= bed").select(*keys, "row", F.col("_s.samples").alias("v"), "_s.egn", "_s.out")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
+from ..functions.quantiles import percentiles
 from ..functions.windows import KEYS, along, as_of, island_lengths, unwrap
 
 
@@ -16,8 +17,7 @@ def _and(df: DataFrame, keep: Column, flag: str) -> DataFrame:
 
 def coordinate_outliers(pings: DataFrame, scale: float = 3.0, keys: tuple[str, ...] = KEYS, flag: str = "filter") -> DataFrame:
     """False for positions outside Q1 - scale * IQR .. Q3 + scale * IQR of their beam, in lon or lat."""
-    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    fence = pings.groupBy(*keys).agg(q("lon").alias("_qx"), q("lat").alias("_qy"))
+    fence = percentiles(pings, "lon", (0.25, 0.75), keys, "_qx").join(percentiles(pings, "lat", (0.25, 0.75), keys, "_qy"), list(keys))
     out = F.lit(False)
     for c, b in (("lon", "_qx"), ("lat", "_qy")):
         lo, hi = F.col(b)[0], F.col(b)[1]

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import percentiles
 from . import kernels
 
 
@@ -75,8 +76,8 @@ def narrow(v: Column, low_zero_share: Column) -> Column:
 
 def stretch_bounds(pixels: DataFrame, value: str, keys: tuple[str, ...] = (), lo: float = 0.01, hi: float = 0.995) -> DataFrame:
     """lo, hi: percentiles of the positive values, per keys."""
-    q = F.percentile(value, F.array(F.lit(lo), F.lit(hi)))
-    return pixels.where(F.col(value) > 0).groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
+    q = percentiles(pixels.where(F.col(value) > 0), value, (lo, hi), keys, "_q")
+    return q.select(*keys, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
 def unit(v: Column, lo: Column, hi: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.stored import written
 from ..operators import depth, egn, filters, mosaic, samples, substrate, tracks
 from ..sources.tables import load_params
 
@@ -51,15 +52,18 @@ def read_stage(pings: DataFrame, p: Params, intervals: DataFrame | None = None,
     return depth.clean(tracks.transects(df, p.nchunk), adjust_pixels=p.adjust_depth, smoothed=p.smooth_depth)
 
 
-def gain_stage(pings: DataFrame, p: Params) -> DataFrame:
-    """Pixels (rec_id, beam, chunk_id, record_num, row, v, egn, out) corrected by their recording's row means, rescaled by its extremes and toned."""
+def gain_arrays(pings: DataFrame, p: Params) -> DataFrame:
+    """Pings with bed, and with egn and out beside their samples: corrected by the recording's row means, rescaled by its extremes and toned.
+
+    Two scans of the pings: one for the statistics, one for the output; samples stay in their ping's arrays.
+    """
     bed = pings.withColumn("bed", samples.bed_row(F.col("dep_m"), F.col("pixM")))
-    long = bed.select("rec_id", "beam", "chunk_id", "record_num", "bed", F.posexplode("samples").alias("row", "v")).where("row >= bed")
-    means = egn.global_means(egn.chunk_means(egn.without_last_chunk(long)))
-    fixed = egn.correct(long, means)
-    ends = egn.fold_min_max(egn.min_max(fixed))
-    scaled = fixed.join(ends, "rec_id", "left")
-    return scaled.withColumn("out", egn.tone(egn.rescale(F.col("egn"), F.col("lo"), F.col("hi")), p.gamma, p.gain)).select(*fixed.columns, "out")
+    return egn.correct_arrays(bed, egn.gains(written(egn.row_statistics(bed), "row-statistics")), p.gamma, p.gain)
+
+
+def gain_stage(pings: DataFrame, p: Params) -> DataFrame:
+    """gain_arrays() as pixels: rec_id, beam, chunk_id, record_num, bed, row, v, egn, out."""
+    return egn.returns_of(gain_arrays(pings, p))
 
 
 def rectify_stage(pings: DataFrame, p: Params) -> DataFrame:
