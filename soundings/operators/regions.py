@@ -22,8 +22,13 @@ RINGS = "array<array<struct<x:double,y:double>>>"
 _NEVER = np.iinfo(np.int32).max
 
 
-def _kind(df: DataFrame, keys: tuple[str, ...]) -> str:
-    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+def _kind(df: DataFrame, keys: tuple[str, ...], rest: str) -> str:
+    return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), rest])
+
+
+def _by_map(df: DataFrame, maps: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """df with what maps, one row a map, say of its map; without keys there is one map and one row."""
+    return df.join(maps, list(keys)) if keys else df.crossJoin(F.broadcast(maps))
 
 
 def _cells(df: DataFrame, tile: int) -> DataFrame:
@@ -111,8 +116,8 @@ def _regions(pixels: DataFrame, keys: tuple[str, ...], tile: int, eight: bool, b
     some = pixels.where("cls <> 0").select(*keys, F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), F.col("cls").cast("int").alias("cls"))
     box = bounds if bounds is not None else extent(some, keys)
     if background:
-        some = some.join(box, list(keys))
-    kind = f"{_kind(some, keys)}, gx long, gy long, cls int, node long, n long"
+        some = _by_map(some, box, keys)
+    kind = _kind(some, keys, "gx long, gy long, cls int, node long, n long")
     labelled = written(_cells(some, tile).groupBy(*keys, "_tx", "_ty").applyInArrow(_label(keys, tile, eight, background), kind), "labels")
 
     rim = labelled.where(_on_seam(tile))
@@ -126,7 +131,7 @@ def _regions(pixels: DataFrame, keys: tuple[str, ...], tile: int, eight: bool, b
     if background:
         out = F.array(*(F.struct((F.col("gx") + a).alias("nx"), (F.col("gy") + b).alias("ny")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))))
         beyond = rim.where("cls = 0").select(*keys, "gx", "gy", "cls", "node", F.inline(out)).where(f"floor(nx / {tile}) <> floor(gx / {tile}) OR floor(ny / {tile}) <> floor(gy / {tile})")
-        beyond = beyond.join(box, list(keys)).where("nx BETWEEN _x0 AND _x1 AND ny BETWEEN _y0 AND _y1").join(over.select(*keys, "nx", "ny"), [*keys, "nx", "ny"], "left_anti")
+        beyond = _by_map(beyond, box, keys).where("nx BETWEEN _x0 AND _x1 AND ny BETWEEN _y0 AND _y1").join(over.select(*keys, "nx", "ny"), [*keys, "nx", "ny"], "left_anti")
         sizes = sizes.unionByName(beyond.select(*keys, "cls", "node").distinct().withColumn("n", F.lit(background).cast("long")))
     held = sizes.join(roots.select("id.*", F.col("root.node").alias("root")), [*keys, "node"], "left").withColumn("region", F.coalesce("root", "node"))
     total = held.groupBy(*keys, "region").agg(F.sum("n").alias("n"))
@@ -199,7 +204,7 @@ def grow(pixels: DataFrame, keys: tuple[str, ...] = ("batch",), tile: int = TILE
     null area may cross any number of tiles. Classes are positive.
     """
     state = pixels.select(*keys, F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), F.coalesce(F.col("cls").cast("int"), F.lit(0)).alias("cls"), F.when(F.col("cls").isNull(), _NEVER).otherwise(0).cast("int").alias("d"), F.col("cls").isNull().alias("open"))
-    kind = f"{_kind(state, keys)}, gx long, gy long, cls int, d int, open boolean, active boolean, moved boolean"
+    kind = _kind(state, keys, "gx long, gy long, cls int, d int, open boolean, active boolean, moved boolean")
     rims = (("gx", 0, -1, 0), ("gx", tile - 1, 1, 0), ("gy", 0, 0, -1), ("gy", tile - 1, 0, 1))
     beyond = (F.when(F.pmod(c, F.lit(tile)) == at, F.struct((F.col("_tx") + a).alias("_tx"), (F.col("_ty") + b).alias("_ty"))) for c, at, a, b in rims)
     tiles = F.array_compact(F.array(F.struct("_tx", "_ty"), *beyond))
@@ -354,8 +359,7 @@ def outlines(pixels: DataFrame, size: float, keys: tuple[str, ...] = ("batch",),
     beyond = (F.when(F.pmod(c, F.lit(tile)) == at, F.struct((F.col("_tx") + a).alias("_tx"), (F.col("_ty") + b).alias("_ty"))) for c, at, a, b in rims)
     tiles = F.array_compact(F.array(F.struct("_tx", "_ty"), *beyond))
     sent = _cells(known, tile).select(*keys, "gx", "gy", "region", F.inline(tiles))
-    kind = _kind(known, keys)
-    pieces = sent.groupBy(*keys, "_tx", "_ty").applyInArrow(_trace(keys, tile), f"{kind}, region long, closed boolean, xs array<long>, ys array<long>, first int, last int")
-    rings = pieces.groupBy(*keys, "region").applyInArrow(_stitch((*keys, "region"), size), f"{kind}, region long, rings {RINGS}")
+    pieces = sent.groupBy(*keys, "_tx", "_ty").applyInArrow(_trace(keys, tile), _kind(known, keys, "region long, closed boolean, xs array<long>, ys array<long>, first int, last int"))
+    rings = pieces.groupBy(*keys, "region").applyInArrow(_stitch((*keys, "region"), size), _kind(known, keys, f"region long, rings {RINGS}"))
     about = known.groupBy(*keys, "region").agg(F.first("cls").alias("cls"), (F.count("*") * F.lit(size * size)).alias("area_m"))
     return about.join(rings, [*keys, "region"]).select(*keys, "cls", "region", "rings", "area_m")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.windows import as_of, fill_linear, rolling_median, unwrap
-from ..operators import depth, egn, filters, mosaic, reach, samples, substrate, tracks, waterfall
+from ..operators import depth, egn, filters, mosaic, overlay, reach, regions, samples, substrate, tracks, waterfall
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -737,8 +737,90 @@ def track_spline(spark, sf):
 SELECT 0 AS tile, c.row, c.col, CAST(s.cls AS INTEGER) AS cls FROM c JOIN s ON s.row = c.row AND s.col = c.col WHERE it = (SELECT max(it) FROM s)""")
 def label_sieve(spark, sf):
     """Regions under four cells given to a neighbour. A region of four or more has four cells within three steps of any of its own, which the SQL counts."""
-    x = pixels(spark, sf).groupBy(F.lit(0).alias("tile"), F.col("gy").alias("row"), F.col("gx").alias("col")).agg((F.max("l_linenumber") % 3 + 1).cast("int").alias("cls"))
-    return substrate.sieve(x, 4, ("tile",))
+    got = regions.sieve(_class_map(spark, sf, 1), 4, (), tile=64)
+    return got.select(F.lit(0).alias("tile"), F.col("gy").alias("row"), F.col("gx").alias("col"), "cls")
+
+
+def _class_map(spark: SparkSession, sf: str, add: int) -> DataFrame:
+    """A class for each pixel that an item lies on."""
+    return pixels(spark, sf).groupBy("gx", "gy").agg((F.max("l_linenumber") % 3 + add).cast("int").alias("cls"))
+
+
+@query(X.replace("WITH x", "WITH RECURSIVE x", 1) + """, c AS (SELECT gy AS row, gx AS col, CAST(max(l_linenumber) % 3 AS INTEGER) AS cls FROM x GROUP BY 1, 2),
+ g AS (SELECT a.range AS row, b.range AS col, coalesce(c.cls, 0) AS cls FROM range(100) a CROSS JOIN range(100) b LEFT JOIN c ON c.row = a.range AND c.col = b.range), o AS (SELECT range - 1 AS d FROM range(3)),
+ n1 AS (SELECT a.row, a.col, b.row AS r, b.col AS c FROM g a CROSS JOIN o y CROSS JOIN o x JOIN g b ON b.row = a.row + y.d AND b.col = a.col + x.d AND b.cls = a.cls AND a.cls > 0),
+ n2 AS (SELECT DISTINCT n.row, n.col, m.r, m.c FROM n1 n JOIN n1 m ON m.row = n.r AND m.col = n.c), n3 AS (SELECT DISTINCT n.row, n.col, m.r, m.c FROM n2 n JOIN n1 m ON m.row = n.r AND m.col = n.c),
+ k AS (SELECT g.row, g.col, CASE WHEN k >= 4 THEN cls ELSE 0 END AS cls FROM g LEFT JOIN (SELECT row, col, count(*) AS k FROM n3 GROUP BY 1, 2) USING (row, col)),
+ b1 AS (SELECT a.row, a.col, b.row AS r, b.col AS c FROM k a CROSS JOIN o y CROSS JOIN o x JOIN k b ON b.row = a.row + y.d AND b.col = a.col + x.d AND abs(y.d) + abs(x.d) < 2 AND b.cls = 0 AND a.cls = 0),
+ b2 AS (SELECT DISTINCT n.row, n.col, m.r, m.c FROM b1 n JOIN b1 m ON m.row = n.r AND m.col = n.c), b4 AS (SELECT DISTINCT n.row, n.col, m.r, m.c FROM b2 n JOIN b2 m ON m.row = n.r AND m.col = n.c),
+ h AS (SELECT k.*, coalesce(n < 5, false) AS hole FROM k LEFT JOIN (SELECT row, col, count(*) AS n FROM b4 GROUP BY 1, 2) USING (row, col)),
+ s(row, col, cls, hole, it) AS (SELECT row, col, cls, hole, 0 FROM h UNION ALL
+  SELECT row, col, new, hole, it + 1 FROM (SELECT *, bool_or(new <> cls) OVER () AS some_new FROM (SELECT *, CASE WHEN hole AND cls = 0 THEN greatest(coalesce(lag(cls) OVER a, 0), coalesce(lead(cls) OVER a, 0), coalesce(lag(cls) OVER b, 0), coalesce(lead(cls) OVER b, 0)) ELSE cls END AS new
+   FROM s WINDOW a AS (PARTITION BY row ORDER BY col), b AS (PARTITION BY col ORDER BY row))) WHERE some_new)
+SELECT row AS gy, col AS gx, CAST(cls AS INTEGER) AS cls FROM s WHERE it = (SELECT max(it) FROM s) AND cls > 0""")
+def map_watershed(spark, sf):
+    """A class map without regions under four pixels, its holes under five filled by the classes around them, nearest first; map tiles of 64."""
+    return regions.fill_map(_class_map(spark, sf, 0), 4, 5, (), tile=64).select("gy", "gx", "cls")
+
+
+@query(X.replace("WITH x", "WITH RECURSIVE x", 1) + """, c AS (SELECT gx, gy, CAST(max(l_linenumber) % 3 AS INTEGER) AS cls, CAST(gy AS BIGINT) * 4294967296 + gx + 2147483648 AS id FROM x GROUP BY 1, 2 HAVING max(l_linenumber) % 3 <> 0),
+ e AS (SELECT a.id AS u, b.id AS v FROM c a CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) JOIN c b ON b.gx = a.gx + dx AND b.gy = a.gy + dy AND b.cls = a.cls),
+ reach AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, e.v FROM reach r JOIN e ON r.b = e.u), g AS (SELECT a AS id, min(b) AS region FROM reach GROUP BY 1),
+ q AS (SELECT region, cls, c.id, gx, gy FROM c JOIN g USING (id)), m AS (SELECT region, gx + dx AS vx, gy + dy AS vy, count(*) AS k, sum(bit) AS bits FROM q CROSS JOIN (VALUES (0, 0, 1), (1, 0, 2), (0, 1, 4), (1, 1, 8)) d(dx, dy, bit) GROUP BY 1, 2, 3),
+ w AS (SELECT region, sum(CASE WHEN k IN (1, 3) THEN 1 WHEN bits IN (6, 9) THEN 2 ELSE 0 END) AS corners, sum(CASE WHEN k = 4 THEN 1 ELSE 0 END) AS full FROM m GROUP BY 1),
+ t AS (SELECT region, min(cls) AS cls, count(*) AS n FROM q GROUP BY 1), l AS (SELECT g.region, count(*) // 2 AS n FROM e JOIN g ON g.id = e.u GROUP BY 1)
+SELECT t.region, t.cls, n_rings, n_corners, perimeter, area_m FROM (SELECT t.region, t.cls, CAST(2 - t.n + coalesce(l.n, 0) - w.full AS INTEGER) AS n_rings, CAST(corners AS BIGINT) AS n_corners, 0.5e0 * (4 * t.n - 2 * coalesce(l.n, 0)) AS perimeter, 0.25e0 * t.n AS area_m FROM t JOIN w USING (region) LEFT JOIN l USING (region)) t""")
+def region_rings(spark, sf):
+    """Polygons of a class map, stitched from tiles of 16; a region with h holes, joined by sides, has the Euler number 1 - h, which the SQL counts by cells, sides and corners."""
+    step = lambda ring: F.transform(ring, lambda p, i: F.abs(p["x"] - F.get(ring, (i + 1) % F.size(ring))["x"]) + F.abs(p["y"] - F.get(ring, (i + 1) % F.size(ring))["y"]))
+    total = lambda a, zero: F.aggregate(a, F.lit(zero), lambda x, y: x + y)
+    got = regions.outlines(_class_map(spark, sf, 0), 0.5, (), tile=16)
+    corners = F.aggregate(F.transform("rings", lambda g: F.size(g).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    return got.select("region", "cls", F.size("rings").alias("n_rings"), corners.alias("n_corners"), total(F.flatten(F.transform("rings", step)), 0.0).alias("perimeter"), "area_m")
+
+
+@query("""WITH c AS (SELECT l_orderkey % 3 AS rec_id, l_orderkey % 2 AS beam, l_orderkey // 5000 AS chunk_id, l_orderkey AS record_num, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS INTEGER) AS row, CAST(l_quantity AS DOUBLE) AS v FROM lineitem),
+ w AS (SELECT * FROM c WHERE row >= record_num % 2), z AS (SELECT rec_id, beam, max(chunk_id) AS z FROM w GROUP BY 1, 2),
+ m AS (SELECT rec_id, beam, chunk_id, row, avg(nullif(v, 0)) AS cm FROM w JOIN z USING (rec_id, beam) WHERE chunk_id < z GROUP BY 1, 2, 3, 4), g AS (SELECT rec_id, beam, row, avg(cm) AS row_mean FROM m GROUP BY 1, 2, 3), l AS (SELECT rec_id, beam, max(row) AS last FROM g GROUP BY 1, 2),
+ f AS (SELECT w.*, v / row_mean AS egn FROM w JOIN l USING (rec_id, beam) LEFT JOIN g ON w.rec_id = g.rec_id AND w.beam = g.beam AND least(w.row, last) = g.row), e AS (SELECT rec_id, min(egn) AS lo, max(egn) AS hi FROM f GROUP BY 1)
+SELECT rec_id, beam, chunk_id, record_num, row, round(egn, 6) AS egn, round(255 * coalesce(least(greatest((egn - lo) / nullif(hi - lo, 0) * 255, 0), 255), 0) / 255, 4) AS out FROM f JOIN e USING (rec_id)""")
+def gain_on_arrays(spark, sf):
+    """The whole correction on sample arrays, an order's items being a ping's samples."""
+    o = F.col("l_orderkey")
+    items = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda s: s["l_quantity"].cast("double"))
+    p = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(items.alias("samples"))
+    p = p.select((o % 3).alias("rec_id"), (o % 2).alias("beam"), F.expr("l_orderkey div 5000").alias("chunk_id"), o.alias("record_num"), (o % 2).cast("int").alias("bed"), "samples")
+    got = egn.returns_of(egn.correct_arrays(p, egn.gains(egn.row_statistics(p))))
+    return got.select("rec_id", "beam", "chunk_id", "record_num", "row", r("egn", 6), r("out", 4))
+
+
+def _stamps(spark: SparkSession, sf: str) -> DataFrame:
+    """A window of the map for each supplier, not along its pixels."""
+    k = F.col("s_suppkey")
+    x, y = (k * 7) % 90 + 0.25, (k * 13) % 80 + 0.75
+    return table(spark, sf, "supplier").select(k.alias("stamp"), overlay.rectangle(x, y, x + k % 11 + 3.5, y + k % 5 + 2.25).alias("window"))
+
+
+@query(X + """, c AS (SELECT gx, gy, CAST(max(l_linenumber) % 3 AS INTEGER) AS cls FROM x GROUP BY 1, 2 HAVING max(l_linenumber) % 3 <> 0),
+ w AS (SELECT s_suppkey AS stamp, (s_suppkey * 7) % 90 + 0.25e0 AS x0, (s_suppkey * 13) % 80 + 0.75e0 AS y0, (s_suppkey * 7) % 90 + s_suppkey % 11 + 3.75e0 AS x1, (s_suppkey * 13) % 80 + s_suppkey % 5 + 3e0 AS y1 FROM supplier)
+SELECT stamp, cls, round(sum((least(gx + 1, x1) - greatest(gx, x0)) * (least(gy + 1, y1) - greatest(gy, y0))), 6) AS area_m FROM c JOIN w ON gx + 1 > x0 AND gx < x1 AND gy + 1 > y0 AND gy < y1 GROUP BY 1, 2""")
+def class_area_in_stamps(spark, sf):
+    """Areas of classes inside stamps, from polygons cut by windows; the SQL adds up parts of pixels."""
+    shapes = regions.outlines(_class_map(spark, sf, 0), 1.0, (), tile=32)
+    return overlay.class_areas(shapes, _stamps(spark, sf), 8.0, ("stamp",)).select("stamp", "cls", r("area_m", 6))
+
+
+@query(P + """, s AS (SELECT rec_id, record_num, e AS x0, n AS y0, lead(e) OVER w AS x1, lead(n) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY rec_id ORDER BY record_num)),
+ k AS (SELECT s_suppkey AS stamp, (s_suppkey * 7) % 90 + 0.25e0 AS l, (s_suppkey * 13) % 80 + 0.75e0 AS b, (s_suppkey * 7) % 90 + s_suppkey % 11 + 3.75e0 AS r, (s_suppkey * 13) % 80 + s_suppkey % 5 + 3e0 AS t FROM supplier),
+ j AS (SELECT stamp, rec_id, x1 - x0 AS dx, y1 - y0 AS dy, (l - x0) / nullif(x1 - x0, 0) AS a, (r - x0) / nullif(x1 - x0, 0) AS c, (b - y0) / nullif(y1 - y0, 0) AS d, (t - y0) / nullif(y1 - y0, 0) AS e, x0 BETWEEN l AND r AS inx, y0 BETWEEN b AND t AS iny FROM s JOIN k ON greatest(x0, x1) > l AND least(x0, x1) < r AND greatest(y0, y1) > b AND least(y0, y1) < t),
+ f AS (SELECT *, greatest(0, CASE WHEN dx <> 0 THEN least(a, c) WHEN inx THEN 0 ELSE 2 END, CASE WHEN dy <> 0 THEN least(d, e) WHEN iny THEN 0 ELSE 2 END) AS t0, least(1, CASE WHEN dx <> 0 THEN greatest(a, c) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest(d, e) ELSE 1 END) AS t1 FROM j)
+SELECT stamp, rec_id, round(sum((t1 - t0) * sqrt(dx * dx + dy * dy)), 4) AS metres FROM f WHERE t0 < t1 GROUP BY 1, 2 HAVING sum((t1 - t0) * sqrt(dx * dx + dy * dy)) > 0.001""")
+def track_length_in_stamps(spark, sf):
+    """Metres of each recording's track inside each stamp."""
+    w = Window.partitionBy("rec_id").orderBy("record_num")
+    lines = pings(spark, sf).select("rec_id", F.col("e").alias("x0"), F.col("n").alias("y0"), F.lead("e").over(w).alias("x1"), F.lead("n").over(w).alias("y1"))
+    got = overlay.clip_segments(lines, _stamps(spark, sf), 40.0).groupBy("stamp", "rec_id").agg(F.sum("length").alias("metres"))
+    return got.where("metres > 0.001").select("stamp", "rec_id", r("metres"))
 
 
 def queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ from soundings.functions import graph
 from soundings.operators import kernels, regions, shapes
 
 
-def a_map(seed, h=97, w=130, classes=3, coarse=1, empty=0.3):
+def a_map(seed, h=50, w=70, classes=3, coarse=1, empty=0.3):
     rng = np.random.default_rng(seed)
     small = rng.integers(1, classes + 1, (h // coarse + 1, w // coarse + 1)) * (rng.random((h // coarse + 1, w // coarse + 1)) >= empty)
     image = np.kron(small, np.ones((coarse, coarse), int))[:h, :w]
@@ -28,9 +28,9 @@ def back(df, m, shape, column="cls", x0=-40, y0=-25):
     return out
 
 
-@pytest.mark.parametrize("tile", [16, 64, 4096])
+@pytest.mark.parametrize("tile", [16, 4096])
 def test_regions_equal_those_of_one_image(spark, tile):
-    images = {"a": a_map(1), "b": a_map(2, 50, 40, 2, 5)}
+    images = {"a": a_map(1), "b": a_map(2, 30, 40, 2, 5)}
     for eight in (False, True):
         got = regions.regions(pixels(spark, images), tile=tile, eight=eight)
         for m, image in images.items():
@@ -45,7 +45,7 @@ def test_regions_equal_those_of_one_image(spark, tile):
                     assert b == ((int(r) - 25) << 32) + int(c) - 40 + (1 << 31)
 
 
-@pytest.mark.parametrize("tile", [16, 64, 4096])
+@pytest.mark.parametrize("tile", [16, 4096])
 def test_sieve_equals_that_of_one_image(spark, tile):
     image = a_map(3, coarse=1, empty=0.1)
     got = regions.sieve(pixels(spark, {"a": image}), 6, tile=tile)
@@ -69,7 +69,7 @@ def filled(image, objects, holes):
         out = new
 
 
-@pytest.mark.parametrize("tile", [16, 64, 4096])
+@pytest.mark.parametrize("tile", [16, 4096])
 def test_filled_map_equals_that_of_one_image(spark, tile):
     image = a_map(4, coarse=3, empty=0.35)
     got = regions.fill_map(pixels(spark, {"a": image}), 12, 60, tile=tile)
@@ -88,12 +88,11 @@ def test_growth_crosses_many_tiles(spark):
     df = pixels(spark, {"a": image}).withColumn("cls", F.when(F.col("cls") < 9, F.col("cls")))
     got = {t: back(regions.grow(df, tile=t), "a", image.shape, "d") for t in (8, 64)}
     assert (got[8] == got[64]).all() and got[8].max() > 300
-    assert (back(regions.grow(df, tile=8), "a", image.shape) == back(regions.grow(df, tile=64), "a", image.shape)).all()
     alone = spark.createDataFrame([("a", 0, 0, None), ("a", 5, 5, 3)], "batch string, gx long, gy long, cls int")
     assert sorted((r["gx"], r["cls"], r["d"]) for r in regions.grow(alone).collect()) == [(0, 0, None), (5, 3, 0)]
 
 
-@pytest.mark.parametrize("tile", [8, 25, 4096])
+@pytest.mark.parametrize("tile", [8, 4096])
 def test_outlines_equal_those_of_one_image(spark, tile):
     image = a_map(5, 60, 70, 2, 2, 0.3)
     image[10:40, 10:50] = 1
