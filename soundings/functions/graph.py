@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _digest(e)
-    while True:
+    while seen[0]:
         for end in ("v", "u"):
             least = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
             near = e.join(least, e[end] == F.col("node"), "left")
@@ -25,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
             after = written(star.distinct(), "edges")
             remove(e)
             e = after
-        now = _digest(e)
-        if now == seen:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        seen = now
+        before, seen = seen, _digest(e)
+        if seen == before:
+            break
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
 def _digest(e: DataFrame) -> tuple:
