@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import KEYS, along, by_kernel, fill_linear, rolling_median
 from . import kernels
+from .tracks import side_key
 
 
 def outliers(
@@ -63,13 +64,39 @@ def sides_agree(pings: DataFrame, most: float = 5.0, depth: str = "dep_m") -> Da
     return df.withColumn("dep_mean", F.when(F.col("port").isNull(), F.col("star")).when(F.col("star").isNull(), F.col("port")).otherwise((F.col("port") + F.col("star")) / 2))
 
 
-def clean(pings: DataFrame, depth: str = "dep_m", sensor: str | None = "inst_dep_m", adjust_pixels: float = 0.0, smoothed: bool = True, keys: tuple[str, ...] = KEYS, jump_floor: float = 4.0) -> DataFrame:
-    """Outliers, runs behind jumps of more than jump_floor and non-positive depths become null and are interpolated, then smoothed and shifted by adjust_pixels * pixM; the lineage stays in columns."""
+def apart(pings: DataFrame, depth: str = "dep_m", sensor: str = "inst_dep_m", most: float = 5.0) -> DataFrame:
+    """Adds depth_apart: of the port and starboard ping at one place that differ by more than `most`, the one farther off.
+
+    Farther from its own sensor depth where both have one, else from its beam's rolling median; port if both are
+    equally far. Sides are those of one recording and frequency, paired by position.
+    """
+    d, w = F.col(depth), along(KEYS)
+    side = F.when(F.col("beam").startswith("ss_port"), "p").when(F.col("beam").startswith("ss_star"), "s")
+    df = pings.withColumns({"_n": F.row_number().over(w), "_key": side_key(F.col("beam")), "_side": side, "_off": F.abs(d - rolling_median(d, w))})
+    known = F.when((d > 0) & ~F.isnan(d), F.struct(d.cast("double").alias("d"), F.when(F.col(sensor) > 0, F.abs(d - F.col(sensor))).alias("err"), F.col("_off").alias("off")))
+    at = Window.partitionBy("rec_id", "_key", "_n")
+    of = lambda s: F.max(F.when(F.col("_side") == s, known)).over(at)
+    df = df.withColumns({"_p": of("p"), "_s": of("s")})
+    by_sensor = F.col("_p.err").isNotNull() & F.col("_s.err").isNotNull()
+    port = F.when(by_sensor, F.col("_p.err") >= F.col("_s.err")).otherwise(F.col("_p.off") >= F.col("_s.off"))
+    far = F.abs(F.col("_p.d") - F.col("_s.d")) > most
+    bad = far & F.when(F.col("_side") == "p", port).when(F.col("_side") == "s", ~port)
+    return df.withColumn("depth_apart", F.coalesce(bad, F.lit(False))).drop("_n", "_key", "_side", "_off", "_p", "_s")
+
+
+def clean(pings: DataFrame, depth: str = "dep_m", sensor: str | None = "inst_dep_m", adjust_pixels: float = 0.0, smoothed: bool = True, keys: tuple[str, ...] = KEYS, jump_floor: float = 4.0, detected: bool = False) -> DataFrame:
+    """Outliers, runs behind jumps of more than jump_floor and non-positive depths become null and are interpolated, then smoothed and shifted by adjust_pixels * pixM; the lineage stays in columns.
+
+    detected: depths found in the samples, not measured; then port and starboard must agree too (apart()).
+    """
     some = pings.select(*keys, "record_num", F.col(depth).cast("double").alias("_d")).where("_d > 0 AND NOT isnan(_d)")
     kept = without_jumps(some, "_d", jump_floor, keys, spikes=False).where("_d IS NULL")
     jumps = kept.select(*keys, "record_num").distinct().withColumn("_jump", F.lit(True))
     df = outliers(pings, depth, sensor, keys).withColumn(f"{depth}_raw", F.col(depth)).join(jumps, [*keys, "record_num"], "left")
     df = df.withColumn("depth_bad", F.col("depth_bad") | F.coalesce("_jump", F.lit(False))).drop("_jump")
+    if detected and sensor:
+        df = apart(df, depth, sensor)
+        df = df.withColumn("depth_bad", F.col("depth_bad") | F.col("depth_apart")).drop("depth_apart")
     df = df.withColumn(depth, F.when(F.col("depth_bad") | (F.col(depth) <= 0), None).otherwise(F.col(depth)))
     df = fill_linear(df.withColumn(f"{depth}_interp", F.col(depth).isNull().cast("tinyint")), depth, keys, "record_num", "_f").drop(depth).withColumnRenamed("_f", depth)
     if smoothed:

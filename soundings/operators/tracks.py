@@ -81,9 +81,9 @@ def offset(pings: DataFrame, along_m: float, across_m: float, bearing: str = "co
     return df.withColumns({"lon": lon, "lat": lat})
 
 
-def range_edges(pings: DataFrame, bearing: str = "cog", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """range_m (modal ping_cnt times modal pixM of the chunk), ping_bearing (+90 on starboard, -90 on port), range_lon, range_lat."""
-    of = pings.groupBy(*keys, "chunk_id").agg((F.mode("ping_cnt", True) * F.mode("pixM", True)).alias("range_m"))
+def range_edges(pings: DataFrame, bearing: str = "cog", keys: tuple[str, ...] = KEYS, sane: DataFrame | None = None) -> DataFrame:
+    """range_m (modal ping_cnt times modal pixM of the chunk's pings, or of those in `sane`), ping_bearing (+90 on starboard, -90 on port), range_lon, range_lat."""
+    of = (pings if sane is None else sane).groupBy(*keys, "chunk_id").agg((F.mode("ping_cnt", True) * F.mode("pixM", True)).alias("range_m"))
     df = pings.join(of, [*keys, "chunk_id"])
     df = df.withColumn("ping_bearing", F.pmod(F.col(bearing) + F.when(F.col("beam").startswith("ss_port"), -90.0).otherwise(90.0), F.lit(360.0)))
     lon, lat = geo.destination(F.col("lon"), F.col("lat"), F.col("ping_bearing"), F.col("range_m"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.windows import as_of, fill_linear, rolling_median, unwrap
+from . import survey
 from ..operators import depth, egn, filters, mosaic, overlay, reach, regions, samples, substrate, tracks, waterfall
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -823,6 +824,19 @@ def track_length_in_stamps(spark, sf):
     return got.where("metres > 0.001").select("stamp", "rec_id", r("metres"))
 
 
+@query(P + """, b AS (SELECT rec_id, CASE beam WHEN 'click' THEN 'ss_port' WHEN 'view' THEN 'ss_star' ELSE beam END AS beam, record_num, speed_ms, row_number() OVER (PARTITION BY rec_id, beam ORDER BY record_num) AS ix FROM p),
+ l AS (SELECT rec_id, beam FROM (SELECT rec_id, beam, count(*) AS k FROM b WHERE starts_with(beam, 'ss_') GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY k DESC, beam) = 1),
+ o AS (SELECT b.*, ix - lag(ix) OVER w AS step FROM b LEFT JOIN l USING (rec_id) WHERE (NOT starts_with(b.beam, 'ss_') OR b.beam = l.beam) AND coalesce(speed_ms >= 0.5, true) WINDOW w AS (PARTITION BY rec_id, b.beam ORDER BY ix)),
+ t AS (SELECT *, CAST(sum(CASE WHEN step <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id, beam ORDER BY ix) AS INTEGER) AS transect FROM o), q AS (SELECT *, (row_number() OVER (PARTITION BY rec_id, beam, transect ORDER BY ix) - 1) // 3 AS piece FROM t),
+ d AS (SELECT rec_id, beam, record_num, ix, transect, CAST(dense_rank() OVER (PARTITION BY rec_id, beam ORDER BY transect, piece) - 1 AS INTEGER) AS chunk_id FROM q)
+SELECT rec_id, beam, record_num, transect, chunk_id FROM d UNION ALL SELECT b.rec_id, b.beam, b.record_num, d.transect, d.chunk_id FROM b JOIN l ON l.rec_id = b.rec_id AND b.beam <> l.beam AND starts_with(b.beam, 'ss_') JOIN d ON d.rec_id = b.rec_id AND d.beam = l.beam AND d.ix = b.ix""")
+def read_stage_rows(spark, sf):
+    """The rows, transects and chunks of the whole read stage: filtered, numbered, and copied from the longer side to the other."""
+    names = F.when(F.col("beam") == "click", "ss_port").when(F.col("beam") == "view", "ss_star").otherwise(F.col("beam"))
+    p = survey.Params(nchunk=3, coordinates=False, min_speed=0.5, keep_short=True)
+    return survey.read_stage(pings(spark, sf).withColumn("beam", names), p).select("rec_id", "beam", "record_num", "transect", "chunk_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
