@@ -24,6 +24,9 @@ def percentiles(df: DataFrame, column: str, shares: tuple[float, ...], keys: tup
     """
     x = F.col(column).cast("double") + 0.0  # one zero
     rows = df.select(*keys, x.alias("_x"))
+    if (rows.groupBy(*keys).agg(F.count("_x").alias("_n")).agg(F.max("_n")).first()[0] or 0) <= direct:
+        return rows.groupBy(*keys).agg(F.percentile("_x", F.array(*map(F.lit, shares))).alias(out))
+
     wild = F.isnan("_x") | (F.abs("_x") == float("inf"))
     count = lambda c: F.count(F.when(c, 1))
     fine = F.when(~wild, F.col("_x"))
@@ -31,10 +34,6 @@ def percentiles(df: DataFrame, column: str, shares: tuple[float, ...], keys: tup
         F.count("_x").alias("_n"), count(F.col("_x") == -float("inf")).alias("_least"), count(~wild).alias("_fine"), count(F.col("_x") == float("inf")).alias("_most"), F.min(fine).alias("_lo"), F.max(fine).alias("_hi"),
     )
     base = written(base, "groups")
-    if (base.agg(F.max("_n")).first()[0] or 0) <= direct:
-        remove(base)
-        return rows.groupBy(*keys).agg(F.percentile("_x", F.array(*map(F.lit, shares))).alias(out))
-
     place = lambda s: (F.col("_n") - 1) * F.lit(float(s))
     ranks = F.array(*(F.struct(F.lit(2 * i + j).alias("_t"), f(place(s)).cast("long").alias("_rank")) for i, s in enumerate(shares) for j, f in enumerate((F.floor, F.ceil))))
     asked = base.where("_n > 0").select(*keys, "_least", "_fine", "_most", "_lo", "_hi", F.inline(ranks))
