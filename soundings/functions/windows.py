@@ -83,7 +83,7 @@ def as_of(rows: DataFrame, events: DataFrame, time: str, event_time: str, state:
     return merged.where("_o = 1").select("_row.*", out)
 
 
-def time_spans(rows: DataFrame, time: str, size: int = 100_000, most: int = 2048) -> list[float]:
+def time_spans(rows: DataFrame, time: str, size: int = 250_000, most: int = 2048) -> list[float]:
     """Times that cut rows into spans of about `size` rows, at most `most` of them, from a sketch of their quantiles; a time held by many rows comes several times."""
     n = rows.agg(F.count(time)).first()[0]
     spans = min(most, n // size + 1)
@@ -111,7 +111,7 @@ def span_of(time: Column, cuts: list[float], first: bool = False) -> Column:
     return find(time.cast("double"))
 
 
-def _as_of_all(rows: DataFrame, events: DataFrame, time: str, event_time: str, state: str, out: str, size: int = 100_000) -> DataFrame:
+def _as_of_all(rows: DataFrame, events: DataFrame, time: str, event_time: str, state: str, out: str, size: int = 250_000) -> DataFrame:
     """as_of() over one sequence of events for all rows: within spans of about `size` rows, with the state that earlier spans leave behind.
 
     The spans follow the rows' times, however these are spread, and rows of one time may be in several spans; the
