@@ -24,6 +24,8 @@ PING = {
 SUBSYSTEMS = {20: "", 21: "_2", 22: "_3"}
 #: What a pair of coordinates counts in.
 MILLIMETRES, ARC_MINUTES, DECIMETRES = 1, 2, 3
+#: Messages in a row that show where one starts.
+CHAIN = 3
 #: Shorts per sample by data format.
 SHORTS = {0: 1, 1: 2, 2: 1, 3: 1, 4: 1, 9: 1}
 
@@ -38,20 +40,63 @@ def _beam(subsystem: int, channel: int) -> str:
     return "ds_lowfreq" if subsystem == 0 else f"unknown_{subsystem}_{channel}"
 
 
-def rows(data: bytes, stop: int | None = None) -> Iterator[tuple]:
-    """Rows of files.SCHEMA: one for each sonar message."""
-    at = data.find(MARKER.to_bytes(2, "little"))
-    if at < 0:
+def sync(data: files.Bytes, at: int, stop: int) -> int:
+    """The first message that starts in [at, stop), -1 if there is none.
+
+    Two bytes of marker also occur in samples, so they must be followed by a chain of messages,
+    each where the one before says, or be a sonar message whose length is that of its samples.
+    """
+    mark = MARKER.to_bytes(2, "little")
+
+    def sonar(at: int) -> bool:
+        head = data.get(at, HEADER + TRACE)
+        if len(head) < HEADER:
+            return False
+        m = _fields(MESSAGE, head, 0)
+        if m["type"] != SONAR or m["channel"] > 1:
+            return False
+        if len(head) < HEADER + TRACE:
+            return True  # cut off by the end of the file
+        p = _fields(PING, head, HEADER)
+        return m["length"] == TRACE + p["samples"] * 2 * SHORTS.get(p["format"], 1)
+
+    def chained(at: int) -> bool:
+        for _ in range(CHAIN):
+            head = data.get(at, HEADER)
+            if len(head) < HEADER or head[:2] != mark:
+                return mark.startswith(head[:2])
+            m = _fields(MESSAGE, head, 0)
+            if not m["length"] or (m["type"] == SONAR and not sonar(at)):
+                return False
+            at += HEADER + m["length"]
+            if at > data.size:
+                return False
+        return True
+
+    while (at := data.find(mark, at, stop)) >= 0:
+        if chained(at) or sonar(at):
+            return at
+        at += 1
+    return -1
+
+
+def rows(data: bytes | files.Bytes, start: int = 0, stop: int | None = None) -> Iterator[tuple]:
+    """Rows of files.SCHEMA: one for each sonar message that starts in [start, stop)."""
+    data = files.Bytes.of(data)
+    stop = data.size if stop is None else stop
+    at = sync(data, start, stop)
+    if at < 0 and not start and (stop == data.size or sync(data, stop, data.size) < 0):
         raise ValueError("no JSF message")
-    while 0 <= at and at + HEADER <= len(data) and (stop is None or at < stop):
-        if struct.unpack_from("<H", data, at)[0] != MARKER:
-            at = data.find(MARKER.to_bytes(2, "little"), at + 1)
+    while 0 <= at < stop and at + HEADER <= data.size:
+        head = data.get(at, HEADER + TRACE)
+        if struct.unpack_from("<H", head, 0)[0] != MARKER:
+            at = sync(data, at + 1, stop)
             continue
-        m = _fields(MESSAGE, data, at)
+        m = _fields(MESSAGE, head, 0)
         if m["type"] == SONAR:
-            if at + HEADER + TRACE > len(data):
+            if len(head) < HEADER + TRACE:
                 raise ValueError(f"the message at byte {at} is cut off")
-            p = _fields(PING, data, at + HEADER)
+            p = _fields(PING, head, HEADER)
             lon = lat = e = n = None
             if p["units"] == ARC_MINUTES:
                 lon, lat = p["x"] / 600000, p["y"] / 600000
@@ -80,6 +125,10 @@ def encode(messages: list[tuple[dict, dict, bytes]]) -> bytes:
     return bytes(out)
 
 
-def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Pings of JSF files: files.SCHEMA, error and path; samples are little-endian (son.samples with big=False), their scale is weighting_factor."""
-    return files.scan(spark, path, rows)
+def read(spark: SparkSession, path: str | list[str], split: int = files.SPLIT, wanted: files.Wanted = files.Wanted()) -> DataFrame:
+    """Pings of JSF files by byte ranges: wanted.kind(), error and path; samples are little-endian (for son.samples: big=False), their scale is weighting_factor."""
+    return files.read(spark, path, "jsf", split, wanted)
+
+
+class JsfSource(files.RangeSource):
+    form = "jsf"

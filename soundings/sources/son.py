@@ -1,4 +1,4 @@
-"""Reader for SON ping files: a Python data source of headers, and a decoder of samples by byte ranges.
+"""Reader for SON ping files: headers by byte ranges, and their samples.
 
 A ping starts with 4 fixed bytes and tagged big-endian fields, ends its header with one
 fixed byte, and holds as many sample bytes as its last field says. Three layouts differ in
@@ -10,13 +10,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSourceReader
 
 from . import files
+from .files import decode  # noqa: F401
 
 #: Byte layout. field -> (offset, struct code); the header length names the layout.
 START, END = bytes.fromhex("c0deab21"), 0x21
@@ -52,27 +49,32 @@ def layout_of(data: bytes, at: int = 0) -> int:
     return n
 
 
-def headers(data: bytes, stop: int | None = None, base: int = 0) -> Iterator[tuple]:
-    """Rows of SCHEMA for each ping that starts before `stop`; bytes between pings are skipped to the next start.
+def headers(data: bytes | files.Bytes, start: int = 0, stop: int | None = None) -> Iterator[tuple]:
+    """Rows of SCHEMA for each ping that starts in [start, stop); bytes between pings are skipped to the next start.
 
-    base: where data starts in its file. From the middle of a file, reading begins at the
-    first place that has all the fixed bytes of a header; the start of a file must have one.
+    From the middle of a file, reading begins at the first place that has all the fixed bytes
+    of the file's layout; the start of a file must have a header.
     """
-    at, n = data.find(START), 0
-    while at >= 0 and at + 67 <= len(data) and (stop is None or at < stop):
-        fit = _layout(data, at, (n,) if n else tuple(LAYOUTS))
+    data = files.Bytes.of(data)
+    stop = data.size if stop is None else stop
+    top = data.peek(0, 4096) if start else b""
+    n = _layout(top, max(top.find(START), 0))
+    at = data.find(START, start, stop)
+    while at >= 0 and at + min(LAYOUTS) <= data.size:
+        head = data.get(at, max(LAYOUTS))
+        fit = _layout(head, 0, (n,) if n else tuple(LAYOUTS))
         if not fit:
-            if not n and not base:
+            if not n and not start:
                 raise ValueError(f"no known header at byte {at}")
-            at = data.find(START, at + 1)
+            at = data.find(START, at + 1, stop)
             continue
         n = fit
-        v = {k: struct.unpack_from(code, data, at + o)[0] for k, (o, code) in LAYOUTS[n].items()}
+        v = {k: struct.unpack_from(code, head, o)[0] for k, (o, code) in LAYOUTS[n].items()}
         yield (
             v["record_num"], v["time_ms"] / 1000, float(v["utm_e"]), float(v["utm_n"]), v["heading_dd"] / 10, v["speed_cm"] / 100, v["depth_cm"] / 100,
-            BEAMS.get(v["beam_no"], f"unknown_{v['beam_no']}"), v["volt"] / 10, float(v["f"]), v["ping_cnt"], base + at, n,
+            BEAMS.get(v["beam_no"], f"unknown_{v['beam_no']}"), v["volt"] / 10, float(v["f"]), v["ping_cnt"], at, n,
         )
-        at = data.find(START, at + n + v["ping_cnt"])
+        at = data.find(START, at + n + v["ping_cnt"], stop)
 
 
 def encode_ping(layout: int, samples: bytes, **fields: int) -> bytes:
@@ -86,53 +88,18 @@ def encode_ping(layout: int, samples: bytes, **fields: int) -> bytes:
     return bytes(out) + samples
 
 
-def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Ping headers of SON files of any store: SCHEMA, error and path. A file is one task (SonSource splits files); one that cannot be read gives a row with its error."""
-    return files.scan(spark, path, headers, SCHEMA)
+def read(spark: SparkSession, path: str | list[str], split: int = files.SPLIT) -> DataFrame:
+    """Ping headers of SON files of any store, by byte ranges: SCHEMA, error and path. A file that cannot be read gives a row with its error."""
+    return files.read(spark, path, "son", split, files.Wanted(SCHEMA))
 
 
 class SonSource(files.RangeSource):
-    """spark.dataSource.register(SonSource); spark.read.format("son").load("a.SON,b.SON") for files that every worker can open, in ranges of option split bytes."""
+    """spark.dataSource.register(SonSource); spark.read.format("son").load("a.SON,b.SON"), in ranges of option split bytes."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "son"
+    form = "son"
+    columns = SCHEMA
 
-    def schema(self) -> str:
-        return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        return files.RangeReader(self.paths(), lambda data, base, stop: headers(data, stop, base), self.split(), max(LAYOUTS))
-
-
-def decode(raw: bytes, width: int = 1, flip: bool = False, crop: int = 0, exponent: int | None = None, big: bool = True) -> np.ndarray:
-    """Samples of one ping: unsigned bytes or words of `width` bytes (big-endian or not), scaled by 2 ** -exponent, flipped, cropped."""
-    v = np.frombuffer(raw[: len(raw) // width * width], f"{'>' if big else '<'}u{width}").astype(np.float64)
-    v = v * 2.0**-exponent if exponent is not None else v
-    v = v[::-1] if flip else v
-    return v[:crop] if crop else v
-
-
-def samples(spark: SparkSession, path: str | list[str], pings: DataFrame, width: int = 1, big: bool = True) -> DataFrame:
-    """pings with samples ARRAY<DOUBLE>: bytes [index + son_offset, + ping_cnt * width) of their file, joined by path.
-
-    A column bytes_per_sample gives each ping's width, a column weighting_factor its scale 2 ** -w.
-
-    Pings without an index, or that reach past the end of the file, get no samples. Pings of
-    a file are cogrouped with its bytes, so a file is read once.
-    """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"), "content")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pings.schema) + ", samples array<double>"
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        data = right["content"].iloc[0] if len(right) else b""
-        widths = left["bytes_per_sample"] if "bytes_per_sample" in left else [width] * len(left)
-        weights = left["weighting_factor"] if "weighting_factor" in left else [None] * len(left)
-        out = []
-        for i, o, n, w, x in zip(left["index"], left["son_offset"], left["ping_cnt"], widths, weights):
-            a = None if pd.isna(i) or pd.isna(n) else int(i) + int(o)
-            w, x = width if pd.isna(w) else int(w), None if pd.isna(x) else int(x)
-            out.append(None if a is None or a + int(n) * w > len(data) else decode(data[a : a + int(n) * w], w, exponent=x, big=big))
-        return left.assign(samples=out)
-
-    return pings.groupBy("path").cogroup(files.groupBy("_path")).applyInPandas(run, kind)
+def samples(spark: SparkSession, path: str | list[str], pings: DataFrame, width: int = 1, big: bool = True, split: int = files.SPLIT) -> DataFrame:
+    """files.samples for pings of the files below path: samples ARRAY<DOUBLE> of bytes [index + son_offset, + ping_cnt * width)."""
+    return files.samples(files.listing(spark, path), pings, width, big, split)

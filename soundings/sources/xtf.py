@@ -27,6 +27,8 @@ PING = {
 PART_OF = {"channel": (0, "<H"), "slant": (4, "<f"), "frequency": (26, "<H"), "samples": (42, "<I"), "weight": (58, "<h")}
 SIDES = {0: "ds_lowfreq", 1: "ss_port", 2: "ss_star"}
 LON_LAT = 3
+#: Packets in a row that show where one starts.
+CHAIN = 3
 KNOT = 0.514444
 
 
@@ -45,33 +47,73 @@ def beams(channels: list[dict]) -> list[str]:
     return out
 
 
-def rows(data: bytes, stop: int | None = None) -> Iterator[tuple]:
-    """Rows of files.SCHEMA: one for each channel of each sonar packet."""
-    if len(data) < FILE_HEADER or data[0] != FORMAT:
+def sync(data: files.Bytes, at: int, stop: int, n: int) -> int:
+    """The first packet that starts in [at, stop), -1 if there is none.
+
+    Two bytes of magic also occur in samples, so they must be followed by a chain of packets,
+    each where the one before says, or by the date and channel fields of a sonar packet.
+    """
+    mark = MAGIC.to_bytes(2, "little")
+
+    def chained(at: int) -> bool:
+        for _ in range(CHAIN):
+            head = data.get(at, 14)
+            if len(head) < 14 or head[:2] != mark:
+                return mark.startswith(head[:2])
+            length = struct.unpack_from("<I", head, 10)[0]
+            at += length
+            if length < PACKET or at > data.size:
+                return False
+        return True
+
+    def dated(at: int) -> bool:
+        head = data.get(at, PACKET + PART)
+        if len(head) < PACKET + PART or head[2] != 0:
+            return False
+        p, part = _fields(PING, head, 0), _fields(PART_OF, head, PACKET)
+        clock = 1 <= p["month"] <= 12 and 1 <= p["day"] <= 31 and p["hour"] < 24 and p["minute"] < 60 and p["second"] < 61 and p["hundredths"] < 100
+        return clock and 0 < p["channels"] <= n and part["channel"] < n and PACKET + PART <= p["length"] < 1 << 26
+
+    while (at := data.find(mark, at, stop)) >= 0:
+        if chained(at) or dated(at):
+            return at
+        at += 1
+    return -1
+
+
+def rows(data: bytes | files.Bytes, start: int = 0, stop: int | None = None) -> Iterator[tuple]:
+    """Rows of files.SCHEMA: one for each channel of each sonar packet that starts in [start, stop)."""
+    data = files.Bytes.of(data)
+    stop = data.size if stop is None else stop
+    top = data.peek(0, FILE_HEADER)
+    if len(top) < FILE_HEADER or top[0] != FORMAT:
+        if start:
+            return  # the first range tells
         raise ValueError("no XTF file header")
-    head = _fields(FILE, data, 0)
+    head = _fields(FILE, top, 0)
     n = head["sonar_channels"] + head["bathy_channels"]
     if n > 6:
+        if start:
+            return
         raise ValueError(f"{n} channels do not fit the file header")
-    channels = [_fields(INFO, data, CHANNELS_AT + CHANNEL * i) for i in range(n)]
+    channels = [_fields(INFO, top, CHANNELS_AT + CHANNEL * i) for i in range(n)]
     named = beams(channels)
-    at = FILE_HEADER
-    while at + PACKET <= len(data) and (stop is None or at < stop):
-        if struct.unpack_from("<H", data, at)[0] != MAGIC:
-            at = data.find(MAGIC.to_bytes(2, "little"), at + 1)
-            if at < 0:
-                return
+    at = FILE_HEADER if start <= FILE_HEADER else sync(data, start, stop, n)
+    while 0 <= at < stop and at + PACKET <= data.size:
+        packet = data.get(at, PACKET)
+        if struct.unpack_from("<H", packet, 0)[0] != MAGIC:
+            at = sync(data, at + 1, stop, n)
             continue
-        p = _fields(PING, data, at)
+        p = _fields(PING, packet, 0)
         if p["kind"] == 0:
             time = calendar.timegm((p["year"], p["month"], p["day"], p["hour"], p["minute"], p["second"])) + p["hundredths"] / 100
             x, y = (p["sensor_x"], p["sensor_y"]) if p["sensor_x"] or p["sensor_y"] else (p["ship_x"], p["ship_y"])
             lon, lat, e, north = (x, y, None, None) if head["nav_units"] == LON_LAT else (None, None, x, y)
             part = at + PACKET
             for _ in range(p["channels"]):
-                if part + PART > len(data):
+                if part + PART > data.size:
                     raise ValueError(f"the packet at byte {at} is cut off")
-                c = _fields(PART_OF, data, part)
+                c = _fields(PART_OF, data.get(part, PART), 0)
                 if c["channel"] >= n:
                     raise ValueError(f"the packet at byte {at} names channel {c['channel']} of {n}")
                 width, count = channels[c["channel"]]["bytes"], c["samples"]
@@ -104,6 +146,10 @@ def encode(channels: list[dict], pings: list[dict], nav_units: int = LON_LAT) ->
     return bytes(out)
 
 
-def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Pings of XTF files: files.SCHEMA, error and path; samples are little-endian (son.samples with big=False)."""
-    return files.scan(spark, path, rows)
+def read(spark: SparkSession, path: str | list[str], split: int = files.SPLIT, wanted: files.Wanted = files.Wanted()) -> DataFrame:
+    """Pings of XTF files by byte ranges: wanted.kind(), error and path; samples are little-endian (for son.samples: big=False)."""
+    return files.read(spark, path, "xtf", split, wanted)
+
+
+class XtfSource(files.RangeSource):
+    form = "xtf"

@@ -85,3 +85,88 @@ def test_batch_tells_damaged_recordings(spark):
     fault = good.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in good.schema)).withColumns({"rec_id": F.lit("b"), "error": F.lit("cut off")})
     got = {r["rec_id"]: (r["status"], r["n_pings"], r["error"]) for r in survey.batch(spark.createDataFrame([("a",), ("b",), ("c",)], "rec_id string"), good.unionByName(fault), survey.Params(nchunk=50)).collect()}
     assert got == {"a": ("done", 120, None), "b": ("damaged", 0, "cut off"), "c": ("no pings", 0, None)}
+
+
+FAKES = (b"\xce\xfa\x00" + bytes(31), b"\x01\x16" * 12, b"\xce\xfa" * 9 + b"\x01\x16\x00\x00\x50\x00" + bytes(20), son.START * 4)
+
+
+def noisy(kind, seed, n=60):
+    """A recording whose samples hold starts of records."""
+    rng = random.Random(seed)
+    raw = lambda: (rng.choice(FAKES) + rng.randbytes(2 * rng.randint(0, 150)))[: 2 * rng.randint(1, 160)]
+    if kind == "xtf":
+        pings = []
+        for i in range(n):
+            cut = [(r := raw(), {**PART, "channel": c, "samples": len(r) // 2}) for c in range(2)]
+            pings.append({"year": 2024, "month": 2, "day": 29, "hour": 1, "minute": i % 60, "ping": i, "sensor_x": -81.5, "sensor_y": 29.25, "parts": [(f, r) for r, f in cut]})
+        return xtf.encode([{"kind": 1, "bytes": 2}, {"kind": 2, "bytes": 2}], pings)
+    return jsf.encode([({"subsystem": 20, "channel": i % 2}, {"time": 1_700_000_000 + i, "ping": i, "units": jsf.ARC_MINUTES, "weight": 3}, raw()) for i in range(n)])
+
+
+def until_fault(rows):
+    try:
+        yield from rows
+    except ValueError:
+        return
+
+
+@pytest.mark.parametrize("kind", ["xtf", "jsf"])
+@pytest.mark.parametrize("split", [61, 257, 1500, 9000])
+def test_ranges_equal_the_whole_file(kind, split):
+    rows = {"xtf": xtf.rows, "jsf": jsf.rows}[kind]
+    for seed in range(8):
+        data = noisy(kind, seed)
+        assert [r for a in range(0, len(data), split) for r in rows(data, a, min(a + split, len(data)))] == list(rows(data))
+        junk = data[:5000] + bytes(range(256)) + data[5000 + 40 * seed :]  # damage in the middle, where reading finds the next record
+        assert len([r for a in range(0, len(junk), split) for r in until_fault(rows(junk, a, min(a + split, len(junk))))]) > 30
+
+
+@pytest.mark.parametrize("block", [70, 300])
+def test_small_blocks_read_the_same(tmp_path, block):
+    for kind, rows in (("xtf", xtf.rows), ("jsf", jsf.rows)):
+        path = tmp_path / f"a.{kind}"
+        path.write_bytes(noisy(kind, 3))
+        got = files.opened(f"file://{path}")
+        got.block = block
+        assert list(rows(got)) == list(rows(path.read_bytes()))
+    data = files.Bytes.of(b"abcabd" * 50)
+    data.block = 4
+    assert data.find(b"bd", 0) == 4 and data.find(b"bd", 5) == 10 and data.find(b"bd", 5, 10) == -1 and data.find(b"x", 0) == -1 and data.get(298, 9) == b"bd" and data.get(400, 2) == b""
+
+
+def test_open_all_by_ranges_with_samples_and_filters(spark, tmp_path):
+    (tmp_path / "one.xtf").write_bytes(noisy("xtf", 1))
+    (tmp_path / "two.jsf").write_bytes(noisy("jsf", 2))
+    (tmp_path / "three and%20 more.xtf").write_bytes(noisy("xtf", 4))
+    key = ["rec_id", "beam", "record_num", "samples"]
+    whole = files.open_all(spark, str(tmp_path), wanted=files.Wanted(samples=True))
+    parts = files.open_all(spark, str(tmp_path), split=700, wanted=files.Wanted(samples=True))
+    assert parts.rdd.getNumPartitions() > 30 and whole.where("error IS NOT NULL").count() == 0
+    want = sorted(map(tuple, whole.select(key).collect()))
+    assert sorted(map(tuple, parts.select(key).collect())) == want and len(want) == 120 + 60 + 120
+    later = son.samples(spark, str(tmp_path), whole.drop("samples").where("path LIKE '%xtf'"), big=False, split=500)
+    assert sorted(map(tuple, later.select(key).collect())) == [w for w in want if w[0] != "two"]
+    some = files.open_all(spark, str(tmp_path), split=700, wanted=files.Wanted(beams=frozenset(["ss_port"]), least=10, most=19))
+    assert some.groupBy("rec_id").count().collect() and {tuple(r) for r in some.groupBy("rec_id").count().collect()} == {("one", 10), ("two", 5), ("three and%20 more", 10)}
+    table = spark.createDataFrame([(str(tmp_path / "one.xtf"), "xtf"), (str(tmp_path / "gone.xtf"), "xtf"), (str(tmp_path / "x.rsd"), "rsd")], "path string, format string")
+    got = files.open_all(spark, table, split=700)
+    assert got.where("record_num IS NOT NULL").count() == 120
+    assert {(r["rec_id"], r["error"].split(":")[0]) for r in got.where("error IS NOT NULL").collect()} == {("gone", "FileNotFoundError"), ("x", "no reader for rsd format")}
+
+
+def test_data_sources_take_filters(spark, tmp_path):
+    for kind, source in (("xtf", xtf.XtfSource), ("jsf", jsf.JsfSource)):
+        path = tmp_path / f"a.{kind}"
+        path.write_bytes(noisy(kind, 5))
+        spark.dataSource.register(source)
+        load = lambda **more: spark.read.format(kind).options(split=900, samples="true", **more).load(str(path))  # noqa: E731, B023
+        want = sorted(map(tuple, load().selectExpr("beam", "record_num", "samples").where("record_num >= 7 AND record_num < 30 AND beam = 'ss_star'").collect()))
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        try:
+            got = load(filters="true").where("record_num >= 7 AND record_num < 30 AND beam = 'ss_star'").select("beam", "record_num", "samples")
+            assert sorted(map(tuple, got.collect())) == want and len(want) > 10
+        finally:
+            spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = files.FilteringReader("xtf", [str(tmp_path / "a.xtf")], 900, files.Wanted())
+    left = list(reader.pushFilters([files.EqualTo(("beam",), "ss_star"), files.GreaterThan(("record_num",), 5), files.LessThanOrEqual(("record_num",), 9), files.GreaterThan(("time_s",), 0.0)]))
+    assert [f.attribute for f in left] == [("time_s",)] and {r for p in reader.partitions() for b in reader.read(p) for r in b.column("record_num").to_pylist()} == {6, 7, 8, 9}
