@@ -397,3 +397,23 @@ def fill_between(image: np.ndarray, reach: int = 50) -> np.ndarray:
             wa, wb, wd = mesh.side(b, d, j, i), mesh.side(d, a, j, i), mesh.side(a, b, j, i)
             out[i, j] = (wa * v[a] + wb * v[b] + wd * v[d]) / (wa + wb + wd)
     return out
+
+
+def cycle_ends(codes: np.ndarray) -> np.ndarray:
+    """For a cycle that starts at each place, the place where a code comes again that it has: the least next place of a code from there on; n if there is none."""
+    n = len(codes)
+    order = np.argsort(codes, kind="stable")
+    again = np.full(n, n)
+    same = codes[order[1:]] == codes[order[:-1]]
+    again[order[:-1][same]] = order[1:][same]
+    return np.minimum.accumulate(again[::-1])[::-1]
+
+
+def cycles_from(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the number of cycles if one starts there, and where the last of them starts; by doubling steps."""
+    n = len(ends)
+    hop, count, last = np.append(ends, n), np.append(np.ones(n, np.int64), 0), np.arange(n + 1)
+    while (hop[:n] < n).any():
+        last = np.where(hop == n, last, last[hop])
+        count, hop = count + count[hop], hop[hop]
+    return count[:n], last[:n]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.windows import KEYS, along, by_kernel, fill_linear, run_id, unwrap
+from ..functions.windows import KEYS, along, by_kernel, fill_linear, run_id, span_of, time_spans, unwrap
 from . import kernels
 
 
@@ -30,29 +30,64 @@ def chunks(pings: DataFrame, nchunk: int, keys: tuple[str, ...] = KEYS, order: s
     return df.withColumn("chunk_id", F.least(F.expr(f"_i div {nchunk}"), last).cast("int")).drop("_i", "_n")
 
 
-def missing_pings(pings: DataFrame, beams: list[str], reference_mode: bool = False) -> DataFrame:
+def missing_pings(pings: DataFrame, beams: list[str], reference_mode: bool = False, size: int = 250_000) -> DataFrame:
     """Rows in record order form cycles; a cycle ends when a beam comes again. A beam absent from a cycle gets a row without data.
 
-    reference_mode leaves out the last cycle of each recording. Cycles are found in order
-    within a recording (rec_id): one task holds its rec_id, beam and record_num, some 30 bytes
-    a ping, so a recording of 100 million pings fits; recordings run in parallel.
+    reference_mode leaves out the last cycle of each recording. A recording is cut into blocks
+    of about `size` rows by record number. A block tells, for each place where its first new
+    cycle may start, how many cycles follow and which beams the last of them has; these short
+    rows are put together recording by recording, and each block numbers its cycles from what
+    the blocks before it leave. Rows of one record number are in one block.
     """
-
-    def number(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["record_num", "beam"], kind="stable")
-        seen: set[str] = set()
-        cycle, out = 0, []
-        for b in part["beam"]:
-            if b in seen:
-                cycle, seen = cycle + 1, set()
-            seen.add(b)
-            out.append(cycle)
-        return pd.DataFrame({"rec_id": part["rec_id"], "beam": part["beam"], "record_num": part["record_num"], "cycle": out})
-
     ids = pings.select("rec_id", "beam", "record_num")
     s = ids.schema
     kind = ", ".join(f"{c} {s[c].dataType.simpleString()}" for c in ids.columns)
-    cyc = ids.groupBy("rec_id").applyInPandas(number, f"{kind}, cycle long")
+    rec, beam = (s[c].dataType.simpleString() for c in ("rec_id", "beam"))
+    cuts = time_spans(ids, "record_num", size)
+
+    def ordered(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        part = part.sort_values(["record_num", "beam"], kind="stable")
+        return part, kernels.cycle_ends(pd.factorize(part["beam"], use_na_sentinel=False)[0])
+
+    def number(part: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
+        part, ends = ordered(part)
+        seen, base = (set(), 0) if before is None else (set(before["seen"].iloc[0]), int(before["base"].iloc[0]))
+        at = next((i for i, b in enumerate(part["beam"].iloc[: ends[0]]) if b in seen), int(ends[0]))
+        starts = np.zeros(len(part), np.int64)
+        while at < len(part):
+            starts[at] = 1
+            at = int(ends[at])
+        return part[["rec_id", "beam", "record_num"]].assign(cycle=base + np.cumsum(starts))
+
+    def told(part: pd.DataFrame) -> pd.DataFrame:
+        part, ends = ordered(part)
+        n, first, names = len(part), int(ends[0]), part["beam"].tolist()
+        cycles, last = kernels.cycles_from(ends)
+        at = range(min(first + 1, n))  # where the first new cycle may start
+        return pd.DataFrame({
+            "rec_id": part["rec_id"].iloc[:1], "block": part["block"].iloc[:1], "head": [names[:first]],
+            "cycles": [[int(cycles[i]) for i in at]], "tails": [[names[last[i] :] for i in at]],
+        })
+
+    def together(blocks: pd.DataFrame) -> pd.DataFrame:
+        seen, base, out = set(), 0, []
+        for r in blocks.sort_values("block").itertuples():
+            out.append((r.rec_id, r.block, list(seen), base))
+            head = list(r.head)
+            at = next((i for i, b in enumerate(head) if b in seen), len(head))
+            if at < len(r.cycles):
+                base, seen = base + int(r.cycles[at]), set(r.tails[at])
+            else:
+                seen |= set(head)  # no beam comes again in this block
+        return pd.DataFrame(out, columns=["rec_id", "block", "seen", "base"])
+
+    if not cuts:
+        cyc = ids.groupBy("rec_id").applyInPandas(lambda part: number(part), f"{kind}, cycle long")
+    else:
+        ids = ids.withColumn("block", span_of(F.col("record_num"), cuts, first=True))
+        blocks = ids.groupBy("rec_id", "block").applyInPandas(told, f"rec_id {rec}, block int, head array<{beam}>, cycles array<long>, tails array<array<{beam}>>")
+        left = blocks.groupBy("rec_id").applyInPandas(together, f"rec_id {rec}, block int, seen array<{beam}>, base long")
+        cyc = ids.groupBy("rec_id", "block").cogroup(left.groupBy("rec_id", "block")).applyInPandas(number, f"{kind}, cycle long")
     if reference_mode:
         cyc = cyc.withColumn("_m", F.max("cycle").over(Window.partitionBy("rec_id"))).where("cycle < _m").drop("_m")
     full = cyc.groupBy("rec_id", "cycle").agg(F.min("record_num").alias("_first")).withColumn("beam", F.explode(F.array(*map(F.lit, beams))))

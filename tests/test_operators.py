@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -82,6 +83,29 @@ def test_missing_pings(spark):
     assert tracks.missing_pings(df, ["p", "s"], reference_mode=True).count() == 4
 
 
+@pytest.mark.parametrize("size", [7, 40])
+def test_missing_pings_in_blocks(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(rec, str(b), i // 2, float(i)) for rec, share in (("r", 0.3), ("s", 0.9), ("t", 0.0)) for i in range(150) for b in [rng.choice(list("pqxy")) if rng.random() < share else "pqxy"[i % 4]]]
+    rows += [("u", chr(97 + i), i, 0.0) for i in range(26)] + [("v", "p", i, 0.0) for i in range(60)]  # no cycle ends; every row ends one
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "rec_id string, beam string, record_num long, v double")
+    want = {}
+    for rec in "rstuv":
+        seen, cycle = set(), 0
+        for _, b, i, _ in sorted((r for r in rows if r[0] == rec), key=lambda r: (r[2], r[1])):
+            if b in seen:
+                seen, cycle = set(), cycle + 1
+            seen.add(b)
+            want[rec, b, i] = cycle
+    got = tracks.missing_pings(df, [*"abcdefghijklmnopqrstuvwxyz"], size=size).where("v IS NOT NULL")
+    assert {(r["rec_id"], r["beam"], r["record_num"]): r["cycle"] for r in got.collect()} == want
+    whole = tracks.missing_pings(df, ["p", "q"], reference_mode=True)
+    parts = tracks.missing_pings(df, ["p", "q"], reference_mode=True, size=size)
+    key = lambda d: sorted((r["rec_id"], r["cycle"], r["beam"], r["record_num"], str(r["v"])) for r in d.collect())
+    assert key(parts) == key(whole)
+
+
 def test_depth_cleaning(spark):
     d = 10 + np.sin(np.arange(120) / 40)
     bad = d.copy()
