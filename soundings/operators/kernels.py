@@ -417,3 +417,32 @@ def cycles_from(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         last = np.where(hop == n, last, last[hop])
         count, hop = count + count[hop], hop[hop]
     return count[:n], last[:n]
+
+
+def simplify_ring(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """A closed ring's corners (n, 2) without those that stand within tolerance of what is left.
+
+    The first corner and the one farthest from it stay; between two that stay, the corner
+    farthest from their line does (the first of equal ones), if it is farther than tolerance. A
+    ring that would have fewer than three corners is given back as it was.
+    """
+    n = len(p)
+    if n < 4:
+        return p
+    far = int(np.argmax(((p - p[0]) ** 2).sum(1)))
+    whole = np.vstack([p, p[:1]])
+    keep = np.zeros(n + 1, bool)
+    keep[[0, far, n]] = True
+    open_ = [(0, far), (far, n)]
+    while open_:
+        a, b = open_.pop()
+        if b - a < 2:
+            continue
+        line, rest = whole[b] - whole[a], whole[a + 1 : b] - whole[a]
+        along = np.clip(rest @ line / max(float(line @ line), 1e-300), 0, 1)
+        off = ((rest - along[:, None] * line) ** 2).sum(1)
+        k = int(np.argmax(off))
+        if off[k] > tolerance * tolerance:
+            keep[a + 1 + k] = True
+            open_ += [(a, a + 1 + k), (a + 1 + k, b)]
+    return p[keep[:n]] if keep[:n].sum() > 2 else p

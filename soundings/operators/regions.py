@@ -8,6 +8,8 @@ map is cut. A region's number is the place of its first pixel in scan order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -363,3 +365,32 @@ def outlines(pixels: DataFrame, size: float, keys: tuple[str, ...] = ("batch",),
     rings = pieces.groupBy(*keys, "region").applyInArrow(_stitch((*keys, "region"), size), _kind(known, keys, f"region long, rings {RINGS}"))
     about = known.groupBy(*keys, "region").agg(F.first("cls").alias("cls"), (F.count("*") * F.lit(size * size)).alias("area_m"))
     return about.join(rings, [*keys, "region"]).select(*keys, "cls", "region", "rings", "area_m")
+
+
+def simplified(polygons: DataFrame, tolerance: float) -> DataFrame:
+    """polygons with rings whose corners within tolerance of the simpler ring are left out; holes that are ever so small stay. Null rings stay null.
+
+    A ring is simplified on its own, so sides that two polygons share may part by up to twice the tolerance.
+    """
+    at = polygons.columns.index("rings")
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+    def simpler(rings: list | None) -> list | None:
+        return rings and [[{"x": float(a), "y": float(b)} for a, b in kernels.simplify_ring(np.array([(c["x"], c["y"]) for c in g], float).reshape(-1, 2), tolerance)] for g in rings]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = pa.array([simpler(v) for v in batch.column(at).to_pylist()], pa.list_(pa.list_(point)))
+            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return polygons.mapInArrow(run, polygons.schema)
+
+
+def banklines(pixels: DataFrame, size: float, keys: tuple[str, ...] = (), tolerance: float = 0.1, tile: int = TILE) -> DataFrame:
+    """(keys, region, rings, area_m): the covered water as polygons, from all pixels (keys, gx, gy) with data of all tiles and recordings.
+
+    Pixels are united first, so neighbouring rasters dissolve; then outlines, simplified to
+    tolerance. area_m is that of the pixels.
+    """
+    covered = pixels.select(*keys, "gx", "gy").distinct().withColumn("cls", F.lit(1))
+    return simplified(outlines(covered, size, keys, tile).drop("cls"), tolerance)

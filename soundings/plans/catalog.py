@@ -780,6 +780,21 @@ def region_rings(spark, sf):
     return got.select("region", "cls", F.size("rings").alias("n_rings"), corners.alias("n_corners"), total(F.flatten(F.transform("rings", step)), 0.0).alias("perimeter"), "area_m")
 
 
+@query(X + """, c AS (SELECT DISTINCT gx, gy FROM x), m AS (SELECT count(*) AS k, sum(bit) AS bits FROM c CROSS JOIN (VALUES (0, 0, 1), (1, 0, 2), (0, 1, 4), (1, 1, 8)) d(dx, dy, bit) GROUP BY gx + dx, gy + dy),
+ s AS (SELECT count(*) AS n FROM c CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.gx = c.gx + dx AND b.gy = c.gy + dy))
+SELECT CAST((SELECT sum(CASE WHEN k IN (1, 3) THEN 1 WHEN bits IN (6, 9) THEN 2 ELSE 0 END) FROM m) AS BIGINT) AS n_corners, 0.5e0 * (SELECT n FROM s) AS perimeter, 0.25e0 * (SELECT count(*) FROM c) AS ring_area, 0.25e0 * (SELECT count(*) FROM c) AS area_m""")
+def bankline_totals(spark, sf):
+    """Bank lines of all returns at pixels of half a metre, simplified to 0.1 m, which keeps every corner of such pixels; the rings' areas, holes less, are those of the pixels."""
+    at = lambda ring, i: F.get(ring, i % F.size(ring))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    side = lambda ring: total(F.transform(ring, lambda p, i: F.abs(p["x"] - at(ring, i + 1)["x"]) + F.abs(p["y"] - at(ring, i + 1)["y"])))
+    area = lambda ring: F.abs(total(F.transform(ring, lambda p, i: p["x"] * at(ring, i + 1)["y"] - at(ring, i + 1)["x"] * p["y"]))) / 2
+    pixels = table(spark, sf, "lineitem").select((F.col("l_partkey") % 100).alias("gx"), (F.col("l_suppkey") % 100).alias("gy"))
+    got = regions.banklines(pixels, 0.5, tile=16).select(F.posexplode("rings").alias("i", "ring"), F.when(F.col("i") == 0, F.col("area_m")).alias("area_m"))
+    signed = F.when(F.col("i") == 0, area(F.col("ring"))).otherwise(-area(F.col("ring")))
+    return got.agg(F.sum(F.size("ring")).alias("n_corners"), F.sum(side(F.col("ring"))).alias("perimeter"), F.sum(signed).alias("ring_area"), F.sum("area_m").alias("area_m"))
+
+
 @query("""WITH c AS (SELECT l_orderkey % 3 AS rec_id, l_orderkey % 2 AS beam, l_orderkey // 5000 AS chunk_id, l_orderkey AS record_num, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS INTEGER) AS row, CAST(l_quantity AS DOUBLE) AS v FROM lineitem),
  w AS (SELECT * FROM c WHERE row >= record_num % 2), z AS (SELECT rec_id, beam, max(chunk_id) AS z FROM w GROUP BY 1, 2),
  m AS (SELECT rec_id, beam, chunk_id, row, avg(nullif(v, 0)) AS cm FROM w JOIN z USING (rec_id, beam) WHERE chunk_id < z GROUP BY 1, 2, 3, 4), g AS (SELECT rec_id, beam, row, avg(cm) AS row_mean FROM m GROUP BY 1, 2, 3), l AS (SELECT rec_id, beam, max(row) AS last FROM g GROUP BY 1, 2),

@@ -118,3 +118,43 @@ def test_components_of_structs(spark):
     e = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 3, 2), ("b", 9, 9), ("b", 7, 8)], "m string, x long, y long")
     got = graph.components(e.select(F.struct("m", F.col("x").alias("i")).alias("u"), F.struct("m", F.col("y").alias("i")).alias("v")))
     assert {(*r["id"], r["root"]["i"]) for r in got.collect()} == {("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("b", 2, 2), ("b", 3, 2), ("b", 7, 7), ("b", 8, 7)}
+
+
+def off(p, ring):
+    """The distance of a point to a closed ring."""
+    a, b = ring, np.roll(ring, -1, 0)
+    d = b - a
+    t = np.clip(((p - a) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    return np.sqrt(((a + t[:, None] * d - p) ** 2).sum(1).min())
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.3, 1.5])
+def test_simplified_rings_stay_within_tolerance(tolerance):
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        turn = np.linspace(0, 2 * np.pi, 200, endpoint=False)
+        ring = np.round(np.stack([np.cos(turn), np.sin(turn)], 1) * (20 + rng.random(200)[:, None] * 2), 1)
+        got = kernels.simplify_ring(ring, tolerance)
+        assert max(off(p, got) for p in ring) <= tolerance + 1e-9 and {tuple(p) for p in got} <= {tuple(p) for p in ring}
+        assert tolerance == 0 or len(got) < len(ring)
+    square = np.array([[0.0, 0], [1, 0], [2, 0], [2, 2], [0, 2]])
+    assert kernels.simplify_ring(square, 0.0).tolist() == [[0, 0], [2, 0], [2, 2], [0, 2]]
+    assert len(kernels.simplify_ring(square, 9.0)) == 5 and len(kernels.simplify_ring(np.zeros((5, 2)), 1.0)) == 5
+
+
+def test_banklines_dissolve_tiles_and_keep_within_tolerance(spark):
+    image = (a_map(5, coarse=9, empty=0.4) > 0).astype(int)
+    df = pixels(spark, {"m": image})
+    one = regions.outlines(df, 0.5, tile=128).collect()
+    want = {r["region"]: [[(p["x"], p["y"]) for p in g] for g in r["rings"]] for r in one}
+    twice = df.unionByName(df.where("gx % 2 = 0").withColumn("cls", F.lit(7)))  # rasters that overlap, with other values
+    for tolerance in (0.1, 1.0):
+        got = regions.banklines(twice, 0.5, ("batch",), tolerance, tile=16).collect()
+        assert {r["region"] for r in got} == set(want) and [f for f in got[0].asDict()] == ["batch", "region", "rings", "area_m"]
+        for r in got:
+            rings = [[(p["x"], p["y"]) for p in g] for g in r["rings"]]
+            assert len(rings) == len(want[r["region"]])
+            assert tolerance > 0.1 or rings == want[r["region"]]
+            for whole, simple in zip(want[r["region"]], rings):
+                assert max(off(np.array(p), np.array(simple)) for p in whole) <= tolerance + 1e-9
+    assert regions.banklines(df.limit(0), 0.5, ("batch",)).count() == 0
