@@ -245,36 +245,40 @@ def clahe(a: np.ndarray, tiles: int = 8, clip: float = 0.01, bins: int = 256) ->
     return (m(i0, j0) * (1 - fx) + m(i0, j1) * fx) * (1 - fy) + (m(i1, j0) * (1 - fx) + m(i1, j1) * fx) * fy
 
 
-def strip_warp(values: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, step: float) -> tuple[np.ndarray, float, float]:
-    """Pings as columns between a track edge (x0, y0) and a range edge (x1, y1), warped to a grid of `step`.
+def warp_triangle(out: np.ndarray, xs: np.ndarray, ys: np.ndarray, corners: np.ndarray, uv: np.ndarray, values: np.ndarray) -> None:
+    """Fill those of the points (ys by xs, both ascending) that lie in a triangle, with the values that its affine map to (row, column) coordinates uv takes there."""
+    m = np.column_stack([corners[1] - corners[0], corners[2] - corners[0]])
+    if abs(np.linalg.det(m)) < 1e-12:
+        return
+    (j0, j1), (i0, i1) = (np.searchsorted(v, (c.min() - 1e-6, c.max() + 1e-6)) for v, c in ((xs, corners[:, 0]), (ys, corners[:, 1])))
+    if j0 == j1 or i0 == i1:
+        return
+    j, i = (g.ravel() for g in np.meshgrid(np.arange(j0, j1), np.arange(i0, i1)))
+    b = np.linalg.solve(m, np.stack([xs[j] - corners[0, 0], ys[i] - corners[0, 1]]))
+    ok = (b[0] >= -1e-9) & (b[1] >= -1e-9) & (b.sum(0) <= 1 + 1e-9)
+    at = uv[0][:, None] + (uv[1] - uv[0])[:, None] * b[0] + (uv[2] - uv[0])[:, None] * b[1]
+    r, c = (np.clip(np.rint(v[ok]).astype(int), 0, k - 1) for v, k in zip(at, values.shape))
+    out[i[ok], j[ok]] = values[r, c]
+
+
+def warp_quad(out: np.ndarray, xs: np.ndarray, ys: np.ndarray, ends: np.ndarray, values: np.ndarray) -> None:
+    """Fill the points between two neighbouring pings, as two triangles. ends: track point and range point of the first, then of the second; values: a column each."""
+    a, c, b, d = ends.reshape(4, 2)
+    n = len(values) - 1
+    warp_triangle(out, xs, ys, np.array([a, b, c]), np.array([[0, 0], [0, 1], [n, 0]], float), values)
+    warp_triangle(out, xs, ys, np.array([b, d, c]), np.array([[0, 1], [n, 1], [n, 0]], float), values)
 
-    Each pair of neighbouring pings spans a quadrilateral that is filled by the inverse of its
-    two affine triangles. Returns (grid with NaN outside, left x, top y).
-    """
+
+def strip_warp(values: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, step: float) -> tuple[np.ndarray, float, float]:
+    """Pings as columns between a track edge (x0, y0) and a range edge (x1, y1), warped to one grid of `step`: (grid with NaN outside, left x, top y)."""
     left, top = min(x0.min(), x1.min()), max(y0.max(), y1.max())
     w = int(np.ceil((max(x0.max(), x1.max()) - left) / step)) + 1
     h = int(np.ceil((top - min(y0.min(), y1.min())) / step)) + 1
     out = np.full((h, w), np.nan)
-    n = values.shape[0]
-
-    def fill(tri: np.ndarray, uv: np.ndarray) -> None:
-        m = np.column_stack([tri[1] - tri[0], tri[2] - tri[0]])
-        if abs(np.linalg.det(m)) < 1e-12:
-            return
-        jx = np.arange(int(np.floor((tri[:, 0].min() - left) / step)), int(np.ceil((tri[:, 0].max() - left) / step)) + 1).clip(0, w - 1)
-        iy = np.arange(int(np.floor((top - tri[:, 1].max()) / step)), int(np.ceil((top - tri[:, 1].min()) / step)) + 1).clip(0, h - 1)
-        gx, gy = np.meshgrid(np.unique(jx), np.unique(iy))
-        p = np.stack([left + gx.ravel() * step - tri[0, 0], top - gy.ravel() * step - tri[0, 1]])
-        b = np.linalg.solve(m, p)
-        ok = (b[0] >= -1e-9) & (b[1] >= -1e-9) & (b.sum(0) <= 1 + 1e-9)
-        at = uv[0][:, None] + (uv[1] - uv[0])[:, None] * b[0] + (uv[2] - uv[0])[:, None] * b[1]
-        r, c = (np.clip(np.rint(v[ok]).astype(int), 0, k - 1) for v, k in zip(at, values.shape))
-        out[gy.ravel()[ok], gx.ravel()[ok]] = values[r, c]
-
+    xs, ys = left + np.arange(w) * step, top - np.arange(h)[::-1] * step
     for k in range(len(x0) - 1):
-        a, b, c, d = (np.array(v, float) for v in ((x0[k], y0[k]), (x0[k + 1], y0[k + 1]), (x1[k], y1[k]), (x1[k + 1], y1[k + 1])))
-        fill(np.array([a, b, c]), np.array([[0, k], [0, k + 1], [n - 1, k]], float))
-        fill(np.array([b, d, c]), np.array([[0, k + 1], [n - 1, k + 1], [n - 1, k]], float))
+        ends = np.array([x0[k], y0[k], x1[k], y1[k], x0[k + 1], y0[k + 1], x1[k + 1], y1[k + 1]], float)
+        warp_quad(out[::-1], xs, ys, ends, values[:, k : k + 2])
     return out, float(left), float(top)
 
 

@@ -142,24 +142,48 @@ def coverage(pings: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id")) -> D
     return df.withColumn("area", geo.ring_area(F.col("ring")))
 
 
-def rubber_sheet(pings: DataFrame, size: float, keys: tuple[str, ...] = (*KEYS, "chunk_id"), every: int = 50) -> DataFrame:
-    """(*keys, gx, gy, v): a chunk's samples warped between track and range edge, control points at every `every`-th ping and the last."""
+def rubber_sheet(pings: DataFrame, size: float, keys: tuple[str, ...] = (*KEYS, "chunk_id"), every: int = 50, tile: int = 256) -> DataFrame:
+    """(*keys, gx, gy, v): a chunk's samples warped between track and range edge, control points at every `every`-th ping and the last.
+
+    Neighbouring pings span a quadrilateral. It goes, with their samples, to each block of tile
+    by tile pixels that its bounding box touches, and a block is filled alone by the inverse
+    of its quadrilaterals' maps, later pings over earlier ones. So a task holds one block and
+    what crosses it, however far a chunk extends. Pixel (gx, gy) takes the value at its
+    middle, on the grid that all chunks share. Pings without a position give no quadrilateral;
+    missing samples are 0.
+    """
     s = ", ".join(f"{k} {pings.schema[k].dataType.simpleString()}" for k in keys) + ", gx long, gy long, v double"
+    w = Window.partitionBy(*keys).orderBy("record_num")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = pings.select(*keys, "record_num", F.coalesce("samples", F.array().cast("array<double>")).alias("v0"), F.array(*(F.col(c).cast("double") for c in ("e", "n", "range_e", "range_n"))).alias("_p"))
+    rows = rows.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(whole), "rows": F.max(F.size("v0")).over(whole)})
+    control = F.when((F.col("_i") % every == 0) | (F.col("_i") == F.col("_n") - 1), F.struct(F.col("_i").alias("i"), F.col("_p").alias("p")))
+    rows = rows.withColumns({"_a": F.last(control, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first(control, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    share = (F.col("_i") - F.col("_a.i")) / F.greatest(F.col("_b.i") - F.col("_a.i"), F.lit(1))
+    rows = rows.withColumn("_at", F.zip_with("_a.p", "_b.p", lambda a, b: a + (b - a) * share))
+    quads = rows.withColumns({"v1": F.lead("v0").over(w), "ends": F.concat("_at", F.lead("_at").over(w))})
+    quads = quads.where(F.col("rows") > 0).where(F.forall("ends", lambda x: F.coalesce(F.abs(x) < 1e9, F.lit(False)) & ~F.isnan(x)))
+
+    def blocks(first: int) -> Column:
+        part = F.transform(F.array(*(F.get("ends", F.lit(i)) for i in range(first, 8, 2))), lambda x: F.floor(x / size / tile))
+        return F.sequence(F.array_min(part), F.array_max(part))
+
+    sent = quads.withColumn("bx", F.explode(blocks(0))).withColumn("by", F.explode(blocks(1))).select(*keys, "bx", "by", "record_num", "ends", "rows", "v0", "v1")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("record_num")
-        n = max(map(len, part["samples"]))
-        image = np.stack([np.pad(np.asarray(v, float), (0, n - len(v))) for v in part["samples"]], 1)
-        at = np.array(sorted({*range(0, len(part), every), len(part) - 1}))
-        ends = [np.interp(np.arange(len(part)), at, part[c].to_numpy(float)[at]) for c in ("e", "n", "range_e", "range_n")]
-        grid, left, top = kernels.strip_warp(image, *ends, size)
-        r, c = np.nonzero(np.isfinite(grid))
-        got = pd.DataFrame({"gx": np.floor(left / size + c).astype(np.int64), "gy": np.floor(top / size - r).astype(np.int64), "v": grid[r, c]})
-        for k in keys:
-            got[k] = part[k].iloc[0]
-        return got
-
-    return pings.select(*keys, "record_num", "samples", "e", "n", "range_e", "range_n").groupBy(*keys).applyInPandas(run, s)
+        left, low = int(part["bx"].iloc[0]) * tile, int(part["by"].iloc[0]) * tile
+        xs, ys = (left + np.arange(tile) + 0.5) * size, (low + np.arange(tile) + 0.5) * size
+        out = np.full((tile, tile), np.nan)
+        for ends, n, *two in zip(part["ends"], part["rows"], part["v0"], part["v1"]):
+            values = np.zeros((n, 2))
+            for k, v in enumerate(two):
+                values[: len(v), k] = v
+            kernels.warp_quad(out, xs, ys, np.asarray(ends, float), values)
+        r, c = np.nonzero(np.isfinite(out))
+        return pd.DataFrame({**{k: pd.Series([part[k].iloc[0]] * len(r), dtype=object) for k in keys}, "gx": left + c, "gy": low + r, "v": out[r, c]})
+
+    return sent.groupBy(*keys, "bx", "by").applyInPandas(run, s)
 
 
 def fill_gaps(pixels: DataFrame, reach: int = 2) -> DataFrame:

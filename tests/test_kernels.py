@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from soundings.operators import kernels as k
 from soundings.sources import son, tables
@@ -159,3 +160,51 @@ def test_png():
     at = data.index(b"IDAT")
     raw = zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")])
     assert raw == b"\0\0\1\2\3\0\4\5\6\7\0\10\11\12\13"
+
+
+def _swath(turn, n=130, rows=40):
+    """Pings on an arc with samples across it."""
+    i = np.arange(n)
+    way = i / n * turn
+    e, north = 500_000 + np.cumsum(np.cos(way)) * 0.7, 3_200_000 + np.cumsum(np.sin(way)) * 0.7
+    return [("a", "ss_port", 0, int(k), [float(k * 100 + r) for r in range(rows - k % 3)], float(e[k]), float(north[k]), float(e[k] - 30 * np.sin(way[k])), float(north[k] + 30 * np.cos(way[k]))) for k in i]
+
+
+PINGS = "rec_id string, beam string, chunk_id int, record_num long, samples array<double>, e double, n double, range_e double, range_n double"
+
+
+def test_rubber_sheet_by_blocks(spark):
+    from soundings.operators import mosaic
+
+    rows = _swath(2.0)
+    df = spark.createDataFrame(rows, PINGS).repartition(5)
+    key = lambda d: {(r["gx"], r["gy"]): r["v"] for r in d.collect()}
+    whole = key(mosaic.rubber_sheet(df, 0.5, tile=8192))
+    assert len(whole) > 6000
+    for tile in (16, 256):
+        got = mosaic.rubber_sheet(df, 0.5, tile=tile)
+        assert key(got) == whole and got.count() == len(whole)
+    at = np.array(sorted({*range(0, len(rows), 50), len(rows) - 1}))
+    ends = [np.interp(np.arange(len(rows)), at, np.array([r[c] for r in rows])[at]) for c in (5, 6, 7, 8)]
+    xs, ys = (np.arange(min(x for x, _ in whole) - 3, max(x for x, _ in whole) + 4) + 0.5) * 0.5, (np.arange(min(y for _, y in whole) - 3, max(y for _, y in whole) + 4) + 0.5) * 0.5
+    image = np.stack([np.pad(r[4], (0, 40 - len(r[4]))) for r in rows], 1)
+    out = np.full((len(ys), len(xs)), np.nan)
+    for q in range(len(rows) - 1):
+        k.warp_quad(out, xs, ys, np.array([ends[c][q + d] for d in (0, 1) for c in range(4)]), image[:, q : q + 2])
+    r, c = np.nonzero(np.isfinite(out))
+    want = {(int(np.floor(xs[j] / 0.5)), int(np.floor(ys[i] / 0.5))): out[i, j] for i, j in zip(r, c)}
+    assert set(want) == set(whole) and np.mean([want[x] == whole[x] for x in want]) > 0.999  # ends differ in their last digits
+
+
+def test_rubber_sheet_of_gaps_and_turns(spark):
+    from soundings.operators import mosaic
+
+    rows = _swath(12.0)
+    rows[20] = (*rows[20][:4], None, *rows[20][5:])
+    rows[50] = (*rows[50][:5], None, *rows[50][6:])  # a control point without a position
+    far = [("b", "ss_port", 0, i, [1.0] * 4, 1000.0 * i, 0.0, 1000.0 * i, 30.0) for i in range(4)]  # a chunk of 3 km
+    df = spark.createDataFrame(rows + far + [("c", "ss_port", 0, 0, [1.0], 0.0, 0.0, 0.0, 1.0)], PINGS)
+    got = mosaic.rubber_sheet(df, 1.0, tile=64).groupBy("rec_id").agg(F.count("*").alias("n"), F.countDistinct("gx", "gy").alias("d")).collect()
+    by = {r["rec_id"]: (r["n"], r["d"]) for r in got}
+    assert by["b"] == (90_000, 90_000) and by["a"][0] == by["a"][1] > 100 and "c" not in by
+    assert mosaic.rubber_sheet(df.limit(0), 1.0).count() == 0
