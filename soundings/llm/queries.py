@@ -28,6 +28,11 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
+def licence_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_licences that SQL can state: words and base phrases."""
+    return op3_licences(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(_read(spark, sf_dir, "documents")).drop("longest_repeat", "n_maximal")
 
@@ -70,7 +75,7 @@ def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_embeddings, op2_sharding, op3_licences, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op8_quality, op9_mixing, op10_minhash, op11_divergence, op12_languages, op13_variants)
+    every = (op1_embeddings, op2_sharding, op3_licences, licence_places, op4_repetition, op5_url_filter, op6_secrets, op7_pieces, op8_quality, op9_mixing, op10_minhash, op11_divergence, op12_languages, op13_variants)
     return {f.__name__: f for f in every}
 
 
@@ -82,6 +87,11 @@ ORACLES = {
     "op1_embeddings": f"""WITH RECURSIVE {_VECTORS}, reach AS (SELECT u AS a, u AS b FROM link UNION SELECT r.a, l.v FROM reach r JOIN link l ON r.b = l.u),
  root AS (SELECT a, min(b) AS c FROM reach GROUP BY 1), n AS (SELECT u, count(*) AS n FROM link GROUP BY 1)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN n ON n.u = e.vec_id LEFT JOIN root ON root.a = e.vec_id""",
+    "licence_places": r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ i AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM w), n AS (SELECT doc_id, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM i WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ p AS (SELECT doc_id, i, CASE WHEN x = 'mit' AND y = 'license' THEN 'mit' WHEN x = 'apache' AND y = 'license' THEN 'apache' WHEN x = 'general' AND y = 'public' AND z = 'license' THEN 'gpl' END AS label FROM n),
+ b AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM p WHERE label IS NOT NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word, coalesce(b.labels, '') AS base_labels FROM w LEFT JOIN b USING (doc_id)""",
     "op4_repetition": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
  i AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
  g AS (SELECT doc_id, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g, hash(list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)) AS h, count(*) OVER (PARTITION BY doc_id) - i AS after FROM i),
