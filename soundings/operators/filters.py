@@ -58,11 +58,11 @@ def heading(pings: DataFrame, deviation: float, distance: float, keys: tuple[str
     return _and(df, F.col("_k"), flag).drop("_far", "_b", "_u", "_k")
 
 
-def time_intervals(pings: DataFrame, intervals: DataFrame, flag: str = "filter_time") -> DataFrame:
+def time_intervals(pings: DataFrame, intervals: DataFrame, flag: str = "filter_time", relative: bool | None = None) -> DataFrame:
     """True inside any [start_seconds, end_seconds] (ends swapped if reversed, both included).
 
-    Epoch pings (earliest above 1e8) with intervals below 1e7 take the intervals as relative
-    to the earliest ping. Each interval's start carries the largest end of all that start no
+    `relative` says whether intervals count from the earliest ping. Left open, it is guessed from the
+    times: epoch pings (earliest above 1e8) with intervals below 1e7 take them so, longer surveys do not. Each interval's start carries the largest end of all that start no
     later; a ping is inside if the last start before it carries an end it has not passed. So
     pings are read once, in one stream with the starts; only the intervals, two numbers each,
     are put in order in one task.
@@ -73,7 +73,9 @@ def time_intervals(pings: DataFrame, intervals: DataFrame, flag: str = "filter_t
     top = iv.agg(F.max(F.greatest(F.abs("a"), F.abs("b"))).alias("m")).first()["m"]
     if span["lo"] is None or top is None:
         return _and(pings, F.lit(False), flag)
-    shift = span["lo"] if span["lo"] > 1e8 and top < 1e7 else 0.0
+    if relative is None:
+        relative = span["lo"] > 1e8 and top < 1e7
+    shift = span["lo"] if relative else 0.0
     starts = iv.groupBy((F.col("a") + shift).cast("double").alias("_a")).agg(F.max(F.col("b") + shift).cast("double").alias("_b"))
     starts = starts.select("_a", F.max("_b").over(Window.orderBy("_a")).alias("_b"))
     out = as_of(pings.withColumn("_t", F.col("time_s").cast("double")), starts, "_t", "_a", "_b", "_until")

@@ -80,6 +80,16 @@ def test_time_intervals_against_brute_force(spark):
     assert got == [any(a is not None and min(a, b) <= x <= max(a, b) for a, b in iv) for x in t]
 
 
+def test_time_intervals_relative_to_a_long_survey(spark):
+    """Intervals that count from the first ping, as said or as guessed, with one of them beyond 1e7 seconds."""
+    pings = spark.createDataFrame([(i, 1.7e9 + 4e6 * i) for i in range(5)], "record_num int, time_s double")
+    near, far = (3e6, 9e6), (11.9e6, 12.1e6)
+    flags = lambda iv, **k: [r["filter_time"] for r in filters.time_intervals(pings, spark.createDataFrame(iv, "start_seconds double, end_seconds double"), **k).orderBy("record_num").collect()]
+    assert flags([near, far], relative=True) == [False, True, True, True, False]
+    assert flags([near]) == [False, True, True, False, False] and flags([near], relative=False) == [False] * 5
+    assert flags([(1.7e9 + a, 1.7e9 + b) for a, b in (near, far)]) == [False, True, True, True, False]
+
+
 def test_concave_hull(spark):
     grid = [(float(x), float(y)) for x in range(0, 100, 4) for y in range(0, 100, 4) if not (30 < x < 70 and y > 30)]  # a U
     far = [(1000.0, 1000.0), (1001.0, 1000.0), (1000.0, 1001.0)]
