@@ -17,7 +17,7 @@ def _and(df: DataFrame, keep: Column, flag: str) -> DataFrame:
 
 def coordinate_outliers(pings: DataFrame, scale: float = 3.0, keys: tuple[str, ...] = KEYS, flag: str = "filter") -> DataFrame:
     """False for positions outside Q1 - scale * IQR .. Q3 + scale * IQR of their beam, in lon or lat."""
-    fence = percentiles(pings, "lon", (0.25, 0.75), keys, "_qx").join(percentiles(pings, "lat", (0.25, 0.75), keys, "_qy"), list(keys))
+    fence = percentiles(pings, "lon", (0.25, 0.75), keys, "_qx", fused=True).join(percentiles(pings, "lat", (0.25, 0.75), keys, "_qy", fused=True), list(keys))
     out = F.lit(False)
     for c, b in (("lon", "_qx"), ("lat", "_qy")):
         lo, hi = F.col(b)[0], F.col(b)[1]

@@ -106,14 +106,14 @@ def threshold_tally(df: DataFrame, share: str, area: str, keys: tuple[str, ...],
 
 def within_percentiles(df: DataFrame, column: str, lo: float = 0.01, hi: float = 0.99, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows between two percentiles of all rows, or of their group where keys are given."""
-    q = percentiles(df, column, (lo, hi), keys, "_q")
+    q = percentiles(df, column, (lo, hi), keys, "_q", fused=True)
     joined = df.join(q, list(keys)) if keys else df.crossJoin(F.broadcast(q))  # without keys q is one row
     return joined.where(F.col(column).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
 
 
 def within_whiskers(df: DataFrame, column: str, keys: tuple[str, ...] = (), scale: float = 1.5) -> DataFrame:
     """Rows strictly inside the whiskers (Q1 - 1.5 IQR, Q3 + 1.5 IQR) of all rows, or of their group."""
-    q = percentiles(df, column, (0.25, 0.75), keys, "_q")
+    q = percentiles(df, column, (0.25, 0.75), keys, "_q", fused=True)
     joined = df.join(q, list(keys)) if keys else df.crossJoin(F.broadcast(q))
     a, b = F.col("_q")[0], F.col("_q")[1]
     return joined.where((F.col(column) > a - scale * (b - a)) & (F.col(column) < b + scale * (b - a))).drop("_q")

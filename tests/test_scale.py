@@ -1,6 +1,8 @@
 """Percentiles and as-of states whose groups are cut, against plain forms."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from soundings.functions import windows
 from soundings.functions.quantiles import percentiles
-from soundings.operators import egn, samples
+from soundings.operators import egn, filters, samples
 
 INF = float("inf")
 
@@ -32,6 +34,43 @@ def test_percentiles_equal_those_of_spark(spark, bins):
         assert percentiles(df.limit(0), "v", shares, direct=d).first()["q"] is None
 
 
+def _rounded_once(x, share):
+    x = sorted(x)
+    at = Fraction(len(x) - 1) * Fraction(share)
+    low, d = math.floor(at), at - math.floor(at)
+    return x[low] if d == 0 else float(Fraction(x[low]) * (1 - d) + Fraction(float(Fraction(x[low + 1]) * d)))
+
+
+def test_fused_percentiles_round_once(spark):
+    rng = np.random.default_rng(3)
+    groups = {i: [30 + int(v) * 1e-6 for v in rng.integers(0, 60000, 4 + i % 9)] for i in range(300)}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [(-1, None)], "k int, v double").repartition(5)
+    want = {k: [_rounded_once(vs, q) for q in (0.25, 0.75)] for k, vs in groups.items()} | {-1: None}
+    for d in (0, 10**6):
+        got = {r["k"]: r["q"] for r in percentiles(df, "v", (0.25, 0.75), ("k",), direct=d, fused=True).collect()}
+        assert got == want
+    assert percentiles(df.where("k = -1"), "v", (0.5,), fused=True).first()["q"] is None
+    wild = spark.createDataFrame([(v,) for v in (-INF, -INF, 1.0, INF, INF, INF)], "v double")
+    assert percentiles(wild, "v", (0.1, 0.5, 0.9), fused=True).first()["q"] == [-INF, INF, INF]
+
+
+def test_a_position_on_the_outlier_fence(spark):
+    """The last position of each beam stands on the fence of quartiles that are rounded once, so it is kept; adding two rounded products puts some of these fences below it."""
+    rng = np.random.default_rng(4)
+    rows, lower = [], 0
+    for k in range(400):
+        v = sorted(30 + int(x) * 1e-6 for x in rng.integers(0, 60000, 11))
+        a, b = (_rounded_once([*v, 99.0], q) for q in (0.25, 0.75))  # of 12 values: between the third and fourth, the ninth and tenth
+        fence = b + 1.5 * (b - a)
+        c, d = 0.25 * v[2] + 0.75 * v[3], 0.75 * v[8] + 0.25 * v[9]
+        lower += d + 1.5 * (d - c) < fence
+        if max(v) < fence:
+            rows += [(str(k), "p", i, 0.0, x) for i, x in enumerate([*v, fence])]
+    df = spark.createDataFrame(rows, "rec_id string, beam string, record_num int, lon double, lat double")
+    got = filters.coordinate_outliers(df, 1.5)
+    assert lower > 20 and len(rows) > 1000 and got.where("record_num = 11 AND NOT filter").count() == 0
+
+
 def plain(rows, events):
     out = {}
     for i, t in rows:
