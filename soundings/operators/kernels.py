@@ -413,14 +413,16 @@ def cycle_ends(codes: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(again[::-1])[::-1]
 
 
-def cycles_from(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place, the number of cycles if one starts there, and where the last of them starts; by doubling steps."""
+def cycles_from(ends: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the number of cycles if one starts there, and where the last of them starts, up to the end of its group (`bounds`: the groups' starts and n)."""
     n = len(ends)
-    hop, count, last = np.append(ends, n), np.append(np.ones(n, np.int64), 0), np.arange(n + 1)
-    while (hop[:n] < n).any():
-        last = np.where(hop == n, last, last[hop])
-        count, hop = count + count[hop], hop[hop]
-    return count[:n], last[:n]
+    edge = np.zeros(n + 1, bool)
+    edge[n if bounds is None else bounds] = True
+    count, last, stop, hop = [1] * n, list(range(n)), edge.tolist(), ends.tolist()
+    for i in range(n - 1, -1, -1):
+        if not stop[hop[i]]:
+            count[i], last[i] = count[hop[i]] + 1, last[hop[i]]
+    return np.array(count, np.int64), np.array(last, np.int64)
 
 
 def simplify_ring(p: np.ndarray, tolerance: float) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.stored import written
 from ..functions.windows import KEYS, along, by_kernel, fill_linear, run_id, span_of, time_spans, unwrap
 from . import kernels
 
@@ -37,57 +38,70 @@ def missing_pings(pings: DataFrame, beams: list[str], reference_mode: bool = Fal
     of about `size` rows by record number. A block tells, for each place where its first new
     cycle may start, how many cycles follow and which beams the last of them has; these short
     rows are put together recording by recording, and each block numbers its cycles from what
-    the blocks before it leave. Rows of one record number are in one block.
+    the blocks before it leave. Rows of one record number are in one block. Python gets many short
+    blocks at once, as sorted rows, not a call for each.
     """
     ids = pings.select("rec_id", "beam", "record_num")
     s = ids.schema
-    kind = ", ".join(f"{c} {s[c].dataType.simpleString()}" for c in ids.columns)
-    rec, beam = (s[c].dataType.simpleString() for c in ("rec_id", "beam"))
+    rec, beam, num = (s[c].dataType.simpleString() for c in ids.columns)
     cuts = time_spans(ids, "record_num", size)
-
-    def ordered(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        part = part.sort_values(["record_num", "beam"], kind="stable")
-        return part, kernels.cycle_ends(pd.factorize(part["beam"], use_na_sentinel=False)[0])
-
-    def number(part: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
-        part, ends = ordered(part)
-        seen, base = (set(), 0) if before is None else (set(before["seen"].iloc[0]), int(before["base"].iloc[0]))
-        at = next((i for i, b in enumerate(part["beam"].iloc[: ends[0]]) if b in seen), int(ends[0]))
-        starts = np.zeros(len(part), np.int64)
-        while at < len(part):
-            starts[at] = 1
-            at = int(ends[at])
-        return part[["rec_id", "beam", "record_num"]].assign(cycle=base + np.cumsum(starts))
-
-    def told(part: pd.DataFrame) -> pd.DataFrame:
-        part, ends = ordered(part)
-        n, first, names = len(part), int(ends[0]), part["beam"].tolist()
-        cycles, last = kernels.cycles_from(ends)
-        at = range(min(first + 1, n))  # where the first new cycle may start
-        return pd.DataFrame({
-            "rec_id": part["rec_id"].iloc[:1], "block": part["block"].iloc[:1], "head": [names[:first]],
-            "cycles": [[int(cycles[i]) for i in at]], "tails": [[names[last[i] :] for i in at]],
-        })
-
-    def together(blocks: pd.DataFrame) -> pd.DataFrame:
-        seen, base, out = set(), 0, []
-        for r in blocks.sort_values("block").itertuples():
-            out.append((r.rec_id, r.block, list(seen), base))
-            head = list(r.head)
-            at = next((i for i, b in enumerate(head) if b in seen), len(head))
-            if at < len(r.cycles):
-                base, seen = base + int(r.cycles[at]), set(r.tails[at])
+    ids = ids.withColumns({"rec_id": F.col("rec_id").cast("string"), "block": span_of(F.col("record_num"), cuts, first=True)})
+    order = ["rec_id", "block", "first", "record_num", "beam"]
+
+    def told(t: pd.DataFrame, ends: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
+        cycles, last = kernels.cycles_from(ends, bounds)
+        names, out = t["beam"].to_numpy(object), []
+        for lo, hi, r, block in zip(bounds[:-1].tolist(), bounds[1:].tolist(), t["rec_id"].to_numpy(object)[bounds[:-1]], t["block"].to_numpy()[bounds[:-1]]):
+            first = int(ends[lo])
+            at = range(lo, min(first + 1, hi))  # where the first new cycle may start
+            out.append((r, block, list(names[lo:first]), [int(cycles[i]) for i in at], [list(names[last[i] : hi]) for i in at]))
+        return pd.DataFrame(out, columns=["rec_id", "block", "head", "cycles", "tails"])
+
+    def number(t: pd.DataFrame, ends: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
+        """The first row of a block tells what those before it leave, if there are any."""
+        names, told_, steps = t["beam"].to_numpy(object), t["first"].to_numpy() == 0, ends.tolist()
+        seen, base, starts = t["seen"].to_numpy(object), t["base"].to_numpy(), np.zeros(len(t), np.int64)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            at = lo
+            if told_[lo]:
+                at, held = lo + 1, set(seen[lo])
+                if at < hi:
+                    at = next((i for i in range(at, steps[at]) if names[i] in held), steps[at])
+                starts[lo] = base[lo]
             else:
-                seen |= set(head)  # no beam comes again in this block
-        return pd.DataFrame(out, columns=["rec_id", "block", "seen", "base"])
-
-    if not cuts:
-        cyc = ids.groupBy("rec_id").applyInPandas(lambda part: number(part), f"{kind}, cycle long")
-    else:
-        ids = ids.withColumn("block", span_of(F.col("record_num"), cuts, first=True))
-        blocks = ids.groupBy("rec_id", "block").applyInPandas(told, f"rec_id {rec}, block int, head array<{beam}>, cycles array<long>, tails array<array<{beam}>>")
-        left = blocks.groupBy("rec_id").applyInPandas(together, f"rec_id {rec}, block int, seen array<{beam}>, base long")
-        cyc = ids.groupBy("rec_id", "block").cogroup(left.groupBy("rec_id", "block")).applyInPandas(number, f"{kind}, cycle long")
+                at = steps[lo]
+            while at < hi:
+                starts[at] = 1
+                at = steps[at]
+        runs = np.cumsum(starts)
+        cycle = runs - np.repeat((runs - starts)[bounds[:-1]], np.diff(bounds))
+        return t.assign(cycle=cycle)[~told_][["rec_id", "beam", "record_num", "cycle"]]
+
+    def together(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen, base = object(), set(), 0
+        for part in blocks:
+            out = []
+            for r in part.itertuples():
+                if r.rec_id != now:
+                    now, seen, base = r.rec_id, set(), 0
+                out.append((r.rec_id, r.block, list(seen), base))
+                head = list(r.head)
+                at = next((i for i, b in enumerate(head) if b in seen), len(head))
+                if at < len(r.cycles):
+                    base, seen = base + int(r.cycles[at]), set(r.tails[at])
+                else:
+                    seen = seen | set(head)  # no beam comes again in this block
+            yield pd.DataFrame(out, columns=["rec_id", "block", "seen", "base"])
+
+    rows = ids.withColumns({"first": F.lit(1), "seen": F.lit(None).cast(f"array<{beam}>"), "base": F.lit(0).cast("long")})
+    if cuts:
+        dealt = rows.repartition("rec_id", "block").sortWithinPartitions(*order)
+        blocks = dealt.mapInPandas(_in_groups(told), f"rec_id string, block int, head array<{beam}>, cycles array<long>, tails array<array<{beam}>>")
+        left = blocks.repartition("rec_id").sortWithinPartitions("rec_id", "block").mapInPandas(together, f"rec_id string, block int, seen array<{beam}>, base long")
+        rows = rows.unionByName(left.withColumns({"first": F.lit(0), "beam": F.lit(None).cast(beam), "record_num": F.lit(0).cast(num)}))
+    cyc = rows.repartition("rec_id", "block").sortWithinPartitions(*order).mapInPandas(_in_groups(number), f"rec_id string, beam {beam}, record_num {num}, cycle long").withColumn("rec_id", F.col("rec_id").cast(rec))
+    if cuts:
+        cyc = written(cyc, "cycles")  # read twice below
     if reference_mode:
         cyc = cyc.withColumn("_m", F.max("cycle").over(Window.partitionBy("rec_id"))).where("cycle < _m").drop("_m")
     full = cyc.groupBy("rec_id", "cycle").agg(F.min("record_num").alias("_first")).withColumn("beam", F.explode(F.array(*map(F.lit, beams))))
@@ -95,6 +109,45 @@ def missing_pings(pings: DataFrame, beams: list[str], reference_mode: bool = Fal
     return full.join(have, ["rec_id", "cycle", "beam"], "left").withColumn("record_num", F.coalesce("record_num", "_first")).drop("_first")
 
 
+def _in_groups(run: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """run() over whole groups of (rec_id, block), as many at once as a batch of sorted rows holds, with the ends of cycles and the bounds of groups.
+
+    The last group of a batch waits for the next, so a task holds a batch and a block.
+    """
+
+    def several(t: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        bounds = np.append(bounds, len(t))
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        told = t["first"].to_numpy() == 0
+        codes = pd.factorize(t["beam"], use_na_sentinel=False)[0]
+        codes = np.where(told, codes.max() + 1, codes)
+        ends = kernels.cycle_ends(group * (codes.max() + 1) + codes)
+        return run(t, np.minimum(ends, bounds[1:][group]), bounds)
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            if not len(part):
+                continue
+            key = pd.concat([h.iloc[-1:] for h in held[-1:]] + [part])[["rec_id", "block"]]
+            new = (key["block"] != key["block"].shift()) | ((key["rec_id"] != key["rec_id"].shift()) & ~(key["rec_id"].isna() & key["rec_id"].shift().isna()))
+            cut = np.flatnonzero(new.to_numpy()[1 if held else 0 :])
+            if held and not len(cut):
+                held.append(part)
+                continue
+            if held and cut[0] > 0:
+                held.append(part.iloc[: cut[0]])
+            if held:
+                yield several(pd.concat(held, ignore_index=True), np.array([0]))
+            if len(cut) > 1:
+                yield several(part.iloc[cut[0] : cut[-1]].reset_index(drop=True), cut[:-1] - cut[0])
+            held = [part.iloc[cut[-1] :]]
+        if held:
+            yield several(pd.concat(held, ignore_index=True), np.array([0]))
+
+    return batches
+
+
 def completed(pings: DataFrame, beams: list[str], keys: tuple[str, ...] = ("rec_id", "cycle")) -> DataFrame:
     """A row for each of `beams` in each cycle; beams that a cycle lacks get nulls, others go."""
     full = pings.select(*keys).distinct().withColumn("beam", F.explode(F.array(*map(F.lit, beams))))

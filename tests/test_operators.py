@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -106,6 +107,25 @@ def test_missing_pings_in_blocks(spark, size):
     assert key(parts) == key(whole)
 
 
+def test_missing_pings_of_many_short_recordings(spark):
+    """Recordings that share batches, in several blocks."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rec), "pqxy"[rng.integers(4)], i, float(i)) for rec in range(3000) for i in range(rng.integers(1, 6))] + [(2**60 + 1, "p", i, float(i)) for i in range(5)] + [(None, "p", 1, 0.0)]
+    df = spark.createDataFrame(rows, "rec_id long, beam string, record_num long, v double")
+    handed = []
+    run = lambda t, ends, bounds: (handed.append(len(bounds) - 1), t)[1]
+    told = df.where("rec_id < 3000").orderBy("rec_id", "record_num").toPandas().assign(block=0, first=1)
+    back = pd.concat(tracks._in_groups(run)(told.iloc[i : i + 500] for i in range(0, len(told), 500)))
+    assert sum(handed) == 3000 and len(handed) < 60 and len(back) == len(told)
+    got = tracks.missing_pings(df, [*"pqxy"], size=4000).where("v IS NOT NULL").collect()
+    want, last = {}, {}
+    for rec, b, i, _ in rows[:-1]:
+        seen, cycle = last.get(rec, (set(), 0))
+        seen, cycle = ({b}, cycle + 1) if b in seen else (seen | {b}, cycle)
+        last[rec], want[rec, b, i] = (seen, cycle), cycle
+    assert {(r["rec_id"], r["beam"], r["record_num"]): r["cycle"] for r in got} == want
+
+
 def test_depth_cleaning(spark):
     d = 10 + np.sin(np.arange(120) / 40)
     bad = d.copy()
