@@ -12,6 +12,21 @@ from ..functions.stored import written
 from ..functions.windows import KEYS
 
 
+#: Tables of means up to this size are sent to every task; larger ones are joined.
+BROADCAST_BYTES = 64 << 20
+
+
+def _with(df: DataFrame, told: DataFrame, keys: list[str], how: str = "inner", most_bytes: int | None = None) -> DataFrame:
+    """df joined with what is told of a few keys (a row each, written first), which goes to every task if it is at most most_bytes.
+
+    Dealt by its keys, a survey of few recordings and beams would come together in as many tasks. A larger table has many keys.
+    """
+    most = BROADCAST_BYTES if most_bytes is None else most_bytes
+    table = written(told, "told")
+    size = 64 * len(told.columns) * table.count()  # a hashed row of so many columns takes less
+    return df.join(F.broadcast(table) if size <= most else table, keys, how)
+
+
 def chunk_means(pixels: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id", "row"), value: str = "v") -> DataFrame:
     """Mean of a range row within a chunk; 0 counts as missing."""
     return pixels.groupBy(*keys).agg(F.avg(F.when(F.col(value) != 0, F.col(value))).alias("chunk_mean"))
@@ -24,15 +39,16 @@ def global_means(means: DataFrame, keys: tuple[str, ...] = (*KEYS, "row")) -> Da
 
 def without_last_chunk(pixels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     last = pixels.groupBy(*keys).agg(F.max("chunk_id").alias("_last"))
-    return pixels.join(last, list(keys)).where("chunk_id < _last").drop("_last")
+    return _with(pixels, last, list(keys)).where("chunk_id < _last").drop("_last")
 
 
 def correct(pixels: DataFrame, means: DataFrame, keys: tuple[str, ...] = KEYS, value: str = "v", at: Column | None = None) -> DataFrame:
     """egn: value over the mean of its row (`at` for another row number); rows beyond the means take the last one."""
+    means = written(means, "means")
     last = means.groupBy(*keys).agg(F.max("row").alias("_last"))
-    df = pixels.join(last, list(keys)).withColumn("_row", F.least(at if at is not None else F.col("row"), F.col("_last")))
+    df = _with(pixels, last, list(keys)).withColumn("_row", F.least(at if at is not None else F.col("row"), F.col("_last")))
     m = means.select(*keys, F.col("row").alias("_row"), "row_mean")
-    return df.join(m, [*keys, "_row"], "left").withColumn("egn", F.try_divide(F.col(value), F.col("row_mean"))).drop("_last", "_row")
+    return _with(df, m, [*keys, "_row"], "left").withColumn("egn", F.try_divide(F.col(value), F.col("row_mean"))).drop("_last", "_row")
 
 
 def slant_row(row: Column, depth_row: Column) -> Column:
@@ -49,6 +65,11 @@ def fold_min_max(stats: DataFrame, keys: tuple[str, ...] = ("rec_id",)) -> DataF
     return stats.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def with_extremes(corrected: DataFrame, extremes: DataFrame, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """corrected with the lo and hi of its recording."""
+    return _with(corrected, extremes, list(keys))
+
+
 def rescale(v: Column, lo: Column, hi: Column) -> Column:
     """lo..hi to 0..255, cut off; 0 where lo and hi are equal."""
     return F.least(F.greatest(F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0)) * 255, F.lit(0.0)), F.lit(255.0))
@@ -93,10 +114,6 @@ def range_reference(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("rec_id", "beam").agg(F.percentile("range_m", F.lit(0.5)).alias("ref_m"))
 
 
-#: Tables of means up to this size are sent to every task; larger ones are joined.
-BROADCAST_BYTES = 64 << 20
-
-
 def row_statistics(pings: DataFrame, keys: tuple[str, ...] = (*KEYS, "chunk_id")) -> DataFrame:
     """(*keys, row, chunk_mean, lo, hi) of the samples from row `bed` on; 0 counts as missing in the mean. One scan; samples are added up before any shuffle."""
     long = pings.select(*keys, "bed", F.posexplode("samples").alias("row", "v")).where("row >= bed")
@@ -111,7 +128,7 @@ def gains(stats: DataFrame, keys: tuple[str, ...] = KEYS, recording: tuple[str,
     it round, so a row's extremes give those of its corrected samples: no second scan.
     """
     last = stats.groupBy(*keys).agg(F.max("chunk_id").alias("_last"))
-    known = stats.join(last, list(keys)).where("chunk_id < _last").groupBy(*keys, "row").agg(F.avg("chunk_mean").alias("row_mean"))
+    known = _with(stats, last, list(keys)).where("chunk_id < _last").groupBy(*keys, "row").agg(F.avg("chunk_mean").alias("row_mean"))
     held = known.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row", "row_mean"))).alias("_m"))  # as long as a ping at most
     place = F.array_position(F.transform("_m", lambda m: m["row"]), F.col("_row"))
     grid = held.select(*keys, "_m", F.explode(F.sequence(F.lit(0), F.element_at("_m", -1)["row"])).alias("_row"))

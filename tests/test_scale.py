@@ -132,3 +132,16 @@ def test_gain_needs_two_scans_and_moves_no_samples(spark, tmp_path):
 def test_stretch_bounds(spark):
     df = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS v")
     assert samples.stretch_bounds(df, "v").first()["lo"] == df.where("v > 0").agg(F.percentile("v", F.lit(0.01))).first()[0]
+
+
+def test_gain_of_one_recording_is_not_dealt_by_recording(spark):
+    """Means and extremes go to the pixels: no exchange of pixels by the few keys, whatever Spark takes for the size of an aggregate."""
+    rows = spark.range(4000).selectExpr("1 AS rec_id", "id % 2 AS beam", "id div 1000 AS chunk_id", "id % 8 AS row", "1.0 + id % 13 AS v").withColumn("v", F.col("v").cast("double"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        fixed = egn.correct(rows, egn.global_means(egn.chunk_means(egn.without_last_chunk(rows))))
+        got = egn.with_extremes(fixed, egn.fold_min_max(egn.min_max(fixed)))
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
